@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from tarn.llm import decontaminate, mixing, sharding
+from tarn.llm import chat, decontaminate, mixing, neardup, pii, quality, secrets, sharding, suffixdedup, topk
 
 QUERIES = {
+    "op1_dual_tree_top_k": topk.top_k_query,
     "op2_karmarkar_karp_shards": sharding.shard_query,
+    "op3_chain_field_pii": pii.personal_data_query,
+    "op4_chat_role_repair": chat.chat_query,
     "op5_suffix_array_decontamination": decontaminate.decontaminate_query,
+    "op6_forest_secret_scan": secrets.secrets_query,
+    "op7_attention_mil_quality": quality.quality_query,
+    "op8_induced_suffix_dedup": suffixdedup.suffix_dedup_query,
+    "op9_dart_minhash_near_dedup": neardup.near_duplicate_query,
     "op10_entropy_balanced_mix": mixing.mix_query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_dual_tree_top_k": topk.TOP_K_SQL,
+}
