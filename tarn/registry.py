@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tarn.plans.oracles import ORACLES
+from tarn.plans.registered import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
