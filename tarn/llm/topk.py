@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import written
 
-LEAF = 96
+LEAF = 256
 FAN_OUT = 32
+#: Reference vectors that a query leaf is compared with at once.
+STEP = 2_048
 #: Radius of a child relative to its parent's.
 SHRINK = 1.6
-ROWS_PER_BLOCK = 4096
+ROWS_PER_BLOCK = 8192
 #: Blocks grow beyond ROWS_PER_BLOCK rather than exceed this number, so what is sent to
 #: all tasks (one centre, radius and key a block) stays below some 20 MB for 64 dimensions.
 MOST_BLOCKS = 20_000
@@ -99,44 +101,69 @@ class Search:
         self.score = np.full((len(queries.x), k), -np.inf)
         self.index = np.full((len(queries.x), k), len(refs.x), np.int64)
         self.worst = worst.copy()
-        self.below = [None] * len(queries.centre)
-        for node in range(len(queries.centre) - 1, -1, -1):
-            inner = [self.below[c] for c in queries.children[node]]
-            self.below[node] = queries.members[node] if not inner else np.concatenate(inner)
+        most = max((np.abs(t.x).max(initial=0) ** 2 * t.x.shape[1] for t in (queries, refs)), default=0)
+        kind = np.float32 if most < 2**24 else np.float64  # both exact: scores are sums of whole numbers
+        self.qx, self.rx = queries.x.astype(kind), refs.x.astype(kind)
 
-    def bound(self, a: int, b: np.ndarray) -> np.ndarray:
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query leaf, reference leaf, bound) of the leaf pairs that may matter, descending both trees together."""
         q, r = self.q, self.r
-        radius = np.asarray([r.radius[i] for i in b])
-        centres = r.x[[r.centre[i] for i in b]] @ q.x[q.centre[a]]
-        return centres + q.radius[a] * r.norm[b] + radius * q.norm[a] + q.radius[a] * radius
+        least = np.empty(len(q.centre))
+        for node in range(len(q.centre) - 1, -1, -1):
+            mine = q.members[node]
+            least[node] = self.worst[mine].min() if mine is not None else least[q.children[node]].min()
+        q_leaf = np.array([m is not None for m in q.members])
+        r_leaf = np.array([m is not None for m in r.members])
+        q_centre, r_centre = q.x[q.centre], r.x[r.centre]
+        q_radius, r_radius = np.array(q.radius), np.array(r.radius)
+        done = []
+        a, b = np.array([0]), np.array([0])
+        while len(a):
+            most = (q_centre[a] * r_centre[b]).sum(axis=1)
+            most += q_radius[a] * r.norm[b] + r_radius[b] * q.norm[a] + q_radius[a] * r_radius[b]
+            # Scores are whole numbers: a bound within rounding of the worst still counts.
+            live = most >= least[a] - 1e-6 * (1 + np.abs(most))
+            a, b, most = a[live], b[live], most[live]
+            end = q_leaf[a] & r_leaf[b]
+            done.append((a[end], b[end], most[end]))
+            a, b = a[~end], b[~end]
+            by_r = ~r_leaf[b] & (q_leaf[a] | (r_radius[b] >= q_radius[a]))
+            next_a = [np.repeat(x, len(r.children[y])) for x, y in zip(a[by_r], b[by_r])]
+            next_b = [np.array(r.children[y]) for y in b[by_r]]
+            next_a += [np.array(q.children[x]) for x in a[~by_r]]
+            next_b += [np.repeat(y, len(q.children[x])) for x, y in zip(a[~by_r], b[~by_r])]
+            a, b = (np.concatenate(x) if x else np.empty(0, int) for x in (next_a, next_b))
+        return tuple(np.concatenate(x) for x in zip(*done))
 
     def run(self) -> Search:
         if not self.q.centre or not self.r.centre:
             return self
-        todo = [(0, 0, float(self.bound(0, np.array([0]))[0]))]
-        while todo:
-            a, b, most = todo.pop()
-            # Scores are whole numbers: a bound within rounding of the worst still counts.
-            if most < self.worst[self.below[a]].min() - 1e-6 * (1 + abs(most)):
-                continue
-            split_q = self.q.members[a] is None
-            split_r = self.r.members[b] is None
-            if not split_q and not split_r:
-                self._leaves(self.q.members[a], self.r.members[b])
-            elif split_r and (not split_q or self.r.radius[b] >= self.q.radius[a]):
-                inner = np.asarray(self.r.children[b])
-                bounds = self.bound(a, inner)
-                todo += [(a, int(inner[i]), float(bounds[i])) for i in np.argsort(bounds)]
-            else:
-                todo += [(c, b, float(self.bound(c, np.array([b]))[0])) for c in self.q.children[a]]
+        a, b, most = self.pairs()
+        for leaf in np.unique(a):
+            mine, here = self.q.members[leaf], np.flatnonzero(a == leaf)
+            here = here[np.argsort(-most[here], kind="stable")]
+            at = 0
+            while at < len(here) and most[here[at]] >= self.worst[mine].min() - 1e-6 * (1 + abs(most[here[at]])):
+                theirs, size = [], 0
+                while at < len(here) and size < STEP:
+                    theirs.append(self.r.members[b[here[at]]])
+                    size += len(theirs[-1])
+                    at += 1
+                self._compare(mine, np.concatenate(theirs))
         return self
 
-    def _leaves(self, mine: np.ndarray, theirs: np.ndarray) -> None:
-        got = self.q.x[mine] @ self.r.x[theirs].T
-        live = (got >= self.worst[mine][:, None]).any(axis=1)
-        if not live.any():
+    def _compare(self, mine: np.ndarray, theirs: np.ndarray) -> None:
+        got = self.qx[mine] @ self.rx[theirs].T
+        hit = got >= self.worst[mine][:, None]
+        rows, columns = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+        if len(rows) == 0:
             return
-        mine, got = mine[live], got[live]
+        mine, theirs, got = mine[rows], theirs[columns], got[np.ix_(rows, columns)].astype(np.float64)
+        if len(columns) > 8 * self.k:
+            # More than k columns of a row can't all be among its k best; equal scores all stay.
+            cut = -np.partition(-got, self.k - 1, axis=1)[:, self.k - 1]
+            columns = np.flatnonzero((got >= np.maximum(cut, self.worst[mine])[:, None]).any(axis=0))
+            theirs, got = theirs[columns], got[:, columns]
         score = np.concatenate([self.score[mine], got], axis=1)
         index = np.concatenate([self.index[mine], np.broadcast_to(theirs, got.shape)], axis=1)
         best = np.lexsort((index, -score), axis=1)[:, : self.k]
@@ -146,9 +173,18 @@ class Search:
 
 
 def _pack(matrix: np.ndarray) -> bytes:
+    """A cover tree over ``matrix`` with its vectors in the smallest whole type."""
+    tree = CoverTree(matrix)
     most = np.abs(matrix).max(initial=0)
     kind = np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.int64
-    return pickle.dumps(matrix.astype(kind))
+    return pickle.dumps((matrix.astype(kind), tree.centre, tree.radius, tree.children, tree.members, tree.norm))
+
+
+def _unpack(blob: bytes) -> CoverTree:
+    tree = CoverTree.__new__(CoverTree)
+    x, tree.centre, tree.radius, tree.children, tree.members, tree.norm = pickle.loads(blob)
+    tree.x = x.astype(np.float64)
+    return tree
 
 
 def _as_matrix(vectors, dim: int) -> np.ndarray:
@@ -188,7 +224,7 @@ def _tree(blob: bytes):
         if len(_trees) >= 4:
             _trees.clear()
         keys, packed, *ids = pickle.loads(blob)
-        _trees[blob] = (keys, CoverTree(pickle.loads(packed).astype(np.float64)), ids[0] if ids else None)
+        _trees[blob] = (keys, _unpack(packed), ids[0] if ids else None)
     return _trees[blob]
 
 
@@ -198,7 +234,7 @@ def _found(q_keys, r_ids, search: Search) -> pd.DataFrame:
         {
             "key": q_keys[q],
             "score": search.score[q, slot].astype(np.int64),
-            "ids": [r_ids[i] for i in search.index[q, slot]],
+            "ids": pd.Series([r_ids[i] for i in search.index[q, slot]], dtype=object),
         }
     )
 
@@ -327,7 +363,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
 def _blocks(distinct: DataFrame, n: int, dim: int) -> DataFrame:
     """Packed blocks around a bounded sample of pivots; large cells are cut by a hash of the key."""
     spark = distinct.sparkSession
-    n_pivots = int(min(MOST_PIVOTS, max(1, n // 1024)))
+    n_pivots = int(min(MOST_PIVOTS, max(1, n // 4096)))
     picked = distinct.select("key", "v").orderBy(F.xxhash64("key"), "key").limit(n_pivots).collect()
     pivots = spark.sparkContext.broadcast(_as_matrix([r["v"] for r in picked], dim))
 
