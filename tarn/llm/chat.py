@@ -103,7 +103,7 @@ def _unit(state: int) -> list[int]:
 
 
 def _matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in filter(len, batches):
         found = [[x for p in range(N) for x in forward(codes, _unit(p))[-1]] for codes in batch["codes"]]
         yield pd.DataFrame({"conv": batch["conv"], "block": batch["block"], "matrix": found})
 
@@ -122,7 +122,7 @@ def _entries(group: pd.DataFrame) -> pd.DataFrame:
 
 def _ways_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each block and each state after it, the state before it on the cheapest path."""
-    for batch in batches:
+    for batch in filter(len, batches):
         ways = []
         for codes, entry in zip(batch["codes"], batch["entry"]):
             rows = forward(codes, [int(x) for x in entry])
@@ -141,7 +141,7 @@ def _exits(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _decisions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in filter(len, batches):
         out = []
         for codes, entry, exit_ in zip(batch["codes"], batch["entry"], batch["exit"]):
             rows = forward(codes, START if entry is None else [int(x) for x in entry])

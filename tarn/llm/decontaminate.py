@@ -7,7 +7,6 @@ all verbatim occurrences; chained occurrences give the longest match. Documents
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,7 +120,7 @@ class Tests:
 
 
 def search(batch: pa.RecordBatch, column: str, tests: Tests):
-    """Per row: word count, and (row, first word, words, item, longest chain) of every occurrence."""
+    """Per row: word count, and (window, place, row) of every occurrence."""
     data, offsets = byte_view(batch.column(column))
     hashes, _, _, bounds = words(data, offsets)
     rows = batch.num_rows
@@ -136,30 +135,35 @@ def search(batch: pa.RecordBatch, column: str, tests: Tests):
     return counts, window, position, row, len(symbols), at, owner
 
 
-def _report(batch: pa.RecordBatch, column: str, tests: Tests) -> dict[str, np.ndarray | list]:
+def report(batch: pa.RecordBatch, column: str, tests: Tests, before: dict | None = None) -> dict:
+    """Per row: words, hit words, items and longest match, added to those of the blocks ``before``."""
     counts, window, position, row, n, at, owner = search(batch, column, tests)
     rows = batch.num_rows
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, position, 1)
     np.add.at(edge, position + tests.length[window], -1)
     hit = np.cumsum(edge)[:n] > 0
-    n_hit = np.bincount(owner, weights=hit[at], minlength=rows).astype(np.int64)
     longest = np.zeros(rows, np.int64)
     items: list[list] = [[] for _ in range(rows)]
+    if before is not None:
+        hit |= before["hit"]
+        longest, items = before["longest"], before["items"]
+    n_hit = np.bincount(owner, weights=hit[at], minlength=rows).astype(np.int64)
     if len(window):
         pairs = np.unique(np.stack([row, tests.item[window]]), axis=1)
         for r, i in pairs.T:
             items[r].append(tests.ids[i])
+        # Occurrences of successive windows at successive places are one longer match.
         diagonal = position - tests.place[window]
         by = np.lexsort((position, diagonal, tests.item[window]))
         i, d, p = tests.item[window][by], diagonal[by], position[by]
         new = np.concatenate(([True], (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)))
         first = np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
         np.maximum.at(longest, row[by], p - p[first] + tests.length[window][by])
-    return {"n_words": counts, "n_hit": n_hit, "items": items, "longest": longest}
+    return {"n_words": counts, "n_hit": n_hit, "items": items, "longest": longest, "hit": hit}
 
 
-def benchmark_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[tuple[list, list]]:
+def benchmark_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[tuple[list, list]]:
     """The benchmark in blocks of bounded size; its size is checked before anything is fetched.
 
     Beyond one block the items are dealt to blocks by a hash, each fetched alone.
@@ -167,12 +171,10 @@ def benchmark_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[tup
     sized = benchmark.select("item_id", "text").dropDuplicates()
     total = sized.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, -(-int(total) // limit))
-    out = []
     for k in range(n):
         part = sized if n == 1 else sized.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
         rows = sorted(part.collect(), key=lambda r: (str(r[0]), r[1] or ""))
-        out.append(([r[0] for r in rows], [r[1] for r in rows]))
-    return out
+        yield [r[0] for r in rows], [r[1] for r in rows]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW) -> DataFrame:
@@ -202,9 +204,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
             rows = piece.num_rows
             hits = None
             for block in blocks:
-                tests = alone or Tests(*block.value, width)
-                found = _report(piece, text, tests) if len(blocks) == 1 else _merge(piece, text, tests, hits)
-                hits = found
+                hits = report(piece, text, alone or Tests(*block.value, width), hits)
+                if alone is None:
+                    vars(block).pop("_value", None)  # else the worker would keep every block
             longest = hits["longest"]
             ids = [sorted({str(i) for i in x}) for x in hits["items"]]
             extra = {
@@ -221,23 +223,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
     return docs.mapInArrow(run, schema)
 
 
-def _merge(piece: pa.RecordBatch, text: str, tests: Tests, before: dict | None) -> dict:
-    """One more block's occurrences added to those of the blocks before."""
-    counts, window, position, _, n, at, owner = search(piece, text, tests)
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, position, 1)
-    np.add.at(edge, position + tests.length[window], -1)
-    hit = np.cumsum(edge)[:n] > 0
-    found = _report(piece, text, tests)
-    if before is not None:
-        hit |= before["hit"]
-        found["items"] = [a + b for a, b in zip(before["items"], found["items"])]
-        found["longest"] = np.maximum(before["longest"], found["longest"])
-    found["hit"] = hit
-    found["n_hit"] = np.bincount(owner, weights=hit[at], minlength=piece.num_rows).astype(np.int64)
-    return found
-
-
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any hit word, columns as in ``docs``."""
     return contamination(docs, benchmark).where(F.col("n_hit") == 0).select(*docs.columns)
@@ -258,9 +243,29 @@ def decontaminate_query(spark, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         items_digest().alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "longest_match",
     )
 
 
-def empty_digest() -> str:
-    return hashlib.sha256(b"").hexdigest()
+_WORDS = (
+    "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+DECONTAMINATE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, array_to_string(w[i:i + least(len(w), {WINDOW}) - 1], ' ') AS k
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS k
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)
+), h AS (SELECT r, i, bw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.k = bw.k),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
+it AS (
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
+"""
