@@ -17,67 +17,85 @@ BROADCAST_TERMS = 200_000
 def term_rows(chunks: DataFrame) -> DataFrame:
     """(chunk_id, doc_len, terms): tokenised once a chunk; doc_len is known before any shuffle."""
     found = chunks.select("chunk_id", terms(F.col("content")).alias("terms"))
-    return found.select("chunk_id", F.size("terms").cast("long").alias("doc_len"), "terms").where("doc_len > 0")
+    return found.select("chunk_id", F.size("terms").cast("long").alias("doc_len"), "terms")
+
+
+def _counted(exploded: DataFrame) -> DataFrame:
+    """A chunk's rows stand in one task, so counts combine before the shuffle."""
+    counted = exploded.groupBy("chunk_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("frequency"))
+    return counted.select("chunk_id", "term", "frequency", "doc_len")
+
+
+def occurrences(chunks: DataFrame) -> DataFrame:
+    return term_rows(chunks).select("chunk_id", "doc_len", F.explode("terms").alias("term"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, frequency, doc_len). A chunk's rows stand in one task, so counts combine before the shuffle."""
-    exploded = term_rows(chunks).select("chunk_id", "doc_len", F.explode("terms").alias("term"))
-    return exploded.groupBy("chunk_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("frequency")).select(
-        "chunk_id", "term", "frequency", "doc_len"
-    )
+    """(chunk_id, term, frequency, doc_len)."""
+    return _counted(occurrences(chunks))
 
 
 @dataclass
 class Index:
-    """Postings with document lengths, document frequencies and the two corpus figures."""
+    """Postings with document lengths, document frequencies and the two corpus figures.
+
+    ``unstored`` are the term occurrences of an index that isn't stored: a search then counts
+    only those of its own terms.
+    """
 
     postings: DataFrame
     frequencies: DataFrame
     stats: DataFrame
+    unstored: DataFrame | None = None
 
     @staticmethod
     def of(posting_rows: DataFrame) -> Index:
         """From stored postings: every chunk with a term counts, chunks without none."""
         lengths = posting_rows.select("chunk_id", "doc_len").distinct()
-        return Index(
-            posting_rows,
-            posting_rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")),
-            corpus_stats(lengths),
-        )
+        return Index(posting_rows, _frequencies(posting_rows), corpus_stats(lengths))
 
     @staticmethod
     def build(chunks: DataFrame) -> Index:
         rows = postings(chunks)
         lengths = term_rows(chunks).select("chunk_id", "doc_len")
-        return Index(rows, rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus_stats(lengths))
+        return Index(rows, _frequencies(rows), corpus_stats(lengths), occurrences(chunks))
+
+    def of_terms(self, distinct: DataFrame) -> DataFrame:
+        """The postings of the given terms only."""
+        if self.unstored is None:
+            return self.postings.join(distinct, "term", "left_semi")
+        return _counted(self.unstored.join(distinct, "term", "left_semi"))
+
+
+def _frequencies(posting_rows: DataFrame) -> DataFrame:
+    return posting_rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
-    """One row (n, avgdl) from (chunk_id, doc_len)."""
-    return lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl"))
+    """One row (n, avgdl) from (chunk_id, doc_len); chunks without a term don't count.
+
+    The condition stands in the aggregates: as a filter it would be tokenised a second time.
+    """
+    some = F.col("doc_len") > 0
+    return lengths.agg(F.count_if(some).alias("n"), F.avg(F.when(some, F.col("doc_len"))).alias("avgdl"))
 
 
 def doc_lengths(posting_rows: DataFrame) -> DataFrame:
     return posting_rows.groupBy("chunk_id").agg(F.sum("frequency").alias("doc_len"))
 
 
-def _matched(source: DataFrame, wanted: DataFrame, n_terms: int) -> DataFrame:
-    """Postings of the wanted terms with the queries that want them; ``source`` has postings."""
-    small = n_terms <= BROADCAST_TERMS
-    return source.join(F.broadcast(wanted) if small else wanted, "term")
-
-
 def score_rows(index: Index, wanted: DataFrame, n_terms: int) -> DataFrame:
     """(query_id, chunk_id, score) of every chunk with a wanted term; wanted: (query_id, term)."""
-    distinct = wanted.select("term").distinct()
-    small = n_terms <= BROADCAST_TERMS
-    df = index.frequencies.join(F.broadcast(distinct) if small else distinct, "term", "left_semi")
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if n_terms <= BROADCAST_TERMS else df
+
+    own = index.of_terms(sent(wanted.select("term").distinct()))
+    df = _frequencies(own)
     weighted = wanted.join(df, "term").join(F.broadcast(index.stats), F.lit(True))  # one row
     weighted = weighted.select("query_id", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    hits = _matched(index.postings, weighted, n_terms)
     part = F.col("idf") * saturation(F.col("frequency"), F.col("doc_len"), F.col("avgdl"))
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    return own.join(sent(weighted), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
 def top(scored: DataFrame, limit: int, *ties) -> DataFrame:

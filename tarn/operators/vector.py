@@ -2,43 +2,94 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tarn.functions.scalars import cosine, embedding_text, norm
+from tarn.functions.scalars import embedding_text
 from tarn.operators.lexical import top
 
-#: Query vectors up to this many values go to every task; more are searched in blocks.
-BROADCAST_VALUES = 4_000_000
+#: Query vectors go to the tasks in blocks of at most so many values (32 MB of doubles), or one vector.
+BLOCK_VALUES = 4_000_000
 
 
 class DimensionMismatch(ValueError):
     """Stored vectors don't have the configured number of dimensions."""
 
 
-def search_batch(embeddings: DataFrame, queries: DataFrame, limit: int = 10, blocks: int = 1) -> DataFrame:
-    """(query_id, chunk_id, score, rank): every stored vector scored against every query vector.
+def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column and the n + 1 bounds of its rows; nulls count as zero."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    bounds = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+    values = column.flatten().cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+    return values, bounds.astype(np.int64)
 
-    ``queries`` has (query_id, vector); they are a stated set, sent to the tasks in ``blocks``
-    parts. Each block keeps only its ranked rows.
-    """
-    stored = embeddings.select("chunk_id", "embedding", norm(F.col("embedding")).alias("nb"))
-    out = None
-    for k in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        part = part.select("query_id", "vector", norm(F.col("vector")).alias("na"))
-        scored = stored.join(F.broadcast(part)).select(
-            "query_id",
-            "chunk_id",
-            cosine(F.col("vector"), F.col("embedding"), F.col("na"), F.col("nb")).alias("score"),
-        )
-        best = top(scored, limit)
-        out = best if out is None else out.unionByName(best)
+
+def _cosines(queries: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Cosine of every query with every row, in double precision; 0 for other lengths and zero vectors."""
+    values, bounds = _rows(column)
+    out = np.zeros((len(queries), len(column)))
+    same = np.flatnonzero(np.diff(bounds) == queries.shape[1])
+    x = values[bounds[same][:, None] + np.arange(queries.shape[1])]
+    size_q, size_x = np.sqrt((queries**2).sum(axis=1)), np.sqrt((x**2).sum(axis=1))
+    scale = size_q[:, None] * size_x[None, :]
+    out[:, same] = np.divide(queries @ x.T, scale, out=np.zeros_like(scale), where=scale > 0)
     return out
 
 
-def query_blocks(queries: DataFrame, dimensions: int) -> int:
-    return max(1, -(-queries.count() * dimensions // BROADCAST_VALUES))
+def search_batch(embeddings: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, chunk_id, score, rank): every stored vector scored against every query vector.
+
+    ``queries`` has (query_id, vector); they are a stated set, fetched and sent to the tasks
+    in blocks of bounded size. A task multiplies matrices batch by batch and passes on only what
+    can be among a query's best; equal scores (to 9 decimals) all stay for the final ranking.
+    """
+    spark = embeddings.sparkSession
+    kinds = {f.name: f.dataType for f in queries.schema.fields} | {"chunk_id": embeddings.schema["chunk_id"].dataType}
+    schema = T.StructType(
+        [
+            T.StructField("query_id", kinds["query_id"]),
+            T.StructField("chunk_id", kinds["chunk_id"]),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    asked = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
+    size = asked.agg(F.count(F.lit(1)), F.sum(F.size("vector"))).first()
+    blocks = max(1, -(-(size[1] or 0) // BLOCK_VALUES))
+    out = spark.createDataFrame([], schema)
+    for k in range(blocks if size[0] else 0):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        found = part.collect()
+        for d in sorted({len(r["vector"]) for r in found}):
+            mine = [r for r in found if len(r["vector"]) == d]
+            sent = spark.sparkContext.broadcast(
+                ([r["query_id"] for r in mine], np.array([r["vector"] for r in mine], np.float64).reshape(len(mine), d))
+            )
+            out = out.unionByName(_best(embeddings, sent, schema, limit))
+    return top(out, limit)
+
+
+def _best(embeddings: DataFrame, sent, schema: T.StructType, limit: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = sent.value
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            score = _cosines(vectors, batch.column(1))
+            shown = np.round(score, 9)
+            k = min(limit, batch.num_rows)
+            least = -np.partition(-shown, k - 1, axis=1)[:, k - 1]
+            q, row = np.nonzero(shown >= least[:, None])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[i] for i in q]), batch.column(0).take(pa.array(row)), pa.array(score[q, row])],
+                names=["query_id", "chunk_id", "score"],
+            )
+
+    return embeddings.select("chunk_id", "embedding").mapInArrow(run, schema)
 
 
 def pending(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -45,11 +45,11 @@ def term_frequencies(spark, d):
 
 
 def doc_lengths(spark, d):
-    return lexical.term_rows(tables.chunks(spark, d)).select("chunk_id", "doc_len")
+    return lexical.term_rows(tables.chunks(spark, d)).select("chunk_id", "doc_len").where("doc_len > 0")
 
 
 def corpus_stats(spark, d):
-    found = lexical.corpus_stats(doc_lengths(spark, d))
+    found = lexical.corpus_stats(lexical.term_rows(tables.chunks(spark, d)))
     return found.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
@@ -167,7 +167,7 @@ def vector_search(spark, d):
 def vector_batch(spark, d):
     stored = tables.embeddings(spark, d)
     asked = stored.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return _ranked(vector.search_batch(stored, asked, LIMIT, vector.query_blocks(asked, 64)))
+    return _ranked(vector.search_batch(stored, asked, LIMIT))
 
 
 def embedding_dims(spark, d):

@@ -80,7 +80,7 @@ def test_bm25_batch_and_limit(spark, index):
     assert sorted(r["query_id"] for r in got) == [1, 2]
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     stored = spark.createDataFrame(
         [("a", [1.0, 0.0, 0.0]), ("b", [0.7, 0.7, 0.0]), ("c", [0.0, 1.0, 0.0]), ("z", [0.0, 0.0, 0.0]), ("s", [1.0])],
         "chunk_id string, embedding array<float>",
@@ -92,8 +92,11 @@ def test_vectors(spark):
     assert not vector.check_ready(stored.limit(0), 3)
     with pytest.raises(vector.DimensionMismatch):
         vector.check_ready(stored.limit(1), 4)
-    blocks = vector.search_batch(stored, asked.unionByName(asked.withColumn("query_id", F.lit(5).cast("long"))), 2, blocks=3)
-    assert blocks.count() == 4
+    twice = asked.unionByName(asked.withColumn("query_id", F.lit(5).cast("long")))
+    monkeypatch.setattr(vector, "BLOCK_VALUES", 3)
+    assert vector.search_batch(stored, twice, 2).count() == 4
+    assert vector.search_batch(stored, asked.limit(0)).count() == 0
+    assert vector.search_batch(stored.limit(0), asked).count() == 0
 
 
 def _list(spark, ids):
