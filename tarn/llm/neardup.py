@@ -6,8 +6,8 @@ each coordinate, so a coordinate agrees between two documents with the probabili
 weighted Jaccard similarity. Bands of coordinates make buckets; links inside buckets are
 verified on the whole shingle sets, and classes are the connected components of the links.
 
-No bucket is expanded into all its pairs. First each member meets its bucket's most connected
-member; what is then still in different components of a bucket is compared in blocks.
+No large bucket is expanded into its pairs. First each member meets its bucket's most connected
+member; what is then still outside a bucket's largest component is compared with all in blocks.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ CHUNK_BYTES = 3 << 20
 #: Buckets up to this size are compared by a join, larger ones block by block.
 SMALL_BUCKET = 32
 BLOCK = 512
+#: Columns of a block's 0/1 matrices.
+VOCABULARY = 4_096
 
 
 def dart_signatures(
@@ -182,38 +184,74 @@ def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch.loc[(x == y).mean(axis=1) >= LEAST_AGREEMENT, ["a", "b"]]
 
 
-def _blockwise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs between two blocks of one bucket that are in different components and agree.
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``x`` shares with each of ``y``, by products of 0/1 matrices."""
 
-    Rows of a block pair stand together: ``side`` 0 and 1 (one block with itself: side 0 only).
+    def flat(sets):
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (a, row_a), (b, row_b) = flat(x), flat(y)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, len(both), VOCABULARY):
+        part = both[at : at + VOCABULARY]
+        sides = []
+        for values, rows, n in ((a, row_a, len(x)), (b, row_b, len(y))):
+            place = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[place] == values
+            m = np.zeros((n, len(part)), np.float32)
+            m[rows[hit], place[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _blockwise(similarity: float):
+    """Verified links between two blocks of one bucket, from rows that stand together by block pair.
+
+    ``side`` 0 holds members outside the bucket's largest component, side 1 any members. A
+    member gets one link to each component it is similar to; more would not join more.
     """
-    rest = None
+    names = ["bucket", "i", "j"]
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
-        one = group[group["side"] == 0]
-        two = group[group["side"] == 1] if (group["side"] == 1).any() else one
+        one, two = group[group["side"] == 0], group[group["side"] == 1]
+        if one.empty or two.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         x = np.frombuffer(b"".join(one["signature"]), np.uint32).reshape(len(one), -1)
         y = np.frombuffer(b"".join(two["signature"]), np.uint32).reshape(len(two), -1)
         same = np.zeros((len(one), len(two)), np.int16)
         for k in range(x.shape[1]):
             same += x[:, k][:, None] == y[:, k][None, :]
-        apart = one["class_id"].to_numpy()[:, None] != two["class_id"].to_numpy()[None, :]
-        i, j = np.nonzero(apart & (same >= LEAST_AGREEMENT * x.shape[1]))
-        a, b = one["node"].to_numpy()[i], two["node"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    names = ["bucket", "i", "j"]
-    for batch in batches:
-        rest = batch if rest is None else pd.concat([rest, batch])
-        if len(rest) == 0:
-            continue
-        last = rest[names].iloc[-1]
-        open_ = (rest[names] == last).all(axis=1)
-        for _, group in rest[~open_].groupby(names, sort=False):
-            yield solve(group)
-        rest = rest[open_]
-    if rest is not None and len(rest):
-        yield solve(rest)
+        class_y = two["class_id"].to_numpy()
+        likely = (one["class_id"].to_numpy()[:, None] != class_y[None, :]) & (same >= LEAST_AGREEMENT * x.shape[1])
+        at_x, at_y = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
+        if len(at_x) == 0:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sets_x = [np.asarray(one["shingles"].iloc[i]) for i in at_x]
+        sets_y = [np.asarray(two["shingles"].iloc[j]) for j in at_y]
+        both = _shared(sets_x, sets_y)
+        n_x, n_y = np.array([len(s) for s in sets_x]), np.array([len(s) for s in sets_y])
+        linked = likely[np.ix_(at_x, at_y)] & (both >= similarity * (n_x[:, None] + n_y[None, :] - both))
+        i, j = np.nonzero(linked)
+        a, b = one["node"].to_numpy()[at_x[i]], two["node"].to_numpy()[at_y[j]]
+        found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "own": a, "other": class_y[at_y[j]]})
+        return found.drop_duplicates(["own", "other"])[["a", "b"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch])
+            if len(rest) == 0:
+                continue
+            open_ = (rest[names] == rest[names].iloc[-1]).all(axis=1)
+            for _, group in rest[~open_].groupby(names, sort=False):
+                yield solve(group)
+            rest = rest[open_]
+        if rest is not None and len(rest):
+            yield solve(rest)
+
+    return run
 
 
 class NearDuplicates:
@@ -270,7 +308,9 @@ class NearDuplicates:
         )
         links = written(self.verified(pairs, likely, sets), "dup-links")
         labels = components(links)
-        more = written(self.verified(self.left_apart(shared, labels, likely), likely, sets), "dup-more")
+        apart = self.left_apart(shared, labels)
+        more = self.verified(self.small_buckets(apart), likely, sets).unionByName(self.large_buckets(apart, likely, sets))
+        more = written(more, "dup-more")
         if more.limit(1).count():
             labels = components(links.unionByName(more))
         of_copy = copies.join(labels, "node", "left").select(
@@ -279,45 +319,50 @@ class NearDuplicates:
         found = ids.join(of_copy, "digest", "left")
         return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
-    def left_apart(self, shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-        """All pairs that share a bucket but not yet a component and may be similar."""
+    def left_apart(self, shared: DataFrame, labels: DataFrame) -> DataFrame:
+        """(bucket, node, size, class_id, lead) of the buckets with several components; lead is the largest."""
         rows = shared.join(labels, "node", "left").select(
             "bucket", "node", "size", F.coalesce("class_id", "node").alias("class_id")
         )
-        mixed = rows.groupBy("bucket").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"))
-        mixed = mixed.where(F.col("lo") < F.col("hi")).select("bucket")
-        rows = written(rows.join(mixed, "bucket"), "dup-apart")
-        small = rows.where(F.col("size") <= SMALL_BUCKET)
+        parts = rows.groupBy("bucket", "class_id").agg(F.count(F.lit(1)).alias("n"))
+        lead = parts.groupBy("bucket").agg(
+            F.max_by("class_id", F.struct("n", "class_id")).alias("lead"), F.count(F.lit(1)).alias("parts")
+        )
+        return written(rows.join(lead.where("parts > 1").drop("parts"), "bucket"), "dup-apart")
+
+    def small_buckets(self, apart: DataFrame) -> DataFrame:
+        """The pairs of different components in buckets of at most SMALL_BUCKET rows."""
+        small = apart.where(F.col("size") <= SMALL_BUCKET)
         x = small.select("bucket", F.col("node").alias("a"), F.col("class_id").alias("ca"))
         y = small.select("bucket", F.col("node").alias("b"), F.col("class_id").alias("cb"))
-        pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b")
-        large = rows.where(F.col("size") > SMALL_BUCKET)
-        # Members sorted by component, so most blocks hold one component and meet few others.
-        n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        large = large.withColumn("blocks", n_blocks).withColumn(
-            "block", F.pmod(F.xxhash64("class_id", (F.xxhash64("node") % 7)), F.col("blocks")).cast("int")
-        )
-        spans = large.groupBy("bucket", "block").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"))
-        p = spans.select("bucket", F.col("block").alias("i"), F.col("lo").alias("li"), F.col("hi").alias("hi_"))
-        q = spans.select("bucket", F.col("block").alias("j"), F.col("lo").alias("lj"), F.col("hi").alias("hj"))
-        one_class = (F.col("li") == F.col("hi_")) & (F.col("lj") == F.col("hj")) & (F.col("li") == F.col("lj"))
-        meet = p.join(q, "bucket").where((F.col("i") <= F.col("j")) & ~one_class).select("bucket", "i", "j")
-        meet = written(meet, "dup-meet")
-        members = large.join(nodes.select("node", "signature"), "node").select(
-            "bucket", "block", "node", "class_id", "signature"
-        )
-        left = members.join(meet.withColumnRenamed("i", "block"), ["bucket", "block"]).select(
-            "bucket", F.col("block").alias("i"), "j", F.lit(0).alias("side"), "node", "class_id", "signature"
-        )
-        right = members.join(
-            meet.where(F.col("i") != F.col("j")).withColumnRenamed("j", "block"), ["bucket", "block"]
-        ).select("bucket", "i", F.col("block").alias("j"), F.lit(1).alias("side"), "node", "class_id", "signature")
-        blocks = left.unionByName(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        return pairs.unionByName(blocks.mapInPandas(_blockwise, "a long, b long")).distinct()
+        pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
+        return pairs.select("a", "b").distinct()
+
+    def large_buckets(self, apart: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+        """Verified links of larger buckets: members outside the lead component against all, in blocks."""
+        large = apart.where(F.col("size") > SMALL_BUCKET)
+        outside = F.col("class_id") != F.col("lead")
+        counts = large.groupBy("bucket").agg(F.ceil(F.count_if(outside) / BLOCK).cast("int").alias("n_i"))
+        large = large.join(counts, "bucket").withColumn("n_j", F.ceil(F.col("size") / BLOCK).cast("int"))
+        full = nodes.select("node", "signature").join(sets, "node")
+        large = large.join(full, "node")
+        kept = ["bucket", "i", "j", "side", "node", "class_id", "signature", "shingles"]
+
+        def block(n: str):
+            return F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+
+        def each(n: str):
+            return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+        left = large.where(outside).withColumns({"i": block("n_i"), "side": F.lit(0)}).withColumn("j", each("n_j"))
+        right = large.withColumns({"j": block("n_j"), "side": F.lit(1)}).withColumn("i", each("n_i"))
+        both = left.select(*kept).unionByName(right.select(*kept))
+        both = both.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        return both.mapInPandas(_blockwise(self.similarity), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, class_size, kept) for every row of ``docs`` (doc_id, text).
+    """(doc_id, class_id, kept) for every row of ``docs`` (doc_id, text).
 
     Two texts are linked when the Jaccard similarity of their sets of five-word shingles is at
     least ``similarity``; classes are connected components, named by their least doc_id; kept
@@ -327,15 +372,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     a null class and is kept.
     """
     found = NearDuplicates(docs, similarity).classes()
-    sizes = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    out = found.join(sizes, "class_id").select(
-        "doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept")
-    )
+    out = found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     lost = docs.where(F.col("doc_id").isNull()).select(
-        F.lit(None).cast("long").alias("doc_id"),
-        F.lit(None).cast("long").alias("class_id"),
-        F.lit(1).cast("long").alias("class_size"),
-        F.lit(True).alias("kept"),
+        F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")
     )
     return out.unionByName(lost)
 
@@ -358,3 +397,28 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def near_duplicate_query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+_WORDS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+#: All pairs that share a shingle, with their exact similarity, and the components of the links.
+NEAR_DUPLICATE_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + {WIDTH - 1}], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WIDTH - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c >= {SIMILARITY} * (na.n + nb.n - c)
+  UNION SELECT m, doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS m FROM d) WHERE m <> doc_id
+), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach(node, root) AS (
+  SELECT DISTINCT a, a FROM e
+  UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.node WHERE reach.root <= e.b
+), c AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT doc_id, coalesce(root, doc_id) AS class_id, coalesce(root, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN c ON node = doc_id
+"""
