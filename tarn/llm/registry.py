@@ -18,4 +18,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_dual_tree_top_k": topk.TOP_K_SQL,
+    "op5_suffix_array_decontamination": decontaminate.DECONTAMINATE_SQL,
+    "op8_induced_suffix_dedup": suffixdedup.SUFFIX_DEDUP_SQL,
+    "op9_dart_minhash_near_dedup": neardup.NEAR_DUPLICATE_SQL,
 }
