@@ -21,7 +21,9 @@ from tarn.llm.common import written
 MIX_SHARE = 1.5
 MAX_COPIES = 2
 WEIGHTS = (3, 1, 2)
-DOCS_PER_TASK = 20_000
+DOCS_PER_TASK = 4_000
+#: Rounding errors up to this share of a block's words stay.
+SLACK = 0.005
 #: Newton steps; each at least halves the bracket, so 80 reach the precision of a double.
 STEPS = 80
 
@@ -119,30 +121,44 @@ def _solve_task(cap: float):
     return run
 
 
-def _round_task(cap: int):
-    """Whole copies for a block of one source; errors are carried from large to small documents."""
+def rounded(sizes: list[int], rates: list[float], cap: int) -> tuple[list[int], list[int]]:
+    """Whole copies and words of a partial copy, for documents from large to small.
+
+    Each rounding error is carried to the next document. What the last ones can't take up, where
+    single documents dwarf the rest, becomes partial copies; errors below SLACK of all words stay.
+    """
+    carry, copies = 0.0, []
+    for size, rate in zip(sizes, rates):
+        n = 1 if size == 0 else min(cap, max(0, math.floor(rate + carry / size + 0.5)))
+        carry += (rate - n) * size
+        copies.append(n)
+    partial = [0] * len(sizes)
+    enough = SLACK * sum(s * r for s, r in zip(sizes, rates))
+    for i, size in enumerate(sizes):
+        if abs(carry) <= enough:
+            break
+        change = int(max(-copies[i] * size, min((cap - copies[i]) * size, round(carry))))
+        if size:
+            copies[i], partial[i] = divmod(copies[i] * size + change, size)
+            carry -= change
+    return copies, partial
+
 
+def _round_task(cap: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
-        carry, copies = 0.0, []
-        for size, rate in zip(block["size"].tolist(), block["rate"].tolist()):
-            if size == 0:
-                copies.append(1)
-                continue
-            n = min(cap, max(0, math.floor(rate + carry / size + 0.5)))
-            carry += (rate - n) * size
-            copies.append(n)
-        block["copies"] = copies
-        return block[["doc_id", "size", "source", "source_size", "target", "rate", "copies"]]
+        block["copies"], block["partial"] = rounded(block["size"].tolist(), block["rate"].tolist(), cap)
+        return block[["doc_id", "size", "source", "source_size", "target", "rate", "copies", "partial"]]
 
     return run
 
 
 def rates(docs: DataFrame, share: float = MIX_SHARE, cap: int = MAX_COPIES) -> DataFrame:
-    """(doc_id, size, source, source_size, target, rate, copies) of every row of ``docs``.
+    """(doc_id, size, source, source_size, target, rate, copies, partial) of every row of ``docs``.
 
     ``docs`` needs doc_id, source and text. A text of no words (or null) keeps one copy and
-    takes nothing. Rows with a null source form a source of their own. Repeated rows are
+    takes nothing. ``partial`` is 0 but where whole copies can't come near a target: so many first
+    words of the document come on top. Rows with a null source form a source of their own. Repeated rows are
     separate documents. A source of no words has target 0.
     """
     sized = written(docs.select("doc_id", "source", n_words().alias("size")), "mix-sizes")
@@ -170,25 +186,32 @@ def rates(docs: DataFrame, share: float = MIX_SHARE, cap: int = MAX_COPIES) -> D
     )
     return rated.groupBy("source", "block").applyInPandas(
         _round_task(cap),
-        "doc_id long, size long, source string, source_size long, target double, rate double, copies int",
+        "doc_id long, size long, source string, source_size long, target double, rate double, copies int, partial long",
     )
 
 
 def mixed(docs: DataFrame, share: float = MIX_SHARE, cap: int = MAX_COPIES) -> DataFrame:
     """The documents of the mix, each as often as it has copies; columns as in ``docs``.
 
-    Documents of equal id and size are interchangeable and share their copies evenly.
+    A partial copy has the document's first words, a blank apart. Documents of equal id and size are
+    interchangeable: the first of them, by text, takes what they have together.
     """
     found = rates(docs, share, cap)
     by_id = found.groupBy("doc_id", "size").agg(
-        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("repeats")
+        F.sum("copies").alias("__copies"), F.sum("partial").alias("__partial"), F.count(F.lit(1)).alias("__repeats")
     )
-    left = docs.withColumn("__size", n_words())
+    by_id = by_id.withColumnsRenamed({"doc_id": "__id", "size": "__n"})
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__n"))
-    by_id = by_id.select(F.col("doc_id").alias("__id"), F.col("size").alias("__n"), "copies", "repeats")
-    joined = left.join(by_id.withColumnsRenamed({"copies": "__copies", "repeats": "__repeats"}), on)
-    times = F.ceil(F.col("__copies") / F.col("__repeats")).cast("int")
-    return joined.withColumn("__k", F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    joined = docs.withColumn("__size", n_words()).join(by_id, on)
+    if not by_id.where("__repeats > 1").limit(1).isEmpty():
+        at = F.row_number().over(Window.partitionBy("__id", "__n").orderBy("text"))
+        joined = joined.withColumn("__at", at).where("__at = 1")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    part = F.array_join(F.slice(words, F.lit(1), F.col("__partial").cast("int")), " ")
+    texts = F.array_repeat(F.col("text"), F.col("__copies").cast("int"))
+    texts = F.concat(texts, F.when(F.col("__partial") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    out = joined.withColumn("__text", F.explode(texts))
+    return out.select(*[F.col("__text").alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
 def mix_query(spark, sf_dir: str) -> DataFrame:
@@ -198,8 +221,9 @@ def mix_query(spark, sf_dir: str) -> DataFrame:
         "size",
         "source_size",
         "target",
-        (F.col("copies") * F.col("size")).cast("long").alias("taken"),
+        (F.col("copies") * F.col("size") + F.col("partial")).cast("long").alias("taken"),
         "source",
         "rate",
         "copies",
+        "partial",
     )
