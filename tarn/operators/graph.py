@@ -163,13 +163,12 @@ def directed(edge_rows: DataFrame) -> DataFrame:
     kind = F.array_position(F.array(*[F.lit(k) for k in WEIGHTS]), F.col("edge_type"))
     order = F.struct(kind.alias("kind"), "from_chunk_id", "to_chunk_id", "to_name")
     known = edge_rows.where(F.col("resolved") & F.col("to_chunk_id").isNotNull())
-    out = known.select(
-        F.col("from_chunk_id").alias("here"), F.col("to_chunk_id").alias("there"), "weight", F.lit(0).alias("way"), order.alias("edge_order")
+    out = F.struct(F.col("from_chunk_id").alias("here"), F.col("to_chunk_id").alias("there"), F.lit(0).alias("way"))
+    back = F.struct(F.col("to_chunk_id").alias("here"), F.col("from_chunk_id").alias("there"), F.lit(1).alias("way"))
+    # Both directions come from one row, so the edges are made once, not once a direction.
+    return known.select("weight", order.alias("edge_order"), F.explode(F.array(out, back)).alias("e")).select(
+        "e.here", "e.there", "weight", "e.way", "edge_order"
     )
-    back = known.select(
-        F.col("to_chunk_id").alias("here"), F.col("from_chunk_id").alias("there"), "weight", F.lit(1).alias("way"), order.alias("edge_order")
-    )
-    return out.unionByName(back)
 
 
 def expanded(seeds: DataFrame, edge_rows: DataFrame, decay: float = DECAY) -> DataFrame:
