@@ -152,9 +152,9 @@ _MATCH = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS query_id, '{n}' AS t
 _SHORT_CALLS = """sc AS (SELECT name AS short, min(chunk_id) AS id FROM ch WHERE chunk_type IN ('function', 'method')
   GROUP BY name HAVING count(*) = 1 AND length(name) >= 4)"""
 _STATUS = """
-SELECT CAST(d.doc_id AS VARCHAR) AS source_path, sha256(d.t) AS checksum,
-  CASE WHEN d.doc_id % 10 = 0 THEN 'new' WHEN sha256(d.t) = sha256(d.text) THEN 'unchanged' ELSE 'changed' END AS status
-FROM (SELECT doc_id, text, CASE WHEN doc_id % 10 = 1 THEN text || '!' ELSE text END AS t FROM documents) d"""
+SELECT 'doc/' || doc_id AS source_path, sha256(t) AS checksum, CASE WHEN sha256(t) = sha256(text) THEN 'unchanged' ELSE 'changed' END AS status
+FROM (SELECT doc_id, text, CASE WHEN lang = 'fr' THEN text || '!' ELSE text END AS t FROM documents)
+UNION ALL SELECT 'page/' || page_id, sha256(html), 'new' FROM pages"""
 
 ORACLES = {
     "tokenize_terms": f"WITH {_P} SELECT * FROM p",
@@ -243,11 +243,9 @@ ORACLES = {
         WHEN chunk_type = 'class' THEN 0.9 WHEN chunk_type = 'interface' THEN 0.8 ELSE 0.4 END)::DOUBLE, 4) AS total FROM ch GROUP BY chunk_type""",
     "checksum_status": _STATUS,
     "job_counts": f"SELECT status, count(*) AS n FROM ({_STATUS}) GROUP BY status",
-    "upsert_documents": """WITH s AS (SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id % 4 <> 0),
-          i AS (SELECT doc_id, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 3 <> 0)
-        SELECT coalesce(s.doc_id, i.doc_id) AS doc_id, coalesce(s.lang, 'xx') AS lang,
-          CASE WHEN i.doc_id IS NULL THEN s.source ELSE 'new' END AS source, coalesce(i.n_chars, s.n_chars) AS n_chars
-        FROM s FULL JOIN i ON s.doc_id = i.doc_id""",
+    "upsert_documents": """SELECT doc_id, lang, CASE WHEN lang = 'de' THEN source ELSE 'new' END AS source,
+          CASE WHEN lang = 'de' THEN n_chars ELSE n_chars + 1 END AS n_chars FROM documents
+        UNION ALL SELECT -1 - page_id, 'xx', 'new', length(html) FROM pages""",
     "cascade_delete": f"""WITH {_G}, {_GE}, dead AS (SELECT chunk_id FROM g WHERE document_id = '2')
         SELECT from_chunk_id, CASE WHEN to_chunk_id IN (SELECT chunk_id FROM dead) THEN NULL ELSE to_chunk_id END AS to_chunk_id,
           to_name, edge_type, weight, resolved AND coalesce(to_chunk_id NOT IN (SELECT chunk_id FROM dead), true) AS resolved

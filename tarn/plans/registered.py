@@ -258,12 +258,15 @@ def type_multipliers(spark, d):
 
 
 def checksum_status(spark, d):
-    chunks = tables.chunks(spark, d)
-    stored = chunks.where("chunk_id % 10 <> 0").select(
-        F.col("chunk_id").cast("string").alias("source_path"), files.checksum(F.col("content")).alias("checksum")
+    """Documents as stored, against all of them with the French ones edited, and the pages as new files."""
+    docs, pages = tables.read(spark, d, "documents"), tables.read(spark, d, "pages")
+    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source_path")
+    stored = docs.select(path, files.checksum(F.col("text")).alias("checksum"))
+    text = F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    new = F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("source_path")
+    incoming = docs.select(path, files.checksum(text).alias("checksum")).unionByName(
+        pages.select(new, files.checksum(F.col("html")).alias("checksum"))
     )
-    text = F.when(F.col("chunk_id") % 10 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
-    incoming = chunks.select(F.col("chunk_id").cast("string").alias("source_path"), files.checksum(text).alias("checksum"))
     return files.change_status(incoming, stored).select("source_path", "checksum", "status")
 
 
@@ -272,11 +275,12 @@ def job_counts(spark, d):
 
 
 def upsert_documents(spark, d):
-    docs = tables.read(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    stored = docs.where("doc_id % 4 <> 0")
-    incoming = docs.where("doc_id % 3 <> 0").select(
-        "doc_id", F.lit("xx").alias("lang"), F.lit("new").alias("source"), (F.col("n_chars") + 1).alias("n_chars")
-    )
+    """All but the German documents updated, the pages inserted."""
+    docs, pages = tables.read(spark, d, "documents"), tables.read(spark, d, "pages")
+    stored = docs.select("doc_id", "lang", "source", "n_chars")
+    update = docs.where("lang <> 'de'").select("doc_id", (F.col("n_chars") + 1).alias("n_chars"))
+    insert = pages.select((-1 - F.col("page_id")).alias("doc_id"), F.length("html").cast("long").alias("n_chars"))
+    incoming = update.unionByName(insert).select("doc_id", F.lit("xx").alias("lang"), F.lit("new").alias("source"), "n_chars")
     return store.upserted(stored, incoming, "doc_id", kept=("lang",))
 
 
