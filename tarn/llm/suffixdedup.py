@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,25 +90,32 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bounds, shift in cuts:
             h, place = anchors(part, bounds)
             row = np.searchsorted(bounds, place, side="right") - 1
+            # A text's places of one anchor make one row, so a periodic text isn't a hot anchor.
+            by = np.lexsort((place, h, row))
+            h, row, place = h[by], row[by], place[by]
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            starts = np.flatnonzero(fresh)
+            local = place - bounds[row] + shift
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(h.view(np.int64)),
-                    pa.array(ids[row]),
-                    pa.array(place - bounds[row] + shift),
+                    pa.array(h[starts].view(np.int64)),
+                    pa.array(ids[row[starts]]),
+                    pa.array(local[starts]),
+                    pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)), pa.int32()), pa.array(local)),
                 ],
-                names=["anchor", "tid", "at"],
+                names=["anchor", "tid", "at", "places"],
             )
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor, text and place: those whose anchor has two distinct places."""
-    held = None  # the last run's first row, while it is the only one: (anchor, tid, at)
-    last = None
-    many = False
-
-    def out(a, t, p):
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(t), pa.array(p)], names=["anchor", "tid", "at"])
+    """Of rows sorted by anchor, text and first place: those whose anchor stands at two places or more.
 
+    Copies of a row are one. A run of one anchor may go over many batches: only its first row is
+    held back, until another comes.
+    """
+    held = last = None
+    many = False
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -117,46 +125,51 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last is not None:
             fresh[0] = (a[0], t[0], p[0]) != last
         last = (a[-1], t[-1], p[-1])
-        a, t, p = a[fresh], t[fresh], p[fresh]
-        if len(a) == 0:
+        rows = np.flatnonzero(fresh)
+        if len(rows) == 0:
             continue
+        a = a[rows]
+        keep = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)[rows] > 1
         same = a[1:] == a[:-1]
-        keep = np.zeros(len(a), bool)
         keep[1:] |= same
         keep[:-1] |= same
         if held is not None and a[0] == held[0]:
-            first = a == held[0]
-            keep |= first
+            keep |= a == held[0]
             if not many:
-                yield out([held[0]], [held[1]], [held[2]])
+                yield held[1]
             many = True
         if held is None or a[-1] != held[0]:
-            held = (a[-1], t[-1], p[-1])
+            held = (a[-1], batch.slice(int(rows[-1]), 1))
             many = bool(keep[-1])
         if keep.any():
-            yield out(a[keep], t[keep], p[keep])
+            yield batch.take(pa.array(rows[keep]))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchor, LENGTH bytes from it, and up to SPAN - 1 bytes before it, backwards, by sampled place."""
+    """Anchor, LENGTH bytes from it, and up to SPAN - 1 bytes before it, backwards, with their places in the text."""
     before = None
     for piece in pieces(batches, "text", CHUNK_BYTES):
         data, offsets = byte_view(piece.column("text"))
         raw = data.tobytes()
-        found: dict[str, list] = {"anchor": [], "tid": [], "at": [], "right": [], "left": []}
-        for i, (tid, places) in enumerate(zip(piece.column("tid").to_pylist(), piece.column("places"))):
+        found: dict[str, list] = {"anchor": [], "tid": [], "right": [], "left": [], "places": []}
+        for i, (tid, sampled) in enumerate(zip(piece.column("tid").to_pylist(), piece.column("sampled"))):
             if tid == before:
                 continue  # a copy: rows come sorted by text
             before = tid
             low, high = int(offsets[i]), int(offsets[i + 1])
-            for place in places.as_py():
-                at = low + place["at"]
-                found["anchor"].append(place["anchor"])
+            of: dict[tuple, list[int]] = {}
+            for s in sampled.as_py():
+                for place in s["places"]:
+                    at = low + place
+                    key = (s["anchor"], raw[at : min(high, at + LENGTH)], raw[max(low, at - SPAN + 1) : at][::-1])
+                    of.setdefault(key, []).append(place)
+            for (anchor, right, left), places in of.items():
+                found["anchor"].append(anchor)
                 found["tid"].append(tid)
-                found["at"].append(place["at"])
-                found["right"].append(raw[at : min(high, at + LENGTH)])
-                found["left"].append(raw[max(low, at - SPAN + 1) : at][::-1])
-        kinds = {"anchor": pa.int64(), "tid": pa.int64(), "at": pa.int64(), "right": pa.binary(), "left": pa.binary()}
+                found["right"].append(right)
+                found["left"].append(left)
+                found["places"].append(sorted(set(places)))
+        kinds = {"anchor": pa.int64(), "tid": pa.int64(), "right": pa.binary(), "left": pa.binary(), "places": pa.list_(pa.int64())}
         yield pa.RecordBatch.from_arrays([pa.array(found[k], v) for k, v in kinds.items()], names=list(kinds))
 
 
@@ -256,15 +269,18 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in ("anchor", "right", "left", "tid", "at")]
-        for anchor, right, left, tid, at in zip(*columns):
+        columns = [batch.column(k).to_pylist() for k in ("anchor", "right", "left", "tid", "places")]
+        for anchor, right, left, tid, places in zip(*columns):
+            found = [(tid, at) for at in places]
             if rows and rows[-1][:3] == (anchor, right, left):
-                rows[-1][3].append((tid, at))
+                # The same text may have come to two tasks; its places count once.
+                if rows[-1][3][-1][0] != tid:
+                    rows[-1][3].extend(found)
                 continue
             if len(rows) >= GROUP_ROWS and rows[-1][0] != anchor:
                 yield solve(rows)
                 rows = []
-            rows.append((anchor, right, left, [(tid, at)]))
+            rows.append((anchor, right, left, found))
     if rows:
         yield solve(rows)
 
@@ -274,14 +290,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     copies: the text stands more than once, so all of it (of LENGTH bytes or more) repeats.
     """
-    sampled = docs.mapInArrow(_sample, "anchor long, tid long, at long")
+    anchor_rows = "anchor long, tid long, at long, places array<long>"
+    sampled = docs.mapInArrow(_sample, anchor_rows)
     sampled = sampled.repartition("anchor").sortWithinPartitions("anchor", "tid", "at")
-    places = written(sampled.mapInArrow(_repeated, "anchor long, tid long, at long"), "sub-places")
-    by_text = places.groupBy("tid").agg(F.collect_list(F.struct("at", "anchor")).alias("places"))
+    repeated = written(sampled.mapInArrow(_repeated, anchor_rows), "sub-places")
+    by_text = repeated.groupBy("tid").agg(F.collect_list(F.struct("anchor", "places")).alias("sampled"))
     # Sorted by text, so that copies of one stand together.
     texts = docs.join(by_text, "tid").sortWithinPartitions("tid")
-    contexts = texts.mapInArrow(_contexts, "anchor long, tid long, at long, right binary, left binary")
-    contexts = contexts.repartition("anchor").sortWithinPartitions("anchor", "right", "left", "tid", "at")
+    contexts = texts.mapInArrow(_contexts, "anchor long, tid long, right binary, left binary, places array<long>")
+    contexts = contexts.repartition("anchor").sortWithinPartitions("anchor", "right", "left", "tid")
     spans = contexts.mapInArrow(_spans, "tid long, start long, end long")
     spans = spans.groupBy("tid").agg(F.array_distinct(F.collect_list(F.struct("start", "end"))).alias("spans"))
     spans = written(spans, "sub-spans")
@@ -350,3 +367,28 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 def suffix_dedup_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return without_repeats(docs).drop("kept")
+
+
+#: Every window of LENGTH bytes, as hexadecimal text, and the union of those that repeat.
+SUFFIX_DEDUP_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT r, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS k
+  FROM (SELECT r, h, unnest(range(0, length(h) // 2 - {LENGTH} + 1)) AS i FROM d WHERE length(h) >= {2 * LENGTH})
+), again AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+s AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM again)),
+g AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS fresh FROM s),
+m AS (
+  SELECT r, min(i) AS a, max(i) + {LENGTH} AS b
+  FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM g) GROUP BY r, run
+), gaps AS (
+  SELECT m.r, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY m.r ORDER BY a), 0) + 1,
+    2 * (a - coalesce(lag(b) OVER (PARTITION BY m.r ORDER BY a), 0))) AS piece FROM m JOIN d ON d.r = m.r
+), q AS (
+  SELECT r, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(piece, '' ORDER BY a) AS kept FROM gaps GROUP BY r
+)
+SELECT doc_id, CAST(strlen(t) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN q USING (r)
+"""
