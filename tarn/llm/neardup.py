@@ -29,12 +29,14 @@ BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: Pairs whose signatures agree in fewer coordinates aren't verified: six standard deviations below 0.8.
 LEAST_AGREEMENT = 0.55
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 3 << 19
 #: Buckets up to this size are compared by a join, larger ones block by block.
 SMALL_BUCKET = 32
 BLOCK = 512
 #: Columns of a block's 0/1 matrices.
 VOCABULARY = 4_096
+#: Ids up to this number (8 MB) are sent to the tasks, so that texts needn't shuffle; more are joined.
+SENT_IDS = 1_000_000
 
 
 def dart_signatures(
@@ -254,6 +256,11 @@ def _blockwise(similarity: float):
     return run
 
 
+def sent_if_few(ids: DataFrame) -> DataFrame:
+    """Written ids, marked for a broadcast join if they are counted to be few."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
 class NearDuplicates:
     """The stages of one run over ``docs`` (doc_id, text)."""
 
@@ -276,8 +283,9 @@ class NearDuplicates:
 
     def classes(self) -> DataFrame:
         """(doc_id, class_id) of every row with an id; class_id is the least doc_id of the class."""
-        signed = written(self.docs.where(F.col("text").isNotNull()).mapInArrow(
-            _sign, "doc_id long, signature binary, bands array<long>"), "dup-signed")
+        signed = self.docs.where(F.col("text").isNotNull()).mapInArrow(
+            _sign, "doc_id long, signature binary, bands array<long>"
+        )
         ids = written(self.docs.select("doc_id", text_digest().alias("digest")), "dup-ids")
         copies = ids.where(F.col("digest").isNotNull()).groupBy("digest").agg(
             F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")
@@ -293,7 +301,8 @@ class NearDuplicates:
         likely = written(
             nodes.join(popular, "node").select("node", "signature", "popular"), "dup-candidates"
         )
-        sets = self.docs.join(likely.select("node"), F.col("doc_id") == F.col("node")).select("node", "text")
+        wanted = sent_if_few(likely.select("node"))
+        sets = self.docs.join(wanted, F.col("doc_id") == F.col("node")).select("node", "text")
         sets = written(sets.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "dup-sets")
         # Each member meets its bucket's most connected member: as many pairs as bucket rows, at most.
         ranked = shared.join(likely.select("node", "popular"), "node")
@@ -386,7 +395,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct(),
         "dup-gone",
     )
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    kept = docs.join(sent_if_few(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
     repeats = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).limit(1).count()
     if not repeats:
         return kept

@@ -163,6 +163,7 @@ def test_near_duplicates(spark, docs, texts):
 def test_near_duplicate_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
     monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "SENT_IDS", 3)
     base = prose(50, 100).split()
     rows = []
     for i in range(60):
