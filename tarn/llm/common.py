@@ -70,7 +70,7 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept by the worker up to 4 Mi entries."""
+    """base**0 .. base**(n-1) modulo 2**64, kept by the worker up to 2 Mi entries."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
@@ -81,7 +81,7 @@ def powers(base: int, n: int) -> np.ndarray:
             step = min(filled, size - filled)
             have[filled : filled + step] = have[:step] * U64(pow(base, filled, 1 << 64))
             filled += step
-        if size <= 1 << 22:
+        if size <= 1 << 21:
             _powers[base] = have
     return have[:n]
 
@@ -149,7 +149,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = np.flatnonzero(inside & ~after) + 1
     sums = np.empty(n + 1, U64)
     sums[0] = 0
-    np.cumsum((_LOWER[data].astype(U64) + U64(1)) * powers(BASE, n), out=sums[1:])
+    values = _LOWER[data].astype(U64)
+    values += U64(1)
+    values *= powers(BASE, n)
+    np.cumsum(values, out=sums[1:])
+    del values
     hashes = (sums[ends] - sums[starts]) * powers(BASE_INVERSE, n)[starts]
     hashes = mix64(hashes + (ends - starts).astype(U64))
     return hashes, starts, ends, np.searchsorted(starts, offsets)

@@ -19,7 +19,7 @@ from tarn.llm.common import byte_view, pieces, with_columns, words
 
 WINDOW = 10
 #: Text bytes of a suffix-array shard.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 #: A block of the benchmark that is sent to all tasks holds at most so many text bytes,
 #: or one item. Larger benchmarks are searched block by block.
 BLOCK_BYTES = 32 << 20

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tarn.llm.common import pieces, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tarn.llm.common import byte_view, pieces, with_columns
 
 LEAST = 16
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Text around a candidate that its features see, in bytes.
 CONTEXT = 48
 
