@@ -10,7 +10,12 @@
    left, by the preceding byte; the common prefix of neighbours is k plus the least value
    between them. A suffix of common prefix LENGTH or more starts a repeated window.
 
-Suffixes are compared by bytes; hashes only bring them together.
+Only distinct contexts (the bytes around an anchor) are induced; their places wait in a table
+that is joined back. An anchor of more than HOT_PLACES places isn't induced in one task: the
+windows of its distinct contexts are counted by Spark.
+
+Suffixes are compared by bytes; hashes only bring them together. Contexts, and the windows of
+hot anchors, are told apart by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ PLACE_MASK = (1 << PLACE_BITS) - 1
 SEGMENT = 1 << 25
 #: Suffixes that are induced together, unless one anchor has more distinct ones.
 GROUP_ROWS = 20_000
+#: Places from which an anchor is hot: its windows are compared one by one, over all tasks.
+HOT_PLACES = 50_000
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -145,13 +152,23 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.take(pa.array(rows[keep]))
 
 
+def _digest(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
+
+
+CONTEXT_ROWS = "anchor long, cid binary, tid long, right binary, left binary, places array<long>"
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchor, LENGTH bytes from it, and up to SPAN - 1 bytes before it, backwards, with their places in the text."""
+    """Anchor, LENGTH bytes from it, and up to SPAN - 1 bytes before it, backwards, with their places in the text.
+
+    cid is the digest of the context.
+    """
     before = None
     for piece in pieces(batches, "text", CHUNK_BYTES):
         data, offsets = byte_view(piece.column("text"))
         raw = data.tobytes()
-        found: dict[str, list] = {"anchor": [], "tid": [], "right": [], "left": [], "places": []}
+        found: dict[str, list] = {"anchor": [], "cid": [], "tid": [], "right": [], "left": [], "places": []}
         for i, (tid, sampled) in enumerate(zip(piece.column("tid").to_pylist(), piece.column("sampled"))):
             if tid == before:
                 continue  # a copy: rows come sorted by text
@@ -165,11 +182,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     of.setdefault(key, []).append(place)
             for (anchor, right, left), places in of.items():
                 found["anchor"].append(anchor)
+                found["cid"].append(_digest(bytes([len(right)]), right, left))
                 found["tid"].append(tid)
                 found["right"].append(right)
                 found["left"].append(left)
                 found["places"].append(sorted(set(places)))
-        kinds = {"anchor": pa.int64(), "tid": pa.int64(), "right": pa.binary(), "left": pa.binary(), "places": pa.list_(pa.int64())}
+        kinds = {"anchor": pa.int64(), "cid": pa.binary(), "tid": pa.int64(), "right": pa.binary(), "left": pa.binary()}
+        kinds["places"] = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(found[k], v) for k, v in kinds.items()], names=list(kinds))
 
 
@@ -244,47 +263,89 @@ def induce(group: np.ndarray, right: list[bytes], left: list[bytes], twice: np.n
     return repeated
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered byte ranges from sorted contexts; whole anchors are induced together."""
-    rows: list[tuple] = []  # distinct contexts: (anchor, right, left, [(tid, at), ...])
-
-    def solve(chunk: list[tuple]) -> pa.RecordBatch:
-        group = np.array([c[0] for c in chunk])
-        many = np.array([len(c[3]) > 1 for c in chunk])
-        found = induce(group, [c[1] for c in chunk], [c[2] for c in chunk], many)
-        # Runs of window starts, from the leftmost: k falls as the start moves right.
-        turned = found[:, ::-1].astype(np.int8)
-        step = np.diff(np.pad(turned, ((0, 0), (1, 1))), axis=1)
-        i, a = np.nonzero(step == 1)
-        _, b = np.nonzero(step == -1)
-        out_t, out_s, out_e = [], [], []
-        for row, first, last in zip(i, a - (SPAN - 1), b - 1 - (SPAN - 1)):
-            for tid, at in chunk[row][3]:
-                out_t.append(tid)
-                out_s.append(at + first)
-                out_e.append(at + last + LENGTH)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(out_t, pa.int64()), pa.array(out_s, pa.int64()), pa.array(out_e, pa.int64())],
-            names=["tid", "start", "end"],
-        )
+RUN_ROWS = "cid binary, first long, last long"
+
+
+def _runs(cids: list[bytes], found: np.ndarray) -> pa.RecordBatch:
+    """Runs of window starts, first and last relative to the anchor, from ``found`` (bool[n, SPAN], by bytes to the left)."""
+    # From the leftmost: k falls as the start moves right.
+    turned = found[:, ::-1].astype(np.int8)
+    step = np.diff(np.pad(turned, ((0, 0), (1, 1))), axis=1)
+    i, a = np.nonzero(step == 1)
+    _, b = np.nonzero(step == -1)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([cids[row] for row in i], pa.binary()), pa.array(a - (SPAN - 1)), pa.array(b - 1 - (SPAN - 1))],
+        names=["cid", "first", "last"],
+    )
+
+
+def _induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of repeated windows from sorted contexts; whole anchors are induced together."""
+    rows: list[list] = []  # distinct contexts: [anchor, cid, right, left, whether it has two places]
+    last = None
+
+    def solve(chunk: list[list]) -> pa.RecordBatch:
+        group, cids, right, left, many = zip(*chunk)
+        return _runs(cids, induce(np.array(group), right, left, np.array(many)))
 
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in ("anchor", "right", "left", "tid", "places")]
-        for anchor, right, left, tid, places in zip(*columns):
-            found = [(tid, at) for at in places]
-            if rows and rows[-1][:3] == (anchor, right, left):
+        columns = [batch.column(k).to_pylist() for k in ("anchor", "cid", "right", "left", "tid", "n")]
+        for anchor, cid, right, left, tid, n in zip(*columns):
+            if rows and rows[-1][1] == cid:
                 # The same text may have come to two tasks; its places count once.
-                if rows[-1][3][-1][0] != tid:
-                    rows[-1][3].extend(found)
+                rows[-1][4] |= tid != last
+                last = tid
                 continue
             if len(rows) >= GROUP_ROWS and rows[-1][0] != anchor:
                 yield solve(rows)
                 rows = []
-            rows.append((anchor, right, left, found))
+            rows.append([anchor, cid, right, left, n > 1])
+            last = tid
     if rows:
         yield solve(rows)
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of each window of distinct contexts, by its k bytes left of the anchor."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            out: dict[str, list] = {"window": [], "cid": [], "k": [], "many": []}
+            for cid, right, left, many in zip(*(part.column(c).to_pylist() for c in ("cid", "right", "left", "many"))):
+                text, middle = left[::-1] + right, len(left)
+                ks = range(max(0, LENGTH - len(right)), min(SPAN - 1, middle) + 1)
+                # k is in the digest: one window seen from two anchor places is no repeat.
+                out["window"] += [_digest(bytes([k]), text[middle - k : middle - k + LENGTH]) for k in ks]
+                out["cid"] += [cid] * len(ks)
+                out["k"] += ks
+                out["many"] += [many] * len(ks)
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+
+
+def _joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ks = batch.column("ks")
+        found = np.zeros((batch.num_rows, SPAN), bool)
+        row = np.repeat(np.arange(batch.num_rows), ks.value_lengths().to_numpy(zero_copy_only=False))
+        found[row, ks.flatten().to_numpy(zero_copy_only=False)] = True
+        yield _runs(batch.column("cid").to_pylist(), found)
+
+
+def _hot_runs(contexts: DataFrame) -> DataFrame:
+    """The runs of ``_induced`` for anchors of any number of contexts: no task holds an anchor."""
+    distinct = contexts.groupBy("cid").agg(
+        F.first("right").alias("right"),
+        F.first("left").alias("left"),
+        ((F.min("tid") != F.max("tid")) | (F.max(F.size("places")) > 1)).alias("many"),
+    )
+    windows = written(distinct.mapInArrow(_windows, "window binary, cid binary, k int, many boolean"), "sub-windows")
+    again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many"))
+    again = again.where((F.col("n") > 1) | F.col("many")).select("window")
+    found = windows.join(again, "window", "left_semi").groupBy("cid").agg(F.collect_list("k").alias("ks"))
+    return found.mapInArrow(_joined_runs, RUN_ROWS)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(tid, copies, spans) of texts with removable bytes; ``docs`` has tid and text.
 
@@ -297,9 +358,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     by_text = repeated.groupBy("tid").agg(F.collect_list(F.struct("anchor", "places")).alias("sampled"))
     # Sorted by text, so that copies of one stand together.
     texts = docs.join(by_text, "tid").sortWithinPartitions("tid")
-    contexts = texts.mapInArrow(_contexts, "anchor long, tid long, right binary, left binary, places array<long>")
-    contexts = contexts.repartition("anchor").sortWithinPartitions("anchor", "right", "left", "tid")
-    spans = contexts.mapInArrow(_spans, "tid long, start long, end long")
+    contexts = written(texts.mapInArrow(_contexts, CONTEXT_ROWS), "sub-contexts")
+    hot = repeated.groupBy("anchor").agg(F.sum(F.size("places")).alias("n")).where(F.col("n") > HOT_PLACES)
+    hot = written(hot.select("anchor"), "sub-hot")
+    some_hot = not hot.isEmpty()
+    # Hot anchors are fewer than bytes of text over HOT_PLACES.
+    cool = contexts.join(F.broadcast(hot), "anchor", "left_anti") if some_hot else contexts
+    cool = cool.select("anchor", "cid", "right", "left", "tid", F.size("places").alias("n"))
+    cool = cool.repartition("anchor").sortWithinPartitions("anchor", "right", "left", "tid")
+    runs = cool.mapInArrow(_induced, RUN_ROWS)
+    if some_hot:
+        runs = runs.unionByName(_hot_runs(contexts.join(F.broadcast(hot), "anchor", "left_semi")))
+    spans = contexts.select("cid", "tid", F.explode("places").alias("at")).join(runs, "cid")
+    spans = spans.select("tid", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + LENGTH).alias("end"))
     spans = spans.groupBy("tid").agg(F.array_distinct(F.collect_list(F.struct("start", "end"))).alias("spans"))
     spans = written(spans, "sub-spans")
     copies = docs.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("tid", F.lit(True).alias("copies"))

@@ -1,6 +1,7 @@
 """Decontamination, suffix dedup, near duplicates: against brute force on the fixture."""
 
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -87,6 +88,10 @@ def brute_kept(rows, n=200):
     return out
 
 
+def shared(spark, prefix):
+    return [f for f in os.listdir(common.shared_folder(spark).removeprefix("file:")) if f.startswith(prefix)]
+
+
 def test_suffix_dedup(spark, docs, texts):
     found = suffixdedup.without_repeats(docs).collect()
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found}
@@ -103,6 +108,35 @@ def test_suffix_edges(spark, no_docs, monkeypatch):
     assert got == brute_kept(rows)
 
 
+@pytest.mark.parametrize("most", [0, 30])
+def test_suffix_dedup_of_hot_anchors(spark, texts, monkeypatch, most):
+    """A phrase with other surroundings in each text, and a passage that all share: no task takes such an anchor whole."""
+    monkeypatch.setattr(suffixdedup, "HOT_PLACES", most)
+    phrase, passage = prose(50, 30)[:150], prose(51, 60)[:230]
+    rows = texts if most == 0 else []
+    rows = rows + [(100 + i, prose(200 + i // 2, 12 + i % 2) + phrase + prose(300 + i, 20) + passage + prose(400 + i // 3, 9)) for i in range(60)]
+    rows += [(200, passage * 9), (201, "ab" * 300 + phrase)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = set(shared(spark, "sub-windows-"))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixdedup.without_repeats(df).collect()}
+    assert got == brute_kept(rows)
+    assert set(shared(spark, "sub-windows-")) > before
+
+
+def test_a_context_is_induced_once():
+    """However many texts a context stands in, one row of runs comes out; places are joined to it later."""
+    import pyarrow as pa
+
+    right, left = bytes(range(200)), b"x" * 10
+    kinds = {"anchor": pa.int64(), "cid": pa.binary(), "right": pa.binary(), "left": pa.binary(), "tid": pa.int64(), "n": pa.int32()}
+    rows = [{"anchor": 1, "cid": b"c", "right": right, "left": left, "tid": t, "n": 1} for t in range(1000)]
+    for given, want in ((rows, [{"cid": b"c", "first": 0, "last": 0}]), (rows[:1] * 2, [])):
+        batches = [pa.RecordBatch.from_pylist(given[i : i + 300], pa.schema(list(kinds.items()))) for i in range(0, len(given), 300)]
+        got = [r for b in suffixdedup._induced(iter(batches)) for r in b.to_pylist()]
+        # Windows up to 10 bytes left of the anchor lie inside the context.
+        assert got == [r | {"first": -10} for r in want]
+
+
 def test_long_text_is_sampled_in_segments(monkeypatch):
     text = prose(11, 3000)
     import pyarrow as pa
