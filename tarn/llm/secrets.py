@@ -1,7 +1,8 @@
 """Secret scan: candidate strings judged by a random forest.
 
-Candidates are runs of at least LEAST key characters with a digit, found on the byte arrays of
-whole batches. A forest trained from labelled findings removes the false ones by length,
+Candidates are runs of at least LEAST key characters with a digit or of mixed case, found on the
+byte arrays of whole batches, and values of at least SHORT characters that are quoted or assigned
+after a naming word. A forest trained from labelled findings removes the false ones by length,
 character transitions, dictionary coverage, path marks and neighbouring words.
 """
 
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 from tarn.llm.common import byte_view, pieces, with_columns
 
 LEAST = 16
+#: Least length of a value after a naming word.
+SHORT = 6
 CHUNK_BYTES = 2 << 20
 #: Text around a candidate that its features see, in bytes.
 CONTEXT = 48
@@ -28,6 +31,16 @@ _KEY = np.zeros(256, bool)
 _KEY[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=.-"]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[0x30:0x3A] = True
+_UPPER = np.zeros(256, bool)
+_UPPER[0x41:0x5B] = True
+_LOWER = np.zeros(256, bool)
+_LOWER[0x61:0x7B] = True
+#: On lower-cased bytes: a naming word, the rest of its name, and a quoted or assigned value.
+_NAMED = re.compile(
+    rb"(?:token|key|secret|passw|pwd|api|auth|bearer|credential|private|access)[\w-]{0,24}[\"'`]?\s{0,4}"
+    rb"(?:(?::=|=>|[:=])\s{0,4})?(?:(?<=[\s:=>])[\"'`]([^\s\"'`]{%d,})|(?<=[:=>\s])(?<!\w\s)([^\s\"'`,;&(){}\[\]<>=:]{%d,}))" % (SHORT, SHORT)
+    + rb"|bearer\s{1,4}([^\s\"'`,;]{%d,})" % SHORT
+)
 
 #: Words that name a secret, and words that say that a string isn't one.
 NAMING = frozenset("token key secret password passwd pwd apikey api auth bearer credential private access".split())
@@ -39,6 +52,9 @@ DICTIONARY = frozenset(
     service system server client table column report chapter page number order invoice product license
     apache general software document example dummy placeholder change default string https http www com
     org net html json image photo video archive backup final draft copy project source branch master
+    required optional enabled disabled expired missing invalid valid string number boolean integer object none null true
+    false username password token secret key access private public login account request response session header header
+    process environ env self get set settings input output reset changed forgotten empty hidden stored storage manager
     """.split()
 )
 FEATURES = (
@@ -138,8 +154,9 @@ class Forest:
 def findings(n: int = 240, seed: int = 11) -> list[tuple[str, str, str, int]]:
     """The labelled findings (before, token, after, label), drawn from the kinds a review meets.
 
-    Secrets: random hex, base64 and prefixed keys, mostly where a name assigns them. False
-    ones: ids in paths, versions, checksums named as such, counters, placeholders, file names.
+    Secrets: random hex, base64 and prefixed keys, mostly where a name assigns them, short
+    passwords and letter-only tokens. False ones: ids in paths, versions, checksums named as
+    such, counters, placeholders, file names, plain words after a name, identifiers, references.
     """
     rng = np.random.default_rng(seed)
     hexa, base, digits = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789"
@@ -175,6 +192,40 @@ def findings(n: int = 240, seed: int = 11) -> list[tuple[str, str, str, int]]:
                 (f"2023-{draw(digits, 2)}-{draw(digits, 2)}T10-{draw(digits, 2)}-00.000Z", "at "),
             )
             out.append((pick("", "erat on the ", "and\n") + before, token, " ", 0))
+    letters, low = base[:52], base[26:52]
+    words = sorted(DICTIONARY)
+
+    def ordinary() -> str:
+        return "".join(pick("ba", "con", "ter", "mi", "sol", "re", "pan", "ti", "der", "lo") for _ in range(int(pick(3, 4, 6))))
+
+    for i in range(n // 2):
+        name = pick('password = "', 'pwd="', "password: ", "pwd=", "PASSWORD=", "secret='", 'api_key = "', 'PASSWORD="', 'auth token: "')
+        if i % 2 == 0:
+            before, token = pick(
+                (name, draw(low, int(pick(5, 6, 7))) + draw(digits, int(pick(1, 2, 4))) + pick("", "-prod", "_dev", "!")),
+                (name, ordinary() + draw(digits, int(pick(1, 2, 4))) + pick("", "-prod", "!", "#x")),
+                (name, draw(base, int(pick(8, 10, 12, 14)))),
+                (name, draw(low, int(pick(10, 14, 20)))),
+                (name, draw(letters, int(pick(10, 16, 24, 40)))),
+                (pick("", "the ", "Bearer ") + pick('token = "', ""), draw(letters, int(pick(20, 24, 32, 40)))),
+                (name, pick("P@", "x!", "#") + draw(base, int(pick(6, 8, 10))) + pick("!", "$", "")),
+            )
+            out.append((pick("", "erat on the ", "and\n") + before, token, pick('"', "'", "\n"), 1))
+        else:
+            one, two, three = pick(*words), pick(*words), pick(*words)
+            before, token = pick(
+                (name, pick(*words) + pick(*words)),
+                (pick("password: ", "key: ", "access: ", "token: ", "The key: "), pick(*words, ordinary(), ordinary())),
+                (name, pick("${", "{{", "<", "%(") + one + "_" + two + pick("}", "}}", ">", ")s")),
+                (name, f"{pick('process.env', 'os.environ', 'self', 'request', 'config')}.{one}"),
+                (name, pick("x", "*", ".", "-", "a", "0") * int(pick(6, 8, 12))),
+                (name, "your" + pick("-", "_", "") + pick("password", "token", "secret") + pick("", "-here")),
+                (pick("the ", "call ", "see ", ""), one + two.title() + three.title() + pick("", "Manager", "Service", "Source")),
+                (pick("the ", "import ", "see "), f"org.{one}.{two}.{three.title()}{one.title()}"),
+                (pick("the ", "in ", "of "), ordinary().title() + ordinary() + pick("", "-" + ordinary().title())),
+                (pick("see ", "https://"), f"{one.title()}/{two.title()}-{three}.{pick('html', 'md', 'png')}"),
+            )
+            out.append((pick("", "erat on the ", "and\n") + before, token, pick(" ", ".", '"'), 0))
     return out
 
 
@@ -185,7 +236,11 @@ def train(rows: list[tuple[str, str, str, int]] | None = None) -> Forest:
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, byte start and byte end of every maximal run of key characters with a digit."""
+    """Row, byte start and byte end of the candidates, by start.
+
+    They are maximal runs of key characters with a digit, or of mixed case, and the named values
+    that don't overlap one.
+    """
     n = len(data)
     if n == 0:
         return (np.empty(0, np.int64),) * 3
@@ -197,12 +252,37 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     starts, ends = np.flatnonzero(inside & ~left), np.flatnonzero(inside & ~right) + 1
     long_ = ends - starts >= LEAST
     starts, ends = starts[long_], ends[long_]
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
-    some = digits[ends] > digits[starts]
+
+    def has(kind: np.ndarray) -> np.ndarray:
+        sums = np.concatenate(([0], np.cumsum(kind[data])))
+        return sums[ends] > sums[starts]
+
+    some = has(_DIGIT) | (has(_UPPER) & has(_LOWER))
     starts, ends = starts[some], ends[some]
+    first, last = named(data, offsets)
+    # A run that ends after the value's start, and starts before its end.
+    apart = np.searchsorted(ends, first, side="right") == np.searchsorted(starts, last, side="left")
+    starts, ends = np.concatenate((starts, first[apart])), np.concatenate((ends, last[apart]))
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], ends[order]
     return np.searchsorted(offsets, starts, side="right") - 1, starts, ends
 
 
+def named(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte start and end of the values after naming words; none goes over rows."""
+    raw = data.tobytes().lower()
+    spans = []
+    for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        for m in _NAMED.finditer(raw, low, high):
+            start, end = m.span(m.lastindex)
+            if m.lastindex > 1:  # unquoted: without the sentence's punctuation
+                end = start + len(raw[start:end].rstrip(b".,:!?)"))
+            if end - start >= SHORT:
+                spans.append((start, end))
+    found = np.array(spans, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
 def secrets(docs: DataFrame, text: str = "text", forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
     """``docs`` with n_candidates, n_secrets and secret_spans added.
 
@@ -240,7 +320,7 @@ def secrets(docs: DataFrame, text: str = "text", forest: Forest | None = None, t
                 for r, s, e, p in zip(row, starts, ends, score):
                     if p >= threshold:
                         at = head[s] - head[offsets[r]]
-                        kept[r].append(f"{at}:{at + e - s}:{p:.3f}")
+                        kept[r].append(f"{at}:{head[e] - head[offsets[r]]}:{p:.3f}")
                         n_secrets[r] += 1
             extra = {
                 "n_candidates": pa.array(np.bincount(row, minlength=rows), pa.int64()),

@@ -104,6 +104,20 @@ def test_secrets(spark, docs, no_docs):
     assert secrets.secrets(docs).count() == docs.count() and secrets.secrets(no_docs).count() == 0
 
 
+def test_short_and_letter_only_secrets(spark):
+    rows = [
+        (1, 'é password = "hunter2-prod" end'), (2, "token = 'qwErtyuIopAsdfghJklzXcvb'"), (3, "x AbcDefQrsTuvWxyZaBcDeFgH y"),
+        (4, "pwd=hunter2"), (5, '{"secret": "p@ß-w0rd!"}'), (6, "the password: required."), (7, "call getElementsByTagNameService"),
+        (8, "my key is lost, the password forgotten"), (9, "api_key"), (10, '= "hunter2-prod"'), (11, "token = 'x1'"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_candidates"], r["secret_spans"].rpartition(":")[0]) for r in secrets.secrets(df).collect()}
+    assert got == {
+        1: (1, "14:26"), 2: (1, "9:33"), 3: (1, "2:26"), 4: (1, "4:11"), 5: (1, "12:21"), 6: (1, ""), 7: (1, ""),
+        8: (0, ""), 9: (0, ""), 10: (0, ""), 11: (0, ""),
+    }
+
+
 def _labelled(spark, n=160):
     docs, labels = [], []
     for i in range(n):
