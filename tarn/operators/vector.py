@@ -13,8 +13,13 @@ from pyspark.sql import types as T
 from tarn.functions.scalars import embedding_text
 from tarn.operators.lexical import top
 
-#: Query vectors go to the tasks in blocks of at most so many values (32 MB of doubles), or one vector.
+#: Query vectors go to the tasks in blocks of about so many values (32 MB of doubles), or one vector.
 BLOCK_VALUES = 4_000_000
+#: Stored values a task is given where the table has fewer than all tasks could take.
+TASK_VALUES = 250_000
+#: Queries x rows of one product, and values of its rows (8 MB of doubles each).
+CELLS = 1 << 20
+ROWS = 1024
 
 
 class DimensionMismatch(ValueError):
@@ -41,12 +46,77 @@ def _cosines(queries: np.ndarray, column: pa.Array) -> np.ndarray:
     return out
 
 
+class _Best:
+    """Running best rows of one block of queries; rows come by chunk_id, so earlier ones win ties."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.asked: dict[int, list[tuple[pa.Array, np.ndarray]]] = {}
+        self.state: list[tuple] | None = None
+        self.kind = None
+
+    def ask(self, ids: pa.Array, column: pa.Array) -> None:
+        values, bounds = _rows(column)
+        sizes = np.diff(bounds)
+        for d in np.unique(sizes):
+            rows = np.flatnonzero(sizes == d)
+            self.asked.setdefault(int(d), []).append((ids.take(pa.array(rows)), values[bounds[rows][:, None] + np.arange(d)]))
+
+    def see(self, ids: pa.Array, column: pa.Array) -> None:
+        if self.state is None:
+            self.state, self.kind = [], ids.type
+            for found in self.asked.values():
+                vectors = np.concatenate([v for _, v in found])
+                empty = np.full((len(vectors), self.limit), -np.inf)
+                names = np.full(empty.shape, None, object)
+                self.state.append((pa.concat_arrays([i for i, _ in found]), vectors, empty, empty.copy(), names))
+            self.asked = {}
+        fresh = np.array([*ids.to_pylist(), None], object)[:-1]
+        for _, vectors, shown, score, names in self.state:
+            rows = max(1, min(ROWS, CELLS // max(1, vectors.shape[1])))
+            step = max(1, CELLS // (rows + self.limit))
+            for x in range(0, len(column), rows):
+                for q in range(0, len(vectors), step):
+                    own = slice(q, q + step)
+                    self._merge(shown[own], score[own], names[own], _cosines(vectors[own], column[x : x + rows]), fresh[x : x + rows])
+
+    def _merge(self, shown, score, names, new, fresh) -> None:
+        """The best of the rows so far and ``new`` (queries x rows), in place."""
+        k = self.limit
+        seen = np.where(np.isnan(new), -np.inf, np.round(new, 9))
+        better = np.flatnonzero((seen > shown[:, -1:]).any(axis=1))
+        if len(better) == 0:
+            return
+        both = np.concatenate((shown[better], seen[better]), axis=1)
+        least = -np.partition(-both, k - 1, axis=1)[:, k - 1]
+        q, c = np.nonzero(both >= least[:, None])
+        order = np.lexsort((c, -both[q, c], q))
+        q, c = q[order], c[order]
+        at = np.arange(len(q)) - np.searchsorted(q, q)
+        q, c, at = q[at < k], c[at < k], at[at < k]
+        to, old = better[q], c < k
+        kept_score, kept_name = np.empty(len(q)), np.empty(len(q), object)
+        kept_score[old], kept_name[old] = score[to[old], c[old]], names[to[old], c[old]]
+        kept_score[~old], kept_name[~old] = new[to[~old], c[~old] - k], fresh[c[~old] - k]
+        shown[to, at], score[to, at], names[to, at] = both[q, c], kept_score, kept_name
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for ids, _, shown, score, names in self.state or ():
+            for at in range(0, len(shown), 10_000):
+                q, slot = np.nonzero(np.isfinite(shown[at : at + 10_000]))
+                q += at
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(q)), pa.array(names[q, slot].tolist(), self.kind), pa.array(score[q, slot], pa.float64())],
+                    names=["query_id", "chunk_id", "score"],
+                )
+
+
 def search_batch(embeddings: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, chunk_id, score, rank): every stored vector scored against every query vector.
 
-    ``queries`` has (query_id, vector); they are a stated set, fetched and sent to the tasks
-    in blocks of bounded size. A task multiplies matrices batch by batch and passes on only what
-    can be among a query's best; equal scores (to 9 decimals) all stay for the final ranking.
+    ``queries`` has (query_id, vector). Blocks of queries meet slots of stored rows in tasks: a
+    task holds one block and its best rows, and streams a slot past it, sorted by chunk_id, in
+    products of bounded size. Nothing but two counts comes to the driver.
     """
     spark = embeddings.sparkSession
     kinds = {f.name: f.dataType for f in queries.schema.fields} | {"chunk_id": embeddings.schema["chunk_id"].dataType}
@@ -58,38 +128,54 @@ def search_batch(embeddings: DataFrame, queries: DataFrame, limit: int = 10) ->
         ]
     )
     asked = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
+    stored = embeddings.select("chunk_id", F.col("embedding").alias("vector"))
     size = asked.agg(F.count(F.lit(1)), F.sum(F.size("vector"))).first()
+    if not size[0] or limit < 1:
+        return top(spark.createDataFrame([], schema), limit)
+    values = stored.agg(F.sum(F.greatest(F.size("vector"), F.lit(1)))).first()[0] or 0
     blocks = max(1, -(-(size[1] or 0) // BLOCK_VALUES))
-    out = spark.createDataFrame([], schema)
-    for k in range(blocks if size[0] else 0):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        found = part.collect()
-        for d in sorted({len(r["vector"]) for r in found}):
-            mine = [r for r in found if len(r["vector"]) == d]
-            sent = spark.sparkContext.broadcast(
-                ([r["query_id"] for r in mine], np.array([r["vector"] for r in mine], np.float64).reshape(len(mine), d))
-            )
-            out = out.unionByName(_best(embeddings, sent, schema, limit))
-    return top(out, limit)
-
-
-def _best(embeddings: DataFrame, sent, schema: T.StructType, limit: int) -> DataFrame:
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = max(1, -(-values // BLOCK_VALUES), min(tasks, -(-values // TASK_VALUES)))
+
+    def each(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def dealt(n: int, *of: str):
+        return F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
+
+    left = asked.select(
+        dealt(blocks, "query_id").alias("block"), each(slots).alias("slot"), F.lit(0).alias("side"),
+        "query_id", F.lit(None).cast(kinds["chunk_id"]).alias("chunk_id"), "vector",
+    )
+    right = stored.select(
+        each(blocks).alias("block"), dealt(slots, "chunk_id").alias("slot"), F.lit(1).alias("side"),
+        F.lit(None).cast(kinds["query_id"]).alias("query_id"), "chunk_id", "vector",
+    )
+    met = left.unionByName(right).repartition(blocks * slots, "block", "slot")
+    met = met.sortWithinPartitions("block", "slot", "side", "chunk_id")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = sent.value
+        best = key = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            score = _cosines(vectors, batch.column(1))
-            shown = np.round(score, 9)
-            k = min(limit, batch.num_rows)
-            least = -np.partition(-shown, k - 1, axis=1)[:, k - 1]
-            q, row = np.nonzero(shown >= least[:, None])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in q]), batch.column(0).take(pa.array(row)), pa.array(score[q, row])],
-                names=["query_id", "chunk_id", "score"],
-            )
-
-    return embeddings.select("chunk_id", "embedding").mapInArrow(run, schema)
+            marks = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            edges = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(edges, edges[1:]):
+                block, slot, side = marks[:, low].tolist()
+                if key != (block, slot):
+                    if best is not None:
+                        yield from best.rows()
+                    best, key = _Best(limit), (block, slot)
+                part = batch.slice(low, high - low)
+                if side:
+                    best.see(part.column("chunk_id"), part.column("vector"))
+                else:
+                    best.ask(part.column("query_id"), part.column("vector"))
+        if best is not None:
+            yield from best.rows()
+
+    return top(met.mapInArrow(run, schema), limit)
 
 
 def pending(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -99,6 +99,36 @@ def test_vectors(spark, monkeypatch):
     assert vector.search_batch(stored.limit(0), asked).count() == 0
 
 
+def test_vectors_in_slices(spark, monkeypatch):
+    """Queries stay off the driver, products stay small, and ties go by chunk_id over all slices."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (300, 4)).astype(float)
+    ids = [f"c{i}" for i in rng.permutation(300)]
+    stored = spark.createDataFrame(list(zip(ids, x.tolist())), "chunk_id string, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(40)], "query_id long, vector array<float>")
+    for name, value in (("BLOCK_VALUES", 60), ("TASK_VALUES", 200), ("CELLS", 200), ("ROWS", 16)):
+        monkeypatch.setattr(vector, name, value)
+    fetch = type(asked).collect
+
+    def few(self):
+        rows = fetch(self)
+        assert len(rows) < 2, "queries were fetched"
+        return rows
+
+    with monkeypatch.context() as m:
+        m.setattr(type(asked), "collect", few)
+        found = vector.search_batch(stored, asked, 7)
+    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in found.collect()}
+    size = np.sqrt((x**2).sum(axis=1))
+    scale = size[:, None] * size[None, :]
+    cosine = np.round(np.divide(x @ x.T, scale, out=np.zeros_like(scale), where=scale > 0), 9)
+    for i in range(40):
+        want = sorted(range(300), key=lambda j: (-cosine[i, j], ids[j]))[:7]
+        assert [got[i, r + 1] for r in range(7)] == [ids[j] for j in want]
+
+
 def _list(spark, ids):
     rows = [(0, c, 1.0, i + 1) for i, c in enumerate(ids)]
     return spark.createDataFrame(rows, "query_id long, chunk_id string, score double, rank int")
