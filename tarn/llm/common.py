@@ -6,6 +6,7 @@ array, so no Python string is built per word.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -22,11 +23,26 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
+#: Arrow batches that text operators ask for hold about so many bytes, unless the session sets a bound itself.
+BATCH_BYTES = 8 << 20
+_BATCH_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session has a bound on the bytes of Arrow batches."""
+    conf = df.sparkSession.conf
+    if _BATCH_BOUND not in conf.getAll:
+        conf.set(_BATCH_BOUND, BATCH_BYTES)
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share; one is set here only when the session names none."""
+    """The folder all machines share; a local session that names none gets one."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         folder = context.getCheckpointDir()
     return folder
@@ -70,7 +86,7 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept by the worker up to 2 Mi entries."""
+    """base**0 .. base**(n-1) modulo 2**64, kept by the worker up to 1 Mi entries."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
@@ -81,7 +97,7 @@ def powers(base: int, n: int) -> np.ndarray:
             step = min(filled, size - filled)
             have[filled : filled + step] = have[:step] * U64(pow(base, filled, 1 << 64))
             filled += step
-        if size <= 1 << 21:
+        if size <= 1 << 20:
             _powers[base] = have
     return have[:n]
 
@@ -104,7 +120,10 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows holding about ``limit`` text bytes each; a longer row is a slice of its own."""
+    """Slices of whole rows holding about ``limit`` text bytes each; a longer row is a slice of its own.
+
+    A worker serves many tasks, so it gives freed memory back when the batches end.
+    """
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -115,6 +134,17 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return what this worker has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # no glibc
+
 
 
 _WORD = np.zeros(256, bool)
@@ -147,13 +177,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = offsets[1:][offsets[1:] > 0] - 1
     after[last] = False
     ends = np.flatnonzero(inside & ~after) + 1
+    del inside, before, after
     sums = np.empty(n + 1, U64)
     sums[0] = 0
-    values = _LOWER[data].astype(U64)
+    values = sums[1:]
+    values[:] = _LOWER[data]
     values += U64(1)
     values *= powers(BASE, n)
-    np.cumsum(values, out=sums[1:])
-    del values
+    np.cumsum(values, out=values)
     hashes = (sums[ends] - sums[starts]) * powers(BASE_INVERSE, n)[starts]
     hashes = mix64(hashes + (ends - starts).astype(U64))
     return hashes, starts, ends, np.searchsorted(starts, offsets)
@@ -165,7 +196,6 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.nda
     A row of fewer words, but not none, has one shingle of all its words. Repeats stay.
     """
     counts = np.diff(bounds)
-    rows = np.repeat(np.arange(len(counts)), counts)
     short = counts < width
     spread = np.where(short, 1, counts - width + 1) * (counts > 0)
     owner = np.repeat(np.arange(len(counts)), spread)
@@ -178,7 +208,6 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.nda
         term = np.zeros(len(owner), U64)
         term[ok] = hashes[here[ok]]
         out = mix64(out * U64(BASE) + term + U64(k + 1))
-    del rows
     return out, owner
 
 
@@ -187,6 +216,25 @@ def with_columns(schema: pa.Schema, batch: pa.RecordBatch, extra: dict[str, pa.A
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def counted(shingled: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each row, their rows, and how often each stands there."""
+    key = shingled ^ mix64(owner.astype(U64) + U64(1))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(fresh)
+    first = order[at]
+    return shingled[first], owner[first], np.diff(np.append(at, len(key)))
+
+
+def numbered_copies(elements: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for every copy of every element, and the element's index: sets of these have multiset overlaps."""
+    which = np.repeat(np.arange(len(elements)), counts)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix64(elements[which] + nth.astype(U64) * U64(BASE)), which
+
+
 def text_digest(column: str = "text"):
     """A 32-byte key of a text; equal texts, and in practice only they, share it."""
     return F.unhex(F.sha2(F.col(column), 256))

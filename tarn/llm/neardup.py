@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import BASE, U64, byte_view, mix64, pieces, shingles, text_digest, unit, words, written
+from tarn.llm.common import (
+    BASE, U64, bounded_batches, byte_view, counted, mix64, numbered_copies, pieces, shingles, text_digest, unit, words, written,
+)
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -29,14 +31,16 @@ BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: Pairs whose signatures agree in fewer coordinates aren't verified: six standard deviations below 0.8.
 LEAST_AGREEMENT = 0.55
-CHUNK_BYTES = 3 << 19
+CHUNK_BYTES = 1 << 20
+#: Digests that a task remembers, so that it doesn't repeat the work on copies that stand near.
+SEEN = 10_000
 #: Buckets up to this size are compared by a join, larger ones block by block.
 SMALL_BUCKET = 32
 BLOCK = 512
 #: Columns of a block's 0/1 matrices.
 VOCABULARY = 4_096
-#: Ids up to this number (8 MB) are sent to the tasks, so that texts needn't shuffle; more are joined.
-SENT_IDS = 1_000_000
+#: Keys up to this number (8 MB) are sent to the tasks, so that texts needn't shuffle; more are joined.
+SENT_KEYS = 1_000_000
 
 
 def dart_signatures(
@@ -105,43 +109,69 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return mix64(out + np.arange(bands, dtype=U64)).view(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(batches, "text", CHUNK_BYTES):
-        hashes, _, _, bounds = words(*byte_view(piece.column("text")))
-        found, owner = shingles(hashes, bounds, WIDTH)
-        signature, filled = dart_signatures(found, owner, piece.num_rows)
-        bands = band_keys(signature)
-        keep = np.flatnonzero(filled)
-        small = (signature[keep] & U64(0xFFFFFFFF)).astype(np.uint32)
-        offsets = pa.array(np.arange(len(keep) + 1) * BANDS, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [
-                piece.column("doc_id").take(pa.array(keep)),
-                pa.array([s.tobytes() for s in small], pa.binary()),
-                pa.ListArray.from_arrays(offsets, pa.array(bands[keep].ravel())),
-            ],
-            names=["doc_id", "signature", "bands"],
-        )
+def _fresh(batch: pa.RecordBatch, seen: dict[bytes, None]) -> pa.RecordBatch:
+    """The rows whose digest this task hasn't met among its last SEEN ones."""
+    keep = []
+    for i, digest in enumerate(batch.column("digest").to_pylist()):
+        if digest not in seen:
+            seen[digest] = None
+            keep.append(i)
+            if len(seen) > SEEN:
+                del seen[next(iter(seen))]
+    return batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct shingle hashes of every text."""
+def _shingled(batches: Iterator[pa.RecordBatch]):
+    """Per slice of texts that are new to the task: the slice, distinct shingles, their rows and counts."""
+    seen: dict[bytes, None] = {}
     for piece in pieces(batches, "text", CHUNK_BYTES):
-        hashes, _, _, bounds = words(*byte_view(piece.column("text")))
-        found, owner = shingles(hashes, bounds, WIDTH)
-        order = np.lexsort((found, owner))
-        found, owner = found[order], owner[order]
-        fresh = np.ones(len(found), bool)
-        fresh[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-        found, owner = found[fresh], owner[fresh]
-        offsets = np.searchsorted(owner, np.arange(piece.num_rows + 1))
-        yield pa.RecordBatch.from_arrays(
-            [
-                piece.column("node"),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.view(np.int64))),
-            ],
-            names=["node", "shingles"],
-        )
+        piece = _fresh(piece, seen)
+        if piece.num_rows:
+            hashes, _, _, bounds = words(*byte_view(piece.column("text")))
+            yield piece, *counted(*shingles(hashes, bounds, WIDTH))
+
+
+def _sign(by_count: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, found, owner, counts in _shingled(batches):
+            weights = counts.astype(np.float64) if by_count else None
+            signature, filled = dart_signatures(found, owner, piece.num_rows, weights=weights)
+            bands = band_keys(signature)
+            keep = np.flatnonzero(filled)
+            small = (signature[keep] & U64(0xFFFFFFFF)).astype(np.uint32)
+            offsets = pa.array(np.arange(len(keep) + 1) * BANDS, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    piece.column("digest").take(pa.array(keep)),
+                    pa.array([s.tobytes() for s in small], pa.binary()),
+                    pa.ListArray.from_arrays(offsets, pa.array(bands[keep].ravel())),
+                ],
+                names=["digest", "signature", "bands"],
+            )
+
+    return run
+
+
+def _sets(by_count: bool):
+    """The distinct shingle hashes of every text; by count, one for each time a shingle stands there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, found, owner, counts in _shingled(batches):
+            if by_count:
+                found, which = numbered_copies(found, counts)
+                owner = owner[which]
+            order = np.argsort(owner, kind="stable")
+            found, owner = found[order], owner[order]
+            offsets = np.searchsorted(owner, np.arange(piece.num_rows + 1))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    piece.column("digest"),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.view(np.int64))),
+                ],
+                names=["digest", "shingles"],
+            )
+
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -256,19 +286,24 @@ def _blockwise(similarity: float):
     return run
 
 
-def sent_if_few(ids: DataFrame) -> DataFrame:
-    """Written ids, marked for a broadcast join if they are counted to be few."""
-    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+def sent_if_few(keys: DataFrame) -> DataFrame:
+    """Written keys, marked for a broadcast join if they are counted to be few, else for a sorted one."""
+    return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys.hint("merge")
 
 
 class NearDuplicates:
-    """The stages of one run over ``docs`` (doc_id, text)."""
+    """The stages of one run over ``docs`` (doc_id, text).
 
-    def __init__(self, docs: DataFrame, similarity: float = SIMILARITY):
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
-            F.col("doc_id").isNotNull()
-        )
-        self.similarity = similarity
+    Nodes are distinct texts, known by their digest; rows that share a doc_id are one document,
+    so their texts are linked. ``by_count`` weighs a shingle by how often it stands in a text
+    (similarity: sum of lesser over sum of greater counts), else all weigh the same.
+    """
+
+    def __init__(self, docs: DataFrame, similarity: float = SIMILARITY, by_count: bool = True):
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_digest().alias("digest"))
+        self.texts = bounded_batches(rows.where(F.col("text").isNotNull()).select("digest", "text"))
+        self.ids = written(rows.select("doc_id", "digest"), "dup-ids")
+        self.similarity, self.by_count = similarity, by_count
 
     def verified(self, pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) at or above the similarity: signatures first, then whole sets."""
@@ -281,63 +316,101 @@ class NearDuplicates:
         enough = both >= F.lit(self.similarity) * (F.size("x") + F.size("y") - both)
         return likely.join(y, "b").join(x, "a").where(enough).select("a", "b")
 
-    def classes(self) -> DataFrame:
-        """(doc_id, class_id) of every row with an id; class_id is the least doc_id of the class."""
-        signed = self.docs.where(F.col("text").isNotNull()).mapInArrow(
-            _sign, "doc_id long, signature binary, bands array<long>"
-        )
-        ids = written(self.docs.select("doc_id", text_digest().alias("digest")), "dup-ids")
-        copies = ids.where(F.col("digest").isNotNull()).groupBy("digest").agg(
-            F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")
-        )
-        copies = written(copies, "dup-copies")
-        heads = copies.select("node", "copies").groupBy("node").agg(F.sum("copies").alias("copies"))
-        nodes = signed.join(heads, F.col("doc_id") == F.col("node")).select("node", "copies", "signature", "bands")
-        nodes = written(nodes.dropDuplicates(["node"]), "dup-nodes")
-        rows = nodes.select("node", "copies", F.explode("bands").alias("bucket"))
+    def labels(self) -> DataFrame:
+        """(node, class_id) of the nodes that have a link; ``self.copies`` holds all distinct texts."""
+        copies = self.ids.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"))
+        # Numbers of a written table: each file comes from one attempt, so they don't change any more.
+        self.copies = copies = written(copies.withColumn("node", F.monotonically_increasing_id()), "dup-copies")
+        signed = self.texts.mapInArrow(_sign(self.by_count), "digest binary, signature binary, bands array<long>")
+        signed = signed.groupBy("digest").agg(F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+        nodes = signed.join(copies, "digest").select("node", "digest", "signature", "bands")
+        nodes = written(nodes, "dup-nodes")
+        rows = nodes.select("node", F.explode("bands").alias("bucket"))
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-        shared = written(rows.join(sizes, "bucket"), "dup-shared")
+        sizes = written(sizes, "dup-sizes")
+        # Written sides and sorted joins, here and below: Spark can split the rows of a hot bucket.
+        shared = written(rows.join(sizes.hint("merge"), "bucket"), "dup-shared")
         popular = shared.groupBy("node").agg(F.sum("size").alias("popular"))
-        likely = written(
-            nodes.join(popular, "node").select("node", "signature", "popular"), "dup-candidates"
-        )
-        wanted = sent_if_few(likely.select("node"))
-        sets = self.docs.join(wanted, F.col("doc_id") == F.col("node")).select("node", "text")
-        sets = written(sets.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "dup-sets")
+        likely = nodes.join(popular, "node").select("node", "digest", "signature", "popular")
+        likely = written(likely, "dup-candidates")
+        sets = written(self.sets(likely), "dup-sets")
         # Each member meets its bucket's most connected member: as many pairs as bucket rows, at most.
         ranked = shared.join(likely.select("node", "popular"), "node")
-        centre = ranked.groupBy("bucket").agg(
-            F.max(F.struct("copies", "popular", -F.col("node"))).alias("most")
-        ).select("bucket", (-F.col("most.col3")).alias("centre"))
+        centre = ranked.groupBy("bucket").agg(F.max(F.struct("popular", -F.col("node"))).alias("most"))
+        centre = written(centre.select("bucket", (-F.col("most.col2")).alias("centre")), "dup-centres")
         pairs = (
-            shared.join(centre, "bucket")
+            shared.join(centre.hint("merge"), "bucket")
             .where(F.col("node") != F.col("centre"))
             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
             .distinct()
         )
-        links = written(self.verified(pairs, likely, sets), "dup-links")
+        links = written(self.verified(pairs, likely, sets).unionByName(self.same_document()), "dup-links")
         labels = components(links)
         apart = self.left_apart(shared, labels)
         more = self.verified(self.small_buckets(apart), likely, sets).unionByName(self.large_buckets(apart, likely, sets))
         more = written(more, "dup-more")
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
-        of_copy = copies.join(labels, "node", "left").select(
-            "digest", F.coalesce("class_id", "node").alias("class_id")
+        return labels if more.isEmpty() else components(links.unionByName(more))
+
+    def sets(self, likely: DataFrame) -> DataFrame:
+        """(node, shingles) of the candidates; the 64-bit keys only thin the texts out before the join by digest."""
+        keys = written(likely.select(F.xxhash64("digest").alias("key")).distinct(), "dup-keys")
+        texts = self.texts.join(sent_if_few(keys), F.xxhash64("digest") == F.col("key"), "left_semi")
+        sets = texts.mapInArrow(_sets(self.by_count), "digest binary, shingles array<long>")
+        sets = sets.groupBy("digest").agg(F.first("shingles").alias("shingles"))
+        return sets.join(likely.select("digest", "node"), "digest").select("node", "shingles")
+
+    def same_document(self) -> DataFrame:
+        """Links (a, b) between the texts of rows that share a doc_id."""
+        known = self.ids.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
+        heads = known.groupBy("doc_id").agg(F.min("digest").alias("head"), F.max("digest").alias("last"))
+        heads = written(heads.where(F.col("head") != F.col("last")).select("doc_id", "head"), "dup-heads")
+        pairs = known.join(heads.hint("merge"), "doc_id").where(F.col("digest") != F.col("head"))
+        number = self.copies.select("digest", "node")
+        pairs = pairs.select("digest", "head").distinct().join(number.withColumnRenamed("node", "x"), "digest")
+        pairs = pairs.join(number.select(F.col("digest").alias("head"), F.col("node").alias("y")), "head")
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def classes(self) -> DataFrame:
+        """(doc_id, digest, class_id, head) of every row of ``docs``.
+
+        class_id is the least doc_id of the class, null if it has none; head is the least digest
+        of such a nameless class, and null in others.
+        """
+        labels = self.labels()
+        linked = self.copies.join(labels, "node").select("digest", "first", F.col("class_id").alias("class"))
+        names = linked.groupBy("class").agg(F.min("first").alias("class_id"), F.min("digest").alias("least"))
+        named = linked.join(names, "class").select(F.col("digest").alias("d"), F.col("class_id").alias("named"), "least")
+        texts = self.copies.join(written(named, "dup-named"), F.col("digest") == F.col("d"), "left").select(
+            "digest",
+            F.when(F.col("d").isNull(), F.col("first")).otherwise(F.col("named")).alias("class_id"),
+            F.coalesce("least", "digest").alias("head"),
         )
-        found = ids.join(of_copy, "digest", "left")
-        return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+        texts = texts.withColumn("head", F.when(F.col("class_id").isNull(), F.col("head")))
+        found = written(self.ids.join(written(texts, "dup-texts").hint("merge"), "digest", "left"), "dup-found")
+        missing = F.col("digest").isNull()
+        if found.where(missing).isEmpty():
+            return found.select("doc_id", "digest", "class_id", "head")
+        # A null text goes with the other rows of its doc_id, if there are any.
+        others = found.where(~missing & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(
+            F.min("class_id").alias("other")
+        )
+        nulls = found.where(missing).join(others, F.col("doc_id") == F.col("id"), "left").select(
+            "doc_id", "digest", F.coalesce("other", "doc_id").alias("class_id"), "head"
+        )
+        return found.where(~missing).select("doc_id", "digest", "class_id", "head").unionByName(nulls)
 
     def left_apart(self, shared: DataFrame, labels: DataFrame) -> DataFrame:
         """(bucket, node, size, class_id, lead) of the buckets with several components; lead is the largest."""
         rows = shared.join(labels, "node", "left").select(
             "bucket", "node", "size", F.coalesce("class_id", "node").alias("class_id")
         )
+        rows = written(rows, "dup-labelled")
         parts = rows.groupBy("bucket", "class_id").agg(F.count(F.lit(1)).alias("n"))
         lead = parts.groupBy("bucket").agg(
             F.max_by("class_id", F.struct("n", "class_id")).alias("lead"), F.count(F.lit(1)).alias("parts")
         )
-        return written(rows.join(lead.where("parts > 1").drop("parts"), "bucket"), "dup-apart")
+        lead = written(lead.where("parts > 1").drop("parts"), "dup-leads")
+        return written(rows.join(lead.hint("merge"), "bucket"), "dup-apart")
 
     def small_buckets(self, apart: DataFrame) -> DataFrame:
         """The pairs of different components in buckets of at most SMALL_BUCKET rows."""
@@ -370,38 +443,53 @@ class NearDuplicates:
         return both.mapInPandas(_blockwise(self.similarity), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, by_count: bool = True) -> DataFrame:
     """(doc_id, class_id, kept) for every row of ``docs`` (doc_id, text).
 
-    Two texts are linked when the Jaccard similarity of their sets of five-word shingles is at
-    least ``similarity``; classes are connected components, named by their least doc_id; kept
-    marks the document of that id. Equal texts are always one class. A text of one to four
-    words has one shingle, a text without words is linked to equal texts only, a null text to
-    none. doc_id identifies a document: rows that share one share a class. A row without id has
-    a null class and is kept.
+    Two texts are linked when their five-word shingles have a Jaccard similarity of at least
+    ``similarity``, each shingle weighed by its count in the text (or all alike, see
+    NearDuplicates). Classes are connected components, named by their least doc_id; kept marks
+    the document of that id. Equal texts are always one class. A text of one to four words has
+    one shingle, a text without words is linked to equal texts only, a null text to none.
+    doc_id identifies a document: rows that share one share a class, whatever their texts. A
+    row without id gets the class of its text, and is kept only where no row of the class has
+    an id and its text is the least by digest (a null text without id is a class of its own).
     """
-    found = NearDuplicates(docs, similarity).classes()
-    out = found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    lost = docs.where(F.col("doc_id").isNull()).select(
-        F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")
+    found = NearDuplicates(docs, similarity, by_count).classes()
+    nameless = F.col("digest").isNull() | F.col("digest").eqNullSafe(F.col("head"))
+    kept = F.when(F.col("doc_id").isNull(), F.col("class_id").isNull() & nameless).otherwise(
+        F.col("doc_id") == F.col("class_id")
     )
-    return out.unionByName(lost)
+    return found.select("doc_id", "class_id", kept.alias("kept"))
+
 
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, by_count: bool = True) -> DataFrame:
+    """One row of each near-duplicate class, columns as in ``docs``.
 
-def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each near-duplicate class, columns as in ``docs``; rows without id stay."""
-    found = NearDuplicates(docs, similarity).classes()
+    It is that of the class's least doc_id, or of the least text by digest where no row of the
+    class has an id. Of rows that share a doc_id the least text stays. Null texts without id stay.
+    """
+    found = NearDuplicates(docs, similarity, by_count).classes()
     gone = written(
         found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct(),
         "dup-gone",
     )
-    kept = docs.join(sent_if_few(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
-    repeats = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).limit(1).count()
-    if not repeats:
-        return kept
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    once = kept.withColumn("__at", first).where((F.col("__at") == 1) | F.col("doc_id").isNull())
-    return once.select(*docs.columns)
+    out = docs.join(sent_if_few(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    twice = found.where("doc_id = class_id").groupBy(F.col("doc_id").alias("__twice")).agg(F.count(F.lit(1)).alias("n"))
+    twice = written(twice.where(F.col("n") > 1).select("__twice"), "dup-twice")
+    if not twice.isEmpty():
+        repeated = F.col("doc_id") == F.col("__twice")
+        at = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+        once = out.join(twice, repeated, "left_semi").withColumn("__at", at).where("__at = 1").select(*docs.columns)
+        out = out.join(twice, repeated, "left_anti").unionByName(once)
+    if not found.where(F.col("doc_id").isNull() & F.col("digest").isNotNull()).isEmpty():
+        heads = found.where(F.col("doc_id").isNull() & (F.col("digest") == F.col("head")))
+        heads = heads.select(F.col("head").alias("__head")).distinct()
+        lone = out.where(F.col("doc_id").isNull() & F.col("text").isNotNull())
+        lone = lone.withColumn("__digest", text_digest()).join(heads, F.col("__digest") == F.col("__head"), "left_semi")
+        lone = lone.dropDuplicates(["__digest"]).select(*docs.columns)
+        out = out.where(F.col("doc_id").isNotNull() | F.col("text").isNull()).unionByName(lone)
+    return out
 
 
 def near_duplicate_query(spark, sf_dir: str) -> DataFrame:
@@ -412,12 +500,15 @@ _WORDS = (
     "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
-#: All pairs that share a shingle, with their exact similarity, and the components of the links.
+#: All pairs that share a shingle, with their exact similarity by counts, and the components of the links.
 NEAR_DUPLICATE_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, text, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 s AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + {WIDTH - 1}], ' ') AS k
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WIDTH - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+  SELECT doc_id, k || '#' || row_number() OVER (PARTITION BY doc_id, k) AS k
+  FROM (
+    SELECT doc_id, array_to_string(w[i:i + {WIDTH - 1}], ' ') AS k
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WIDTH - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+  )
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL),
 l AS (
