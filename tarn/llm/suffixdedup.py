@@ -14,8 +14,8 @@ Only distinct contexts (the bytes around an anchor) are induced; their places wa
 that is joined back. An anchor of more than HOT_PLACES places isn't induced in one task: the
 windows of its distinct contexts are counted by Spark.
 
-Suffixes are compared by bytes; hashes only bring them together. Contexts, and the windows of
-hot anchors, are told apart by 128-bit digests.
+Suffixes are compared by bytes; 64-bit hashes only bring them together. Whole texts are told
+apart by 128 bits of SHA-256, contexts and the windows of hot anchors by 128-bit BLAKE2 digests.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import BASE, BASE_INVERSE, U64, byte_view, mix64, pieces, powers, written
+from tarn.llm.common import BASE, BASE_INVERSE, U64, bounded_batches, byte_view, mix64, pieces, powers, written
 
 LENGTH = 200
 ANCHOR = 64
@@ -88,7 +88,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches, "text", CHUNK_BYTES):
         data, offsets = byte_view(piece.column("text"))
-        ids = piece.column("tid").to_numpy(zero_copy_only=False)
+        ids = piece.column("tid")
         if len(data) <= SEGMENT:
             cuts = [(data, offsets, 0)]
         else:  # one long text
@@ -107,7 +107,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(h[starts].view(np.int64)),
-                    pa.array(ids[row[starts]]),
+                    ids.take(pa.array(row[starts])),
                     pa.array(local[starts]),
                     pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)), pa.int32()), pa.array(local)),
                 ],
@@ -126,12 +126,14 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        a, t, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        a, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        t = batch.column(1)
+        other = pc.not_equal(t.slice(1), t.slice(0, len(t) - 1)).to_numpy(zero_copy_only=False)
         fresh = np.ones(len(a), bool)
-        fresh[1:] = (a[1:] != a[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1])
+        fresh[1:] = (a[1:] != a[:-1]) | other | (p[1:] != p[:-1])
         if last is not None:
-            fresh[0] = (a[0], t[0], p[0]) != last
-        last = (a[-1], t[-1], p[-1])
+            fresh[0] = (a[0], t[0].as_py(), p[0]) != last
+        last = (a[-1], t[-1].as_py(), p[-1])
         rows = np.flatnonzero(fresh)
         if len(rows) == 0:
             continue
@@ -156,7 +158,7 @@ def _digest(*parts: bytes) -> bytes:
     return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
 
 
-CONTEXT_ROWS = "anchor long, cid binary, tid long, right binary, left binary, places array<long>"
+CONTEXT_ROWS = "anchor long, cid binary, tid binary, right binary, left binary, places array<long>"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +189,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found["right"].append(right)
                 found["left"].append(left)
                 found["places"].append(sorted(set(places)))
-        kinds = {"anchor": pa.int64(), "cid": pa.binary(), "tid": pa.int64(), "right": pa.binary(), "left": pa.binary()}
+        kinds = {"anchor": pa.int64(), "cid": pa.binary(), "tid": pa.binary(), "right": pa.binary(), "left": pa.binary()}
         kinds["places"] = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(found[k], v) for k, v in kinds.items()], names=list(kinds))
 
@@ -351,7 +353,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     copies: the text stands more than once, so all of it (of LENGTH bytes or more) repeats.
     """
-    anchor_rows = "anchor long, tid long, at long, places array<long>"
+    anchor_rows = "anchor long, tid binary, at long, places array<long>"
     sampled = docs.mapInArrow(_sample, anchor_rows)
     sampled = sampled.repartition("anchor").sortWithinPartitions("anchor", "tid", "at")
     repeated = written(sampled.mapInArrow(_repeated, anchor_rows), "sub-places")
@@ -371,7 +373,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         runs = runs.unionByName(_hot_runs(contexts.join(F.broadcast(hot), "anchor", "left_semi")))
     spans = contexts.select("cid", "tid", F.explode("places").alias("at")).join(runs, "cid")
     spans = spans.select("tid", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + LENGTH).alias("end"))
-    spans = spans.groupBy("tid").agg(F.array_distinct(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = spans.groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = written(spans, "sub-spans")
     copies = docs.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("tid", F.lit(True).alias("copies"))
     return spans.join(copies, "tid", "full")
@@ -424,10 +426,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Every byte inside a LENGTH-byte string of its text that also starts elsewhere, in the same
     text or another, goes; kept has the other bytes. Null and empty texts and those below
     LENGTH bytes keep all. Repeated rows are copies: all their bytes go, as in any copies of
-    LENGTH bytes or more. Texts are told apart by xxhash64; adjacent and overlapping strings
-    make one span.
+    LENGTH bytes or more. Adjacent and overlapping strings make one span.
     """
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tid"))
+    keyed = bounded_batches(docs.select("doc_id", "text", F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("tid")))
     found = repeated_spans(keyed.where(F.octet_length("text") >= LENGTH).select("tid", "text"))
     joined = keyed.join(found, "tid", "left").select("doc_id", "text", "copies", "spans")
     return joined.mapInArrow(
