@@ -2,8 +2,8 @@
 
 Copies of a text travel together. Groups are dealt to tasks, each task differences its own
 groups into one partial partition of ``n_shards`` byte sums, and the partial partitions (one
-short vector per task) are differenced again, so the largest spreads always meet oppositely
-ordered.
+short vector per task) are differenced again, level by level, so the largest spreads always
+meet oppositely ordered.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from tarn.llm.common import text_digest, written
 
 #: Groups per differencing task, and rows per numbering task, that are aimed at.
 GROUPS_PER_TASK = 20_000
+#: Partial partitions that one task, or at last the driver, differences.
+FAN_IN = 4_096
 ROWS_PER_BLOCK = 50_000
 
 
@@ -73,12 +75,51 @@ def _difference_task(n_shards: int):
     return run
 
 
+def _merge_task(n_shards: int):
+    """Differences the partial partitions of the buckets below one bucket of the next level."""
+
+    def run(sums: pd.DataFrame) -> pd.DataFrame:
+        sums = sums.sort_values(["bucket", "part"], kind="stable")
+        at = {b: i for i, b in enumerate(sums["bucket"].unique())}
+        vectors = [[0] * n_shards for _ in at]
+        for bucket, part, size in zip(sums["bucket"], sums["part"], sums["bytes"]):
+            vectors[at[bucket]][part] = int(size)
+        found = difference([tuple(v) for v in vectors], n_shards)
+        sums["up_part"] = [found[at[b]][p] for b, p in zip(sums["bucket"], sums["part"])]
+        return sums[["bucket", "part", "up", "up_part", "bytes"]]
+
+    return run
+
+
+def _merged(parts: DataFrame, n_buckets: int, n_shards: int) -> DataFrame:
+    """(bucket, part, shard) of the partial partitions of ``parts`` (bucket, part, bytes)."""
+    spark = parts.sparkSession
+    sums = parts.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes"))
+    if n_buckets > FAN_IN:
+        above = -(-n_buckets // FAN_IN)
+        joined = sums.withColumn("up", F.pmod("bucket", F.lit(above)).cast("int")).groupBy("up").applyInPandas(
+            _merge_task(n_shards), "bucket int, part int, up int, up_part int, bytes long"
+        )
+        joined = written(joined, "shard-merged")
+        top = _merged(joined.select(F.col("up").alias("bucket"), F.col("up_part").alias("part"), "bytes"), above, n_shards)
+        top = top.select(F.col("bucket").alias("up"), F.col("part").alias("up_part"), "shard")
+        return joined.join(top, ["up", "up_part"]).select("bucket", "part", "shard")
+    # At most FAN_IN * n_shards rows, whatever the input.
+    by_bucket: dict[int, list[int]] = {}
+    for r in sums.collect():
+        by_bucket.setdefault(r["bucket"], [0] * n_shards)[r["part"]] = r["bytes"]
+    order = sorted(by_bucket)
+    found = difference([tuple(by_bucket[b]) for b in order], n_shards)
+    final = [(b, p, s) for b, shards in zip(order, found) for p, s in enumerate(shards)]
+    return F.broadcast(spark.createDataFrame(final, "bucket int, part int, shard int"))
+
+
 def balanced_shards(docs: DataFrame, n_shards: int = 16, text: str = "text", key: str = "doc_id") -> DataFrame:
     """All rows of ``docs`` with size, text_crc32, shard and slot.
 
     Size is the UTF-8 bytes of the text plus 1 (null: 1). Copies of a text stay in one
-    shard, unless they weigh more than a quarter of a fair share: such a group (there are at
-    most 4 * n_shards) is cut into pieces of about an eighth of a share. Nulls form a group;
+    shard, unless they weigh more than a fair share, which no shard could balance: such a group
+    (there are fewer than n_shards) is cut into pieces of about an eighth of a share. Nulls form a group;
     their CRC is that of no bytes, 0. Repeated rows each get a slot. Slots run from 0 in each
     shard without gaps, by (key block, key, row). An empty table gives an empty result.
     """
@@ -96,13 +137,13 @@ def balanced_shards(docs: DataFrame, n_shards: int = 16, text: str = "text", key
     total = groups.agg(F.sum("bytes"), F.count(F.lit(1)), F.sum("n")).first()
     total_bytes, n_groups, n_rows = (int(x or 0) for x in total)
     share = max(1, total_bytes // n_shards)
-    # At most 4 * n_shards groups can weigh over a quarter of a share, so this side is bounded.
+    # Fewer than n_shards groups can weigh over a share, so this side is bounded.
+    is_heavy = (F.col("bytes") > share) & (F.col("n") > 1)
     heavy = F.broadcast(
-        groups.where((F.col("bytes") > share // 4) & (F.col("n") > 1)).select(
+        groups.where(is_heavy).select(
             "gkey", F.least(F.col("n"), F.ceil(F.col("bytes") * 8 / share)).cast("long").alias("pieces")
         )
     )
-    is_heavy = F.col("bytes") > share // 4
     piece = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.lit(0)).alias("piece")
     cut = (
         rows.join(heavy, "gkey")
@@ -110,8 +151,8 @@ def balanced_shards(docs: DataFrame, n_shards: int = 16, text: str = "text", key
         .groupBy("gkey", "piece")
         .agg(F.sum("size").alias("bytes"))
     )
-    whole = groups.where(~(is_heavy & (F.col("n") > 1))).select("gkey", F.lit(0).cast("long").alias("piece"), "bytes")
-    n_buckets = min(4096, max(1, -(-n_groups // GROUPS_PER_TASK)))
+    whole = groups.where(~is_heavy).select("gkey", F.lit(0).cast("long").alias("piece"), "bytes")
+    n_buckets = max(1, -(-n_groups // GROUPS_PER_TASK))
     bucket = F.pmod(F.xxhash64("gkey", "piece", F.lit(7)), F.lit(n_buckets)).cast("int")
     parts = (
         whole.unionByName(cut)
@@ -122,16 +163,8 @@ def balanced_shards(docs: DataFrame, n_shards: int = 16, text: str = "text", key
         )
     )
     parts = written(parts, "shard-parts")
-    # One row for each bucket and position: at most 4096 * n_shards, whatever the input.
-    sums = parts.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")).collect()
-    by_bucket: dict[int, list[int]] = {}
-    for r in sums:
-        by_bucket.setdefault(r["bucket"], [0] * n_shards)[r["part"]] = r["bytes"]
-    order = sorted(by_bucket)
-    found = difference([tuple(by_bucket[b]) for b in order], n_shards)
-    final = [(b, p, s) for b, shards in zip(order, found) for p, s in enumerate(shards)]
-    final_df = spark.createDataFrame(final, "bucket int, part int, shard int")
-    placed = parts.join(F.broadcast(final_df), ["bucket", "part"]).select("gkey", "piece", "shard")
+    final = _merged(parts.select("bucket", "part", "bytes"), n_buckets, n_shards)
+    placed = parts.join(final, ["bucket", "part"]).select("gkey", "piece", "shard")
     # A group's rows can be many; its placement is one row, and skewed joins are split at run time.
     sharded = (
         rows.join(heavy, "gkey", "left")
