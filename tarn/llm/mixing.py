@@ -2,9 +2,10 @@
 
 Every document has a rate min(cap, exp(lambda_source * size / mean size of its source)),
 the solution of least relative entropy from rate 1 under the source's token constraint. Each source's
-lambda solves a one-dimensional convex dual by safeguarded Newton steps over the histogram of
-sizes, which Spark aggregates once; no step touches the documents again. Rates become whole
-copies by carrying each rounding error to the next smaller document.
+lambda solves a one-dimensional convex dual by safeguarded Newton steps, all sources at once:
+Spark sums value and slope over the histograms of sizes, which it makes once; no step touches
+the documents again. Rates become whole copies by carrying each rounding error to the next
+smaller document.
 """
 
 from __future__ import annotations
@@ -22,10 +23,8 @@ MIX_SHARE = 1.5
 MAX_COPIES = 2
 WEIGHTS = (3, 1, 2)
 DOCS_PER_TASK = 4_000
-#: Rounding errors up to this share of a block's words stay.
-SLACK = 0.005
-#: Newton steps; each at least halves the bracket, so 80 reach the precision of a double.
-STEPS = 80
+#: Newton steps in one Spark job, and jobs at most; a target is met when its relative error is below TOLERANCE.
+STEPS, JOBS, TOLERANCE = 4, 20, 1e-7
 
 
 def n_words(text: str = "text") -> Column:
@@ -63,155 +62,151 @@ def targets(sources: DataFrame, share: float = MIX_SHARE, cap: float = MAX_COPIE
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def solve(sizes, counts, target: float, cap: float) -> float:
-    """The tilt of one source: sum(count * size * min(cap, exp(tilt * size / mean))) = target."""
-    total = float((sizes * counts).sum())
-    if total <= 0 or target <= 0:
-        return -math.inf
-    if target >= cap * total * (1 - 1e-12):
-        return math.inf
-    import numpy as np
-
-    mean = total / float(counts.sum())
-    x = sizes / mean
-    mass = sizes * counts
-    smallest = x[sizes > 0].min()
-    low, high = -1.0, 1.0
-    limit = math.log(cap)
-
-    def taken(tilt):
-        expo = tilt * x
-        free = expo < limit
-        rate = np.where(free, np.exp(np.minimum(expo, limit)), cap)
-        return float((mass * rate).sum()), float((mass * x * rate)[free].sum())
-
-    while taken(low)[0] > target and low > -1e12:
-        low *= 2
-    while taken(high)[0] < target and high < 1e12 and high * smallest < limit * 2:
-        high *= 2
-    tilt = 0.0
-    for _ in range(STEPS):
-        value, slope = taken(tilt)
-        if value < target:
-            low = max(low, tilt)
-        else:
-            high = min(high, tilt)
-        step = tilt - (value - target) / slope if slope > 0 else math.nan
-        nearer = step if low < step < high else (low + high) / 2
-        if nearer == tilt or abs(value - target) <= 1e-9 * target:
-            break
-        tilt = nearer
-    return tilt
+STATE = ("target", "mean", "tilt", "low", "high", "met")
 
 
-def _solve_task(cap: float):
-    """One source's dual, from its histogram of at most as many rows as it has distinct sizes."""
+def _begun(sources: DataFrame, cap: float) -> DataFrame:
+    """The state before the first step; sources that take all or nothing have an infinite tilt already."""
+    none = (F.col("source_size") <= 0) | (F.col("target") <= 0)
+    full = F.col("target") >= F.lit(cap * (1 - 1e-12)) * F.col("source_size")
+    tilt = F.when(none, F.lit(-math.inf)).when(full, F.lit(math.inf)).otherwise(F.lit(0.0))
+    mean = F.when(F.col("source_size") > 0, F.col("source_size") / F.col("source_docs")).otherwise(1.0)
+    empty = F.lit(None).cast("double")
+    return sources.select(
+        F.col("source").alias("s"), "target", mean.alias("mean"), tilt.alias("tilt"), empty.alias("low"),
+        empty.alias("high"), (none | full).alias("met"),
+    )
 
-    def run(hist: pd.DataFrame) -> pd.DataFrame:
-        hist = hist.sort_values("size")
-        sizes = hist["size"].to_numpy(float)
-        counts = hist["n"].to_numpy(float)
-        total = float((sizes * counts).sum())
-        mean = total / counts.sum() if total else 1.0
-        row = hist.iloc[0]
-        tilt = solve(sizes, counts, float(row["target"]), cap)
-        out = {"source": row["source"], "source_size": row["source_size"], "target": row["target"], "tilt": tilt, "mean": mean}
-        return pd.DataFrame([out])
 
-    return run
+def rate_of(cap: float) -> Column:
+    """min(cap, exp(tilt * size / mean)); texts of no words have rate 1."""
+    expo = F.col("tilt") * F.col("size") / F.col("mean")
+    rate = F.when(expo >= math.log(cap), F.lit(float(cap))).otherwise(F.exp(expo))
+    return F.when(F.col("size") > 0, rate).otherwise(F.lit(1.0))
 
 
-def rounded(sizes: list[int], rates: list[float], cap: int) -> tuple[list[int], list[int]]:
-    """Whole copies and words of a partial copy, for documents from large to small.
+def newton_step(hist: DataFrame, state: DataFrame, cap: float) -> DataFrame:
+    """One step of every source's dual: sum(n * size * rate) = target.
 
-    Each rounding error is carried to the next document. What the last ones can't take up, where
-    single documents dwarf the rest, becomes partial copies; errors below SLACK of all words stay.
+    Sums are of decimals, so they don't depend on the order of rows, and reruns agree.
+    """
+    joined = hist.where("size > 0").join(state, F.col("s").eqNullSafe(F.col("source")))
+    words = F.col("size") * F.col("n") * rate_of(cap)
+    free = F.col("tilt") * F.col("size") / F.col("mean") < math.log(cap)
+    slope = F.when(free, words * F.col("size") / F.col("mean")).otherwise(0.0)
+    sums = joined.groupBy("source").agg(
+        F.sum(words.cast("decimal(28,6)")).cast("double").alias("value"),
+        F.sum(slope.cast("decimal(28,6)")).cast("double").alias("slope"),
+    )
+    both = state.join(sums, F.col("s").eqNullSafe(F.col("source")), "left")
+    short, met = F.col("value") < F.col("target"), F.abs(F.col("value") - F.col("target")) <= TOLERANCE * F.col("target")
+    low = F.when(short, F.greatest("low", "tilt")).otherwise(F.col("low"))
+    high = F.when(short, F.col("high")).otherwise(F.least("high", "tilt"))
+    both = both.withColumns({"low": low, "high": high, "met": F.col("met") | F.coalesce(met, F.lit(True))})
+    step = F.when(F.col("slope") > 0, F.col("tilt") - (F.col("value") - F.col("target")) / F.col("slope"))
+    reach = F.lit(2.0) * F.greatest(F.lit(1.0), F.abs("tilt"))
+    # Without a bound on one side a step goes so far at most; within a bracket it stays or halves it.
+    step = F.coalesce(step, F.when(short, F.lit(math.inf)).otherwise(-math.inf))
+    step = F.least(F.greatest(step, F.col("tilt") - reach), F.col("tilt") + reach)
+    outside = (step <= F.col("low")) | (step >= F.col("high"))
+    step = F.when(outside, (F.col("low") + F.col("high")) / 2).otherwise(step)
+    return both.withColumn("tilt", F.when(F.col("met"), F.col("tilt")).otherwise(step)).select("s", *STATE)
+
+
+def tilts(hist: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
+    """(s, tilt, mean, ...) of every source; a few steps make one job, until all targets are met."""
+    state = written(_begun(sources, cap), "mix-tilts")
+    for _ in range(JOBS):
+        if state.where(~F.col("met")).isEmpty():
+            break
+        for _ in range(STEPS):
+            state = newton_step(hist, state, cap)
+        state = written(state, "mix-tilts")
+    return state
+
+
+def rounded(sizes: list[int], rates: list[float], cap: int) -> list[int]:
+    """Whole copies of documents from large to small; each rounding error is carried to the next.
+
+    What the small ones can't take up goes back to the largest that bring the sum nearer.
     """
     carry, copies = 0.0, []
     for size, rate in zip(sizes, rates):
         n = 1 if size == 0 else min(cap, max(0, math.floor(rate + carry / size + 0.5)))
         carry += (rate - n) * size
         copies.append(n)
-    partial = [0] * len(sizes)
-    enough = SLACK * sum(s * r for s, r in zip(sizes, rates))
     for i, size in enumerate(sizes):
-        if abs(carry) <= enough:
-            break
-        change = int(max(-copies[i] * size, min((cap - copies[i]) * size, round(carry))))
-        if size:
-            copies[i], partial[i] = divmod(copies[i] * size + change, size)
-            carry -= change
-    return copies, partial
+        if size and abs(carry) * 2 > size:
+            n = min(cap, max(0, copies[i] + math.floor(carry / size + 0.5)))
+            carry -= (n - copies[i]) * size
+            copies[i] = n
+    return copies
 
 
 def _round_task(cap: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
-        block["copies"], block["partial"] = rounded(block["size"].tolist(), block["rate"].tolist(), cap)
-        return block[["doc_id", "size", "source", "source_size", "target", "rate", "copies", "partial"]]
+        block = block.sort_values(["size", "doc_id", "key"], ascending=[False, True, True], kind="stable", na_position="last")
+        block["copies"] = rounded(block["size"].tolist(), block["rate"].tolist(), cap)
+        return block[["doc_id", "key", "size", "source", "source_size", "target", "rate", "copies"]]
 
     return run
 
 
 def rates(docs: DataFrame, share: float = MIX_SHARE, cap: int = MAX_COPIES) -> DataFrame:
-    """(doc_id, size, source, source_size, target, rate, copies, partial) of every row of ``docs``.
+    """(doc_id, key, size, source, source_size, target, rate, copies) of every row of ``docs``.
 
-    ``docs`` needs doc_id, source and text. A text of no words (or null) keeps one copy and
-    takes nothing. ``partial`` is 0 but where whole copies can't come near a target: so many first
-    words of the document come on top. Rows with a null source form a source of their own. Repeated rows are
-    separate documents. A source of no words has target 0.
+    ``docs`` needs doc_id, source and text; key is a hash of the text. A text of no words (or
+    null) keeps one copy and takes nothing. Copies are whole, so a source misses its target by
+    up to half of a document that its smaller ones can't make up for. Rows with a null source
+    form a source of their own. Repeated rows are separate documents. A source of no words has
+    target 0. An empty table gives an empty result.
     """
-    sized = written(docs.select("doc_id", "source", n_words().alias("size")), "mix-sizes")
+    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("key"), n_words().alias("size"))
+    sized = written(sized, "mix-sizes")
     hist = written(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
     sources = hist.groupBy("source").agg(
         F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("source_docs")
     )
-    aims = targets(sources.select("source", "source_size"), share, cap)
-    keyed = hist.withColumnRenamed("source", "s").join(aims, F.col("s").eqNullSafe(F.col("source")))
-    tilts = keyed.groupBy("source").applyInPandas(
-        _solve_task(float(cap)), "source string, source_size long, target double, tilt double, mean double"
-    )
+    aims = targets(sources.select("source", "source_size"), share, cap).withColumnsRenamed({"source": "a", "source_size": "z"})
+    sources = written(sources.join(aims, F.col("a").eqNullSafe(F.col("source"))).drop("a", "z"), "mix-sources")
     blocks = sources.select(
-        F.col("source").alias("b"), F.ceil(F.col("source_docs") / DOCS_PER_TASK).cast("int").alias("blocks")
+        F.col("source").alias("b"), "source_size", F.ceil(F.col("source_docs") / DOCS_PER_TASK).cast("int").alias("blocks")
     )
-    tilts = written(tilts.join(blocks, F.col("b").eqNullSafe(F.col("source"))).drop("b"), "mix-tilts")
-    tilts = tilts.withColumnRenamed("source", "s")
-    few = tilts.count() <= 100_000
-    expo = F.col("tilt") * F.col("size") / F.col("mean")
-    rate = F.when(expo >= math.log(cap), F.lit(float(cap))).otherwise(F.exp(expo))
+    found = tilts(hist, sources, float(cap)).join(blocks, F.col("s").eqNullSafe(F.col("b")))
+    found = written(found.select("s", "source_size", "target", "tilt", "mean", "blocks"), "mix-rates")
+    few = found.count() <= 100_000
     rated = (
-        sized.join(F.broadcast(tilts) if few else tilts, F.col("s").eqNullSafe(F.col("source")))
-        .withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(1.0)))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")).cast("int"))
+        sized.join(F.broadcast(found) if few else found, F.col("s").eqNullSafe(F.col("source")))
+        .withColumn("rate", rate_of(cap))
+        .withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
     )
     return rated.groupBy("source", "block").applyInPandas(
         _round_task(cap),
-        "doc_id long, size long, source string, source_size long, target double, rate double, copies int, partial long",
+        "doc_id long, key long, size long, source string, source_size long, target double, rate double, copies int",
     )
 
 
 def mixed(docs: DataFrame, share: float = MIX_SHARE, cap: int = MAX_COPIES) -> DataFrame:
     """The documents of the mix, each as often as it has copies; columns as in ``docs``.
 
-    A partial copy has the document's first words, a blank apart. Documents of equal id and size are
-    interchangeable: the first of them, by text, takes what they have together.
+    Repeated rows of one doc_id, source and text are interchangeable: one of them, the first by
+    a hash of its columns, takes what they have together.
     """
     found = rates(docs, share, cap)
-    by_id = found.groupBy("doc_id", "size").agg(
-        F.sum("copies").alias("__copies"), F.sum("partial").alias("__partial"), F.count(F.lit(1)).alias("__repeats")
-    )
-    by_id = by_id.withColumnsRenamed({"doc_id": "__id", "size": "__n"})
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__n"))
-    joined = docs.withColumn("__size", n_words()).join(by_id, on)
-    if not by_id.where("__repeats > 1").limit(1).isEmpty():
-        at = F.row_number().over(Window.partitionBy("__id", "__n").orderBy("text"))
+    names = {"doc_id": "__id", "source": "__source", "size": "__n", "key": "__text"}
+    by_id = found.groupBy(*names).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__repeats"))
+    by_id = written(by_id.withColumnsRenamed(names), "mix-copies")
+    on = F.col("__size") == F.col("__n")
+    for have, want in (("doc_id", "__id"), ("source", "__source"), ("__key", "__text")):
+        on &= F.col(have).eqNullSafe(F.col(want))
+    keyed = docs.withColumns({"__size": n_words(), "__key": F.xxhash64("text")})
+    joined = keyed.join(by_id.where("__copies > 0"), on)
+    if not by_id.where("__repeats > 1").isEmpty():
+        row = F.xxhash64(*[F.col(c) for c in docs.columns])
+        at = F.row_number().over(Window.partitionBy("__id", "__source", "__n", "__text").orderBy(row))
         joined = joined.withColumn("__at", at).where("__at = 1")
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    part = F.array_join(F.slice(words, F.lit(1), F.col("__partial").cast("int")), " ")
-    texts = F.array_repeat(F.col("text"), F.col("__copies").cast("int"))
-    texts = F.concat(texts, F.when(F.col("__partial") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = joined.withColumn("__text", F.explode(texts))
-    return out.select(*[F.col("__text").alias("text") if c == "text" else docs[c] for c in docs.columns])
+    again = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
+    return joined.withColumn("__copy", again).select(*docs.columns)
 
 
 def mix_query(spark, sf_dir: str) -> DataFrame:
@@ -221,9 +216,8 @@ def mix_query(spark, sf_dir: str) -> DataFrame:
         "size",
         "source_size",
         "target",
-        (F.col("copies") * F.col("size") + F.col("partial")).cast("long").alias("taken"),
+        (F.col("copies") * F.col("size")).cast("long").alias("taken"),
         "source",
         "rate",
         "copies",
-        "partial",
     )
