@@ -11,24 +11,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import byte_view, pieces, with_columns
+from tarn.llm.common import bounded_batches, byte_view, pieces, with_columns, written
 
 PASSAGE = 512
 BIGRAMS = 256
 FEATURES = 130 + BIGRAMS + 4
-#: Labelled documents that the model is fitted on, at most, and passages (evenly spaced) of each.
+#: The model is fitted on so many labelled documents and bytes of text at most; each is taken whole.
 FIT_DOCUMENTS = 3_000
-FIT_PASSAGES = 48
+FIT_BYTES = 24 << 20
 THRESHOLD = 0.3
-CHUNK_BYTES = 3 << 19
+CHUNK_BYTES = 1 << 20
 
 _SYMBOL = np.minimum(np.arange(256), 129)
 _SYMBOL[128:192] = 128
 _SYMBOL[192:] = 129
+_SYMBOL32 = _SYMBOL.astype(np.int32)
 
 
 def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,10 +42,14 @@ def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     n = np.maximum(1, -(-lengths // PASSAGE))
     first = np.cumsum(n) - n
     total = int(n.sum())
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    where = (np.arange(len(data)) - offsets[:-1][row]) // PASSAGE + first[row]
-    ones = np.bincount(where * 130 + _SYMBOL[data], minlength=total * 130).reshape(total, 130).astype(np.float32)
-    pair = (data[:-1].astype(np.int64) * 31 + data[1:] * 7 + (data[1:] >> 5)) % BIGRAMS if len(data) else data[:0]
+    where = np.arange(len(data), dtype=np.int32)
+    where -= np.repeat(offsets[:-1].astype(np.int32), lengths)
+    where //= PASSAGE
+    where += np.repeat(first.astype(np.int32), lengths)
+    ones = np.bincount(where * 130 + _SYMBOL32[data], minlength=total * 130).reshape(total, 130).astype(np.float32)
+    wide = data.astype(np.int32)
+    pair = (wide[:-1] * 31 + wide[1:] * 7 + (wide[1:] >> 5)) % BIGRAMS if len(data) else wide
+    del wide
     same = where[:-1] == where[1:]
     twos = np.bincount(where[:-1][same] * BIGRAMS + pair[same], minlength=total * BIGRAMS)
     twos = twos.reshape(total, BIGRAMS).astype(np.float32)
@@ -142,11 +147,13 @@ def held_out(key: str = "doc_id"):
     return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS) -> AttentionMIL | None:
-    """A model of labels.quality from at most ``limit`` labelled documents that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES) -> AttentionMIL | None:
+    """A model of labels.quality from a bounded sample of labelled documents that are not held out.
 
-    The sample is the labels of least xxhash64(doc_id). Null keys, qualities and texts are left
-    out; repeated labels of a document count by their least value. None without a label.
+    The sample is that of the labels of least xxhash64(doc_id): ``limit`` at most, up to the
+    document with which their texts would exceed ``most_bytes``; every passage of a sampled
+    text counts. Null keys, qualities and texts are left out; repeated labels of a document
+    count by their least value. None without a label.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
     sample = (
@@ -155,16 +162,20 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS) -> Atten
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    bags = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")
+    sample = F.broadcast(written(sample, "quality-sample"))
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    # At most ``limit`` rows in one window.
+    sizes = texts.select("doc_id", F.octet_length("text").alias("bytes")).join(sample, "doc_id")
+    sizes = sizes.groupBy("doc_id", "quality").agg(F.sum("bytes").alias("bytes"))
+    so_far = F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("doc_id", "quality")
+    bags = bounded_batches(texts).join(F.broadcast(chosen), "doc_id")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", CHUNK_BYTES):
             x, first = passage_features(*byte_view(piece.column("text")))
             ends = np.append(first[1:], len(x))
-            blobs = []
-            for a, b in zip(first, ends):
-                at = np.unique(np.linspace(a, b - 1, min(FIT_PASSAGES, b - a)).astype(int))
-                blobs.append(x[at].astype(np.float16).tobytes())
+            blobs = [x[a:b].astype(np.float16).tobytes() for a, b in zip(first, ends)]
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id").cast(pa.int64()), piece.column("quality").cast(pa.int32()), pa.array(blobs, pa.binary())],
                 names=["doc_id", "quality", "x"],
@@ -186,7 +197,7 @@ def scored(docs: DataFrame, model: AttentionMIL | None, column: str = "quality_s
     Null texts count as empty, and empty ones are a single blank passage. Without a model all
     score 0.5. An input column of the same name is replaced.
     """
-    docs = docs.drop(column)
+    docs = bounded_batches(docs.drop(column))
     schema = T.StructType(docs.schema.fields + [T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +213,7 @@ def scored(docs: DataFrame, model: AttentionMIL | None, column: str = "quality_s
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents scored at ``threshold`` or more, columns as in ``docs``."""
+    """The documents scored at ``threshold`` or more, columns as in ``docs``; without labels, all."""
     found = scored(docs, fit(docs, labels), "__quality")
     return found.where(F.col("__quality") >= threshold).select(*docs.columns)
 
