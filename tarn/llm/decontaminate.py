@@ -2,7 +2,8 @@
 
 Each task cuts its documents into shards of some megabytes, builds a suffix array over the
 shard's words, and binary-searches every suffix of the benchmark in it. Interval bounds give
-all verbatim occurrences; chained occurrences give the longest match. Documents never shuffle.
+all verbatim occurrences; occurrences of successive windows chain into the longest matches and
+their places. Documents never shuffle. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import byte_view, pieces, with_columns, words
+from tarn.llm.common import BASE, U64, bounded_batches, byte_view, mix64, pieces, with_columns, words
 
 WINDOW = 10
 #: Text bytes of a suffix-array shard.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: A block of the benchmark that is sent to all tasks holds at most so many text bytes,
 #: or one item. Larger benchmarks are searched block by block.
 BLOCK_BYTES = 32 << 20
@@ -59,19 +60,36 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Tests:
-    """The word windows of a block of benchmark items, ready to be searched."""
+    """The distinct word windows of a block of benchmark items, ready to be searched.
+
+    Items of equal words are one text with several ids. ``start`` and ``length`` are those of
+    each distinct window, ``first[w]`` to ``first[w + 1]`` its places: ``text`` and ``place``.
+    """
 
     def __init__(self, ids: list, texts: list, width: int = WINDOW):
         data, offsets = byte_view(pa.array(texts, pa.string()))
-        self.hashes, _, _, bounds = words(data, offsets)
-        counts = np.diff(bounds)
-        n = np.where(counts == 0, 0, np.maximum(1, counts - width + 1))
-        self.item = np.repeat(np.arange(len(ids)), n)
+        hashes, _, _, bounds = words(data, offsets)
+        by_words: dict[bytes, list[int]] = {}
+        for i in range(len(ids)):
+            if bounds[i] < bounds[i + 1]:
+                by_words.setdefault(hashes[bounds[i] : bounds[i + 1]].tobytes(), []).append(i)
+        self.hashes = np.frombuffer(b"".join(by_words), U64) if by_words else np.empty(0, U64)
+        counts = np.array([len(k) // 8 for k in by_words], np.int64)
+        self.ids = [sorted({str(ids[i]) for i in group}) for group in by_words.values()]
+        n = np.maximum(1, counts - width + 1)
+        text = np.repeat(np.arange(len(counts)), n)
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        self.start = bounds[:-1][self.item] + place
-        self.place = place
-        self.length = np.minimum(width, counts)[self.item]
-        self.ids = ids
+        start = (np.cumsum(counts) - counts)[text] + place
+        length = np.minimum(width, counts)[text]
+        key = mix64(length.astype(U64))
+        for k in range(width):
+            inside = k < length
+            key[inside] = mix64(key[inside] * U64(BASE) + self.hashes[start[inside] + k] + U64(k + 1))
+        order = np.argsort(key, kind="stable")
+        fresh = np.concatenate(([True], key[order][1:] != key[order][:-1]))[: len(order)]
+        self.first = np.append(np.flatnonzero(fresh), len(order))
+        self.text, self.place = text[order], place[order]
+        self.start, self.length = start[order][fresh], length[order][fresh]
         self.width = width
 
     def occurrences(self, symbols: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,31 +154,42 @@ def search(batch: pa.RecordBatch, column: str, tests: Tests):
 
 
 def report(batch: pa.RecordBatch, column: str, tests: Tests, before: dict | None = None) -> dict:
-    """Per row: words, hit words, items and longest match, added to those of the blocks ``before``."""
+    """Per row: words, hit words, items and matches, added to those of the blocks ``before``.
+
+    A match is (start, words, item, item_start), in words: a run that can't be longer.
+    """
     counts, window, position, row, n, at, owner = search(batch, column, tests)
     rows = batch.num_rows
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, position, 1)
     np.add.at(edge, position + tests.length[window], -1)
     hit = np.cumsum(edge)[:n] > 0
-    longest = np.zeros(rows, np.int64)
     items: list[list] = [[] for _ in range(rows)]
+    matches: list[list] = [[] for _ in range(rows)]
     if before is not None:
         hit |= before["hit"]
-        longest, items = before["longest"], before["items"]
+        items, matches = before["items"], before["matches"]
     n_hit = np.bincount(owner, weights=hit[at], minlength=rows).astype(np.int64)
     if len(window):
-        pairs = np.unique(np.stack([row, tests.item[window]]), axis=1)
-        for r, i in pairs.T:
-            items[r].append(tests.ids[i])
+        places = tests.first[window + 1] - tests.first[window]
+        which = np.repeat(np.arange(len(window)), places)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(places) - places, places)
+        entry = tests.first[window[which]] + nth
+        text, place, p, r = tests.text[entry], tests.place[entry], position[which], row[which]
+        for one, i in np.unique(np.stack([r, text]), axis=1).T:
+            items[one] += tests.ids[i]
         # Occurrences of successive windows at successive places are one longer match.
-        diagonal = position - tests.place[window]
-        by = np.lexsort((position, diagonal, tests.item[window]))
-        i, d, p = tests.item[window][by], diagonal[by], position[by]
-        new = np.concatenate(([True], (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)))
-        first = np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
-        np.maximum.at(longest, row[by], p - p[first] + tests.length[window][by])
-    return {"n_words": counts, "n_hit": n_hit, "items": items, "longest": longest, "hit": hit}
+        by = np.lexsort((p, p - place, text))
+        text, place, p, r, size = text[by], place[by], p[by], r[by], tests.length[window[which]][by]
+        new = np.concatenate(([True], (text[1:] != text[:-1]) | (p[1:] != p[:-1] + 1) | (place[1:] != place[:-1] + 1)))
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(new)) - 1
+        begin = np.concatenate(([0], np.cumsum(counts + 1)))[:-1]  # a row's words, and the mark after them
+        for one, start, length, i, from_ in zip(
+            r[a].tolist(), (p[a] - begin[r[a]]).tolist(), (p[b] - p[a] + size[b]).tolist(), text[a].tolist(), place[a].tolist()
+        ):
+            matches[one].append({"start": start, "words": length, "item_id": tests.ids[i][0], "item_start": from_})
+    return {"n_words": counts, "n_hit": n_hit, "items": items, "matches": matches, "hit": hit}
 
 
 def benchmark_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[tuple[list, list]]:
@@ -177,45 +206,48 @@ def benchmark_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator
         yield [r[0] for r in rows], [r[1] for r in rows]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words, n_hit, item_ids, longest_match added.
+MATCH = "struct<start:long, words:long, item_id:string, item_start:long>"
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, prefix: str = ""
+) -> DataFrame:
+    """``docs`` with n_words, n_hit, item_ids, longest_match and matches added, each name after ``prefix``.
 
     A document word inside any occurrence of ``width`` consecutive item words is hit; an item
-    of fewer words, but not none, is one window. A null or empty text has no words and no
-    hits; null items have no windows. item_ids are distinct, sorted as strings. Repeated
-    documents are judged one by one, repeated items count once. An empty benchmark hits
-    nothing. Added columns replace input columns of the same names.
+    of fewer words, but not none, is one window. matches are the maximal verbatim runs, of a
+    window at least: start and words in the document, item_id (the least of items of equal
+    words) and item_start in the item, counted in words from 0; longest_match is the most words
+    of one. A null or empty text has no words and no hits; null items have no windows. item_ids
+    are distinct, sorted as strings. Repeated documents are judged one by one, repeated items
+    count once. An empty benchmark hits nothing. Added columns replace input columns of the
+    same names.
     """
     spark = docs.sparkSession
-    names = ["n_words", "n_hit", "item_ids", "longest_match"]
-    docs = docs.drop(*names)
+    added = T.StructType.fromDDL(f"n_words long, n_hit long, item_ids array<string>, longest_match long, matches array<{MATCH}>")
+    names = [prefix + f.name for f in added]
+    docs = bounded_batches(docs.drop(*names))
     blocks = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark)]
-    added = [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("item_ids", T.ArrayType(T.StringType())),
-        T.StructField("longest_match", T.LongType()),
-    ]
-    schema = T.StructType(docs.schema.fields + added)
+    schema = T.StructType(docs.schema.fields + [T.StructField(n, f.dataType) for n, f in zip(names, added)])
+    match = pa.struct([("start", pa.int64()), ("words", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone = Tests(*blocks[0].value, width) if len(blocks) == 1 else None
         for piece in pieces(batches, text, SHARD_BYTES):
-            rows = piece.num_rows
             hits = None
             for block in blocks:
                 hits = report(piece, text, alone or Tests(*block.value, width), hits)
                 if alone is None:
                     vars(block).pop("_value", None)  # else the worker would keep every block
-            longest = hits["longest"]
-            ids = [sorted({str(i) for i in x}) for x in hits["items"]]
-            extra = {
-                "n_words": pa.array(hits["n_words"], pa.int64()),
-                "n_hit": pa.array(hits["n_hit"], pa.int64()),
-                "item_ids": pa.array(ids, pa.list_(pa.string())),
-                "longest_match": pa.array(longest, pa.int64()),
-            }
-            assert len(ids) == rows
+            found = hits["matches"]
+            columns = (
+                pa.array(hits["n_words"], pa.int64()),
+                pa.array(hits["n_hit"], pa.int64()),
+                pa.array([sorted(set(x)) for x in hits["items"]], pa.list_(pa.string())),
+                pa.array([max((m["words"] for m in x), default=0) for x in found], pa.int64()),
+                pa.array([sorted(x, key=lambda m: (m["start"], -m["words"], m["item_id"], m["item_start"])) for x in found], pa.list_(match)),
+            )
+            extra = dict(zip(names, columns))
             fields = [piece.schema.field(i) for i in range(piece.num_columns)]
             fields += [pa.field(k, v.type) for k, v in extra.items()]
             yield with_columns(pa.schema(fields), piece, extra)
@@ -225,7 +257,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any hit word, columns as in ``docs``."""
-    return contamination(docs, benchmark).where(F.col("n_hit") == 0).select(*docs.columns)
+    return contamination(docs, benchmark, prefix="__").where(F.col("__n_hit") == 0).select(*docs.columns)
 
 
 def items_digest(ids: str = "item_ids"):
@@ -243,6 +275,7 @@ def decontaminate_query(spark, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         items_digest().alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "longest_match",
     )
 
 
