@@ -52,7 +52,22 @@ def test_contamination(spark, docs, texts, monkeypatch, limit):
     assert got == brute_hits(texts, items)
     longest = {r["doc_id"]: r["longest_match"] for r in found}
     assert longest[33] == 30 and longest[29] == len(words(prose(2, 60))) and longest[0] == 0
-    assert decontaminate.decontaminated(docs, benchmark).columns == docs.columns
+    clean = decontaminate.decontaminated(docs.withColumn("n_hit", docs.size + 98), benchmark)
+    assert clean.columns == [*docs.columns, "n_hit"] and {r["n_hit"] for r in clean.collect()} == {99}
+    by = {i: words(t) for i, t in texts}
+    words_of = {"1": whole[100:130], "10": prose(2, 60).split(), "6": words(prose(1, 120))[50:70], "8": ["ab"] * 12, "2": ["word"], "5": ["two", "words"]}
+    words_of = {k: words(" ".join(v)) for k, v in words_of.items()}
+    for r in found:
+        for m in r["matches"]:
+            run, item = by[r["doc_id"]][m["start"] :][: m["words"]], words_of[m["item_id"]]
+            assert run == item[m["item_start"] :][: m["words"]] and len(run) == m["words"]
+            # No longer: the words before and after differ, or there are none.
+            before, after = m["start"] - 1, m["start"] + m["words"]
+            if before >= 0 and m["item_start"] > 0:
+                assert by[r["doc_id"]][before] != item[m["item_start"] - 1]
+            if after < len(by[r["doc_id"]]) and m["item_start"] + m["words"] < len(item):
+                assert by[r["doc_id"]][after] != item[m["item_start"] + m["words"]]
+        assert {m["item_id"] for m in r["matches"]} == set(r["item_ids"])
 
 
 def test_nothing_to_find(spark, docs, no_docs):
@@ -164,11 +179,16 @@ def test_repeated_runs_over_batches():
         assert got == [(2, 1), (2, 2), (2, 3), (5, 1), (5, 2)]
 
 
-def brute_classes(rows, least=0.8):
+def brute_classes(rows, least=0.8, kind=Counter):
+    """kind: Counter weighs a shingle by its count, set doesn't."""
     sets = {}
     for d, t in rows:
         w = words(t)
-        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        sets[d] = kind(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else kind()
+
+    def size(x):
+        return sum(x.values()) if kind is Counter else len(x)
+
     parent = {d: d for d, _ in rows}
 
     def find(x):
@@ -179,8 +199,8 @@ def brute_classes(rows, least=0.8):
     for a, ta in rows:
         for b, tb in rows:
             if a < b and ta is not None and tb is not None:
-                both = len(sets[a] & sets[b])
-                if ta == tb or both and both >= least * len(sets[a] | sets[b]):
+                both = size(sets[a] & sets[b])
+                if ta == tb or both and both >= least * size(sets[a] | sets[b]):
                     x, y = find(a), find(b)
                     parent[max(x, y)] = min(x, y)
     return {d: find(d) for d, _ in rows}
@@ -189,6 +209,8 @@ def brute_classes(rows, least=0.8):
 def test_near_duplicates(spark, docs, texts):
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
     assert got == brute_classes(texts)
+    sets = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs, by_count=False).collect()}
+    assert sets == brute_classes(texts, kind=set)
     kept = neardup.deduplicated(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == set(got.values())
@@ -197,7 +219,7 @@ def test_near_duplicates(spark, docs, texts):
 def test_near_duplicate_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
     monkeypatch.setattr(neardup, "BLOCK", 7)
-    monkeypatch.setattr(neardup, "SENT_IDS", 3)
+    monkeypatch.setattr(neardup, "SENT_KEYS", 3)
     base = prose(50, 100).split()
     rows = []
     for i in range(60):
@@ -212,6 +234,32 @@ def test_near_duplicate_group_in_blocks(spark, monkeypatch):
     assert neardup.deduplicated(df).count() == len(set(got.values())) + 1
 
 
+def test_weights_are_counts(spark):
+    """A line repeated another number of times is the same set, but another multiset."""
+    line = prose(70, 12) + " "
+    rows = [(1, line * 20), (2, line * 5), (3, line * 19)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()} == brute_classes(rows)
+    assert {r["class_id"] for r in neardup.near_duplicates(df, by_count=False).collect()} == {1}
+    assert set(brute_classes(rows).values()) == {1, 2}
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    w, z, v = prose(80, 90), prose(81, 90), prose(82, 50)
+    rows = [(1, w), (1, z), (2, w + " x"), (3, z + " y"), (4, None), (4, v), (5, v), (1, None), (6, "!?"), (6, w + " q"), (7, None)]
+    rows += [(None, w), (None, v + " n"), (None, prose(83, 40)), (None, prose(83, 40)), (None, prose(83, 40) + " z"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = neardup.near_duplicates(df).collect()
+    got = {(r["doc_id"], r["class_id"]) for r in found}
+    assert len(found) == len(rows)
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 1), (7, 7), (None, 1), (None, 4), (None, None)}
+    assert {r["doc_id"] for r in found if r["kept"]} == {1, 4, 7, None}
+    kept = [(r["doc_id"], r["text"]) for r in neardup.deduplicated(df).collect()]
+    assert sorted((i, t or "") for i, t in kept if i is not None) == [(1, min(w, z)), (4, v), (7, "")]
+    lone = [t for i, t in kept if i is None]
+    assert len(lone) == 2 and None in lone and any(t and t.startswith(prose(83, 40)) for t in lone)
+
+
 def test_no_documents(no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
     assert neardup.deduplicated(no_docs).count() == 0
