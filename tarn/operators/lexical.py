@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.scalars import idf, saturation
-from tarn.functions.tokenize import query_terms, terms
+from tarn.functions.tokenize import DELIMITERS, emitted, is_term, query_terms, terms
 
 #: A table of query terms up to this size goes to every task; larger ones are joined by term.
 BROADCAST_TERMS = 200_000
@@ -20,19 +20,32 @@ def term_rows(chunks: DataFrame) -> DataFrame:
     return found.select("chunk_id", F.size("terms").cast("long").alias("doc_len"), "terms")
 
 
-def _counted(exploded: DataFrame) -> DataFrame:
-    """A chunk's rows stand in one task, so counts combine before the shuffle."""
-    counted = exploded.groupBy("chunk_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("frequency"))
-    return counted.select("chunk_id", "term", "frequency", "doc_len")
+def occurrences(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, term), one row for every term of every token.
 
+    Tokens are exploded before they are cut up, so splitting, lower-casing and the tests of
+    terms are compiled code and no nested arrays.
+    """
+    words = F.explode(F.split(F.coalesce("content", F.lit("")), DELIMITERS))
+    found = chunks.select("chunk_id", words.alias("token")).where("token <> ''")
+    return found.select("chunk_id", F.explode(emitted(F.col("token"))).alias("term")).where(is_term(F.col("term")))
 
-def occurrences(chunks: DataFrame) -> DataFrame:
-    return term_rows(chunks).select("chunk_id", "doc_len", F.explode("terms").alias("term"))
+
+def _with_lengths(counted: DataFrame) -> DataFrame:
+    """(chunk_id, term, frequency) of all of a chunk's terms, with their sum as doc_len."""
+    length = F.sum("frequency").over(Window.partitionBy("chunk_id"))
+    return counted.select("chunk_id", "term", "frequency", length.alias("doc_len"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, frequency, doc_len)."""
-    return _counted(occurrences(chunks))
+    """(chunk_id, term, frequency, doc_len). One shuffle, by chunk, serves the counts and the lengths."""
+    found = occurrences(chunks).repartition("chunk_id")
+    return _with_lengths(found.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("frequency")))
+
+
+def lengths(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, doc_len) of the chunks with a term; a chunk's rows stand together, so they combine before the shuffle."""
+    return occurrences(chunks).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("doc_len"))
 
 
 @dataclass
@@ -40,7 +53,7 @@ class Index:
     """Postings with document lengths, document frequencies and the two corpus figures.
 
     ``unstored`` are the term occurrences of an index that isn't stored: a search then counts
-    only those of its own terms.
+    its own terms one by one and the others of a chunk together, from one pass over the texts.
     """
 
     postings: DataFrame
@@ -51,24 +64,33 @@ class Index:
     @staticmethod
     def of(posting_rows: DataFrame) -> Index:
         """From stored postings: every chunk with a term counts, chunks without none."""
-        lengths = posting_rows.select("chunk_id", "doc_len").distinct()
-        return Index(posting_rows, _frequencies(posting_rows), corpus_stats(lengths))
+        found = posting_rows.groupBy("chunk_id").agg(F.first("doc_len").alias("doc_len"))
+        return Index(posting_rows, _frequencies(posting_rows), corpus_stats(found))
 
     @staticmethod
     def build(chunks: DataFrame) -> Index:
         rows = postings(chunks)
-        lengths = term_rows(chunks).select("chunk_id", "doc_len")
-        return Index(rows, _frequencies(rows), corpus_stats(lengths), occurrences(chunks))
+        return Index(rows, _frequencies(rows), _stats(rows), occurrences(chunks))
 
-    def of_terms(self, distinct: DataFrame) -> DataFrame:
-        """The postings of the given terms only."""
+    def of_terms(self, distinct: DataFrame, sent) -> tuple[DataFrame, DataFrame]:
+        """The postings of the given terms only, and the corpus figures."""
         if self.unstored is None:
-            return self.postings.join(distinct, "term", "left_semi")
-        return _counted(self.unstored.join(distinct, "term", "left_semi"))
+            return self.postings.join(sent(distinct), "term", "left_semi"), self.stats
+        asked = sent(distinct.withColumn("asked", F.lit(True)))
+        marked = self.unstored.join(asked, "term", "left").select("chunk_id", F.when(F.col("asked"), F.col("term")).alias("term"))
+        rows = _with_lengths(marked.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("frequency")))
+        return rows.where(F.col("term").isNotNull()), _stats(rows)
+
+
+def _stats(rows: DataFrame) -> DataFrame:
+    """The corpus figures of rows that carry their chunk's doc_len."""
+    # A chunk's frequencies add up to its length; that reads the same columns as the postings, so Spark reuses their shuffle.
+    found = rows.groupBy("chunk_id").agg(F.max("doc_len").alias("doc_len"), F.sum("frequency").alias("sum"))
+    return corpus_stats(found.where("sum > 0"))
 
 
 def _frequencies(posting_rows: DataFrame) -> DataFrame:
-    return posting_rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return posting_rows.groupBy("term").agg(F.count_if(F.col("frequency") > 0).alias("df"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -90,9 +112,9 @@ def score_rows(index: Index, wanted: DataFrame, n_terms: int) -> DataFrame:
     def sent(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if n_terms <= BROADCAST_TERMS else df
 
-    own = index.of_terms(sent(wanted.select("term").distinct()))
+    own, stats = index.of_terms(wanted.select("term").distinct(), sent)
     df = _frequencies(own)
-    weighted = wanted.join(df, "term").join(F.broadcast(index.stats), F.lit(True))  # one row
+    weighted = wanted.join(df, "term").join(F.broadcast(stats), F.lit(True))  # one row
     weighted = weighted.select("query_id", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     part = F.col("idf") * saturation(F.col("frequency"), F.col("doc_len"), F.col("avgdl"))
     return own.join(sent(weighted), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
@@ -113,11 +135,17 @@ def normalised(ranked: DataFrame) -> DataFrame:
     ).drop("best")
 
 
-def search_batch(index: Index, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """(query_id, chunk_id, score, rank) for a table of queries (query_id, text)."""
+def search_batch(index: Index, queries: DataFrame, limit: int = 10, among: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank) for a table of queries (query_id, text).
+
+    ``among`` (chunk_id) filters before the cut; corpus figures stay those of all chunks.
+    """
     wanted = query_terms(queries)
     n_terms = wanted.count()
-    return normalised(top(score_rows(index, wanted, n_terms), limit))
+    scored = score_rows(index, wanted, n_terms)
+    if among is not None:
+        scored = scored.join(among, "chunk_id", "left_semi")
+    return normalised(top(scored, limit))
 
 
 def search(spark: SparkSession, index: Index, query: str, limit: int = 10) -> DataFrame:
