@@ -88,21 +88,24 @@ def call_edges(chunks: DataFrame) -> DataFrame:
     )
     names = call_names(chunks)
     plain = F.col("short").rlike("^[A-Za-z0-9_]+$")
-    words = F.array_distinct(F.regexp_extract_all("content", F.lit("([A-Za-z0-9_]+)"), F.lit(1)))
-    mentioned = source.select("from_chunk_id", F.explode(words).alias("short"))
-    mentioned = mentioned.where(F.length("short") >= MIN_CALL_NAME)
-    found = mentioned.join(names.where(plain), "short").select("from_chunk_id", "to_id", "short")
-    # Other names are joined by the rarest of their plain pieces first, then compared as a whole.
+    # Other names are looked up by the rarest of their plain pieces, then compared as a whole.
     odd = names.where(~plain)
     cut = odd.select("short", "to_id", F.explode(F.array_distinct(F.regexp_extract_all("short", F.lit("([A-Za-z0-9_]+)"), F.lit(1)))).alias("piece"))
     spread = cut.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    odd = cut.join(spread, "piece").groupBy("short", "to_id").agg(F.min(F.struct("n", "piece"))["piece"].alias("piece"))
-    pieces = source.select("from_chunk_id", "content", F.explode(words).alias("piece"))
+    rarest = cut.join(spread, "piece").groupBy("short", "to_id").agg(F.min(F.struct("n", "piece"))["piece"].alias("piece"))
+    looked_up = names.where(plain).select("short", "to_id", F.col("short").alias("piece"), F.lit(False).alias("odd")).unionByName(
+        rarest.withColumn("odd", F.lit(True))
+    )
+    # Only ids and pieces are exploded and joined; contents come back for the few hits of odd names.
+    words = F.array_distinct(F.regexp_extract_all("content", F.lit("([A-Za-z0-9_]+)"), F.lit(1)))
+    hits = source.select("from_chunk_id", F.explode(words).alias("piece")).join(looked_up, "piece")
+    found = hits.where(~F.col("odd")).select("from_chunk_id", "to_id", "short")
     left = F.when(F.col("short").rlike("^[A-Za-z0-9_]"), r"(?<![A-Za-z0-9_])").otherwise(r"(?<=[A-Za-z0-9_])")
     right = F.when(F.col("short").rlike("[A-Za-z0-9_]$"), r"(?![A-Za-z0-9_])").otherwise(r"(?=[A-Za-z0-9_])")
     pattern = F.concat(left, F.lit(r"\Q"), "short", F.lit(r"\E"), right)
     also = (
-        pieces.join(odd, "piece")
+        hits.where("odd")
+        .join(source, "from_chunk_id")
         .where(F.regexp_like("content", pattern))
         .select("from_chunk_id", "to_id", "short")
     )
@@ -199,9 +202,16 @@ def expanded(seeds: DataFrame, edge_rows: DataFrame, decay: float = DECAY) -> Da
     return rows.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.min("level").alias("level"))
 
 
-def search_batch(chunks: DataFrame, edge_rows: DataFrame, seeds: DataFrame, limit: int = 10) -> DataFrame:
-    """(query_id, chunk_id, score, rank): expansion, cut at 3 * limit, weighing by type, cut at limit."""
+def search_batch(
+    chunks: DataFrame, edge_rows: DataFrame, seeds: DataFrame, limit: int = 10, among: DataFrame | None = None
+) -> DataFrame:
+    """(query_id, chunk_id, score, rank): expansion, cut at 3 * limit, weighing by type, cut at limit.
+
+    ``among`` (chunk_id) filters what was reached before the first cut.
+    """
     best = expanded(seeds, edge_rows)
+    if among is not None:
+        best = best.join(among.select(F.col("chunk_id").cast("string").alias("chunk_id")), "chunk_id", "left_semi")
     cut = F.row_number().over(
         Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "level", "chunk_id")
     )
