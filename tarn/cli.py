@@ -103,7 +103,12 @@ def main(argv: list[str] | None = None) -> str:
     if args.command == "status":
         totals = indexing.statistics(store.spark, store)
         row = totals["totals"].first()
-        return f"{row['documents']} documents, {row['chunks']} chunks, {human_bytes(totals['size_bytes'])}"
+        out = [f"{row['documents']} documents, {row['chunks']} chunks, {human_bytes(totals['size_bytes'])}"]
+        for column in ("language", "chunk_type"):
+            rows = totals["by_language" if column == "language" else "by_type"].collect()  # a row for each language or type
+            wide = max([len(column), *(len(str(r[column])) for r in rows)])
+            out += ["", f"{column:<{wide}}  chunks", *(f"{r[column]!s:<{wide}}  {r['chunks']}" for r in rows)]
+        return "\n".join(out)
     found = search.search(store, args.query, args.strategy, args.limit, provider())
     return search.markdown(found, lines=3)
 

@@ -34,9 +34,17 @@ def filtered(
     return chunks
 
 
-def find_symbol(chunks: DataFrame, name: str, chunk_type: str | None = None, limit: int = FIND_LIMIT) -> DataFrame:
-    """Chunks whose name contains ``name`` (any case, % and _ are wildcards), by name."""
+def find_symbol(
+    chunks: DataFrame, name: str, chunk_type: str | None = None, limit: int = FIND_LIMIT, documents: DataFrame | None = None
+) -> DataFrame:
+    """Chunks whose name contains ``name`` (any case, % and _ are wildcards), by name.
+
+    With ``documents`` the rows carry their file's source_path; a chunk without a document goes
+    before the cut.
+    """
     found = filtered(chunks, chunk_type=chunk_type).where(name_like(F.col("name"), F.lit(name)))
+    if documents is not None:
+        found = found.join(documents.select("document_id", "source_path"), "document_id")
     return found.orderBy("name", "chunk_id").limit(limit)
 
 

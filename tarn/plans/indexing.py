@@ -115,8 +115,8 @@ def _index(store: Store, job: Job, force: bool, prune: bool, max_bytes: int, exc
         chunks=all_chunks,
         postings=rest["postings"].unionByName(lexical.postings(fresh)),
         embeddings=rest["embeddings"],
+        edges=lambda staged: graph.edges(staged["chunks"]),
     )
-    store.commit(edges=graph.edges(store.table("chunks")))
     write_project_map(store.table("documents"), store.table("chunks"), f"{store.path}-project-map.txt", job.path)
     symbols.unpersist()
     texts.unpersist()

@@ -46,13 +46,13 @@ def _one(query: str) -> str:
     return f"(SELECT 0 AS query_id, '{query}' AS text)"
 
 
-def _bm25(queries: str, limit: int, out: str = "bm") -> str:
+def _bm25(queries: str, limit: int, out: str = "bm", where: str = "true") -> str:
     """CTEs up to {out}: (query_id, chunk_id, score, rank) over p, dl, st, df."""
     return f"""{_terms(queries, "query_id", "text", "q")}, {out}_s AS (
   SELECT q.chunk_id AS query_id, p.chunk_id,
     sum({_IDF} * p.frequency * 2.5 / (p.frequency + 1.5 * (0.25 + 0.75 * dl.doc_len / st.avgdl))) AS score
   FROM q JOIN p USING (term) JOIN df USING (term) JOIN dl ON dl.chunk_id = p.chunk_id CROSS JOIN st
-  GROUP BY ALL
+  WHERE {where} GROUP BY ALL
 ), {out}_r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {out}_s
 ), {out} AS (
@@ -173,6 +173,8 @@ ORACLES = {
         {_bm25("(SELECT item_id AS query_id, text FROM benchmark)", 10)} {_RANKED} FROM bm""",
     "bm25_conversations": f"""WITH {_terms("conversations", "conv_id * 1000000 + turn", "text")}, {_DL}, {_ST}, {_DF},
         {_bm25(_one(QUERY), 10)} {_RANKED} FROM bm""",
+    "filtered_search": f"""WITH {_P}, {_DL}, {_ST}, {_DF},
+        {_bm25(_one(QUERY), 10, where="p.chunk_id IN (SELECT doc_id FROM documents WHERE lang = 'de')")} {_RANKED} FROM bm""",
     "hydrate_chunks": f"""WITH {_P}, {_DL}, {_ST}, {_DF}, {_bm25(_one(QUERY), 10)}, {_CH},
         dc AS (SELECT source AS document_id, count(*) AS chunk_count FROM documents GROUP BY source)
         SELECT chunk_id, document_id, name, chunk_type, language, chunk_count, round(score, 6) AS score,
@@ -183,7 +185,7 @@ ORACLES = {
           FROM ch JOIN q ON lower(name) LIKE '%' || lower(text) || '%')
         SELECT query_id, chunk_id, name, CAST(CASE WHEN lower(name) = text THEN 1.0 WHEN starts_with(lower(name), text) THEN 0.9
           ELSE 0.75 END AS DOUBLE) AS tier, CAST(rank AS INTEGER) AS rank FROM h WHERE rank <= 20""",
-    "find_symbol": f"WITH {_CH} SELECT chunk_id, name, chunk_type FROM ch WHERE lower(name) LIKE '%the%' ORDER BY name, chunk_id LIMIT 20",
+    "find_symbol": f"WITH {_CH} SELECT chunk_id, name, chunk_type, '/' || document_id AS source_path FROM ch WHERE lower(name) LIKE '%the%' ORDER BY name, chunk_id LIMIT 20",
     "find_symbol_typed": f"""WITH {_CH} SELECT chunk_id, name, chunk_type FROM ch
         WHERE chunk_type = 'class' AND lower(name) LIKE '%t_%' ORDER BY name, chunk_id LIMIT 20""",
     "part_names": """SELECT p_partkey AS chunk_id, p_name AS name, p_type AS chunk_type FROM part

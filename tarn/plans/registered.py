@@ -45,11 +45,11 @@ def term_frequencies(spark, d):
 
 
 def doc_lengths(spark, d):
-    return lexical.term_rows(tables.chunks(spark, d)).select("chunk_id", "doc_len").where("doc_len > 0")
+    return lexical.lengths(tables.chunks(spark, d))
 
 
 def corpus_stats(spark, d):
-    found = lexical.corpus_stats(lexical.term_rows(tables.chunks(spark, d)))
+    found = lexical.corpus_stats(lexical.lengths(tables.chunks(spark, d)))
     return found.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
@@ -78,6 +78,13 @@ def bm25_conversations(spark, d):
     return _ranked(lexical.search(spark, lexical.Index.build(rows), QUERY, LIMIT))
 
 
+def filtered_search(spark, d):
+    """Keyword search among German chunks only: the filter comes before the cut."""
+    chunks = tables.chunks(spark, d)
+    among = lookup.filtered(chunks, language="de").select("chunk_id")
+    return _ranked(lexical.search_batch(lexical.Index.build(chunks), _queries(spark, QUERY), LIMIT, among))
+
+
 def hydrate_chunks(spark, d):
     chunks = tables.chunks(spark, d)
     ranked = lexical.search(spark, lexical.Index.build(chunks), QUERY, LIMIT)
@@ -97,7 +104,9 @@ def name_match(spark, d):
 
 
 def find_symbol(spark, d):
-    return lookup.find_symbol(tables.chunks(spark, d), "the").select("chunk_id", "name", "chunk_type")
+    files = tables.documents(spark, d).withColumn("source_path", F.concat(F.lit("/"), "document_id"))
+    found = lookup.find_symbol(tables.chunks(spark, d), "the", documents=files)
+    return found.select("chunk_id", "name", "chunk_type", "source_path")
 
 
 def find_symbol_typed(spark, d):
@@ -346,7 +355,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_terms, camel_split, emitted_terms, term_frequencies, doc_lengths, corpus_stats, document_frequency, idf,
-        bm25_search, bm25_batch, bm25_conversations, hydrate_chunks, name_match, find_symbol, find_symbol_typed, part_names,
+        bm25_search, bm25_batch, bm25_conversations, filtered_search, hydrate_chunks, name_match, find_symbol, find_symbol_typed, part_names,
         file_context, chunks_of_document, point_lookup, documents_listing, stats_totals, stats_by_language, stats_by_type,
         stats_last_indexed, json_metadata, stats_postings, vector_search, vector_batch, embedding_dims, unembedded,
         with_embedding, rrf_fusion, hybrid_search, edges_contains, edges_heritage, edges_calls, edge_counts,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tarn.operators import graph, hybrid, lexical, lookup, vector
 from tarn.schemas import STRATEGIES
@@ -16,25 +17,35 @@ class NotReady(RuntimeError):
 
 def search(
     store: Store, query: str, strategy: str = "graph", limit: int = 10, provider: Provider | None = None,
-    weight: float = 0.5, language: str | None = None, chunk_type: str | None = None,
+    weight: float = 0.5, language: str | None = None, chunk_type: str | None = None, document_path: str | None = None,
 ) -> DataFrame:
-    """Result rows of one query text; the strategies are bm25, vector, hybrid and graph."""
+    """Result rows of one query text; the strategies are bm25, vector, hybrid and graph.
+
+    The filters hold before any cut, so ``limit`` rows come back if so many match.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
     spark = store.spark
     queries = spark.createDataFrame([(0, query)], "query_id long, text string")
-    chunks = lookup.filtered(store.table("chunks"), language, chunk_type)
-
-    def lexical_rows(n: int) -> DataFrame:
+    chunks, among = store.table("chunks"), None
+    if (language, chunk_type, document_path) != (None, None, None):
+        among = lookup.filtered(chunks, language, chunk_type)
+        if document_path is not None:
+            of = store.table("documents").where(F.col("source_path") == document_path)
+            among = among.join(of.select("document_id"), "document_id", "left_semi")
+        among = among.select("chunk_id")
+
+    def lexical_rows(n: int, among: DataFrame | None = among) -> DataFrame:
         if not lexical.is_ready(store.table("postings")):
             raise NotReady("no postings; index first")
-        return lexical.search_batch(store.index(), queries, n)
+        return lexical.search_batch(store.index(), queries, n, among)
 
     def vector_rows(n: int) -> DataFrame:
         if provider is None or not vector.check_ready(store.table("embeddings"), provider.dimensions):
             raise NotReady("no vectors; embed first")
         asked = spark.createDataFrame([(0, provider.embed([query])[0])], "query_id long, vector array<float>")
-        return vector.search_batch(store.table("embeddings"), asked, n)
+        stored = store.table("embeddings")
+        return vector.search_batch(stored if among is None else stored.join(among, "chunk_id", "left_semi"), asked, n)
 
     if strategy == "bm25":
         ranked = lexical_rows(limit)
@@ -47,8 +58,8 @@ def search(
         edges = store.table("edges")
         if not graph.is_ready(edges):
             raise NotReady("no edges; index first")
-        seeds = graph.all_seeds(graph.name_seeds(chunks, queries), lexical_rows(graph.SEEDS))
-        ranked = graph.search_batch(chunks, edges, seeds, limit)
+        seeds = graph.all_seeds(graph.name_seeds(chunks, queries), lexical_rows(graph.SEEDS, None))
+        ranked = graph.search_batch(chunks, edges, seeds, limit, among)
     return lookup.hydrated(ranked, chunks, store.table("documents"), strategy).orderBy("rank")
 
 
@@ -68,7 +79,9 @@ def symbol_markdown(found: DataFrame, lines: int = 6) -> str:
     out = []
     for r in found.collect():
         code = "\n".join(r["content"].split("\n")[:lines])
-        out.append(f"### {r['name']}\n{r['start_line']}-{r['end_line']}\n```{r['chunk_type']}\n{code}\n```")
+        more = [f"{label}: {r['metadata'][field]}" for label, field in (("signature", "signature"), ("parent", "parentName")) if r["metadata"] and r["metadata"][field]]
+        place = f"{r['source_path']}:{r['start_line']}-{r['end_line']}"
+        out.append("\n".join([f"### {r['name']} ({r['chunk_type']})", place, *more, f"```{r['language']}\n{code}\n```"]))
     return "\n\n".join(out) if out else "No symbols."
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 
 from tarn.operators import lookup
@@ -12,24 +14,25 @@ from tarn.sources.store import Store
 
 #: The tools' names and argument schemas.
 SCHEMAS = {
-    "get_project_map": {"type": "object", "properties": {}},
+    "get_project_map": {"type": "object", "properties": {"context": {"type": "string"}}},
     "search_codebase": {
         "type": "object",
         "properties": {
             "query": {"type": "string"},
             "strategy": {"type": "string", "enum": list(STRATEGIES)},
             "limit": {"type": "integer", "minimum": 1, "maximum": 50},
+            "context": {"type": "string"},
         },
         "required": ["query"],
     },
     "find_symbol": {
         "type": "object",
-        "properties": {"name": {"type": "string"}, "type": {"type": "string"}},
+        "properties": {"name": {"type": "string"}, "type": {"type": "string"}, "context": {"type": "string"}},
         "required": ["name"],
     },
     "get_file_context": {
         "type": "object",
-        "properties": {"file_path": {"type": "string"}},
+        "properties": {"file_path": {"type": "string"}, "context": {"type": "string"}},
         "required": ["file_path"],
     },
 }
@@ -51,7 +54,7 @@ def search_codebase(
 
 
 def find_symbol(store: Store, name: str, type: str | None = None) -> str:
-    return searching.symbol_markdown(lookup.find_symbol(store.table("chunks"), name, type))
+    return searching.symbol_markdown(lookup.find_symbol(store.table("chunks"), name, type, documents=store.table("documents")))
 
 
 def get_file_context(store: Store, file_path: str) -> str:
@@ -64,7 +67,14 @@ def get_file_context(store: Store, file_path: str) -> str:
 TOOLS = {f.__name__: f for f in (get_project_map, search_codebase, find_symbol, get_file_context)}
 
 
-def call(store: Store, name: str, arguments: dict) -> str:
+def call(store: Store, name: str, arguments: dict, stores: Callable[[str], Store] | None = None) -> str:
+    """A tool's text; a ``context`` argument names another store, which ``stores`` opens."""
     if name not in TOOLS:
         raise KeyError(f"no tool named {name}")
+    arguments = dict(arguments)
+    context = arguments.pop("context", None)
+    if context is not None:
+        if stores is None:
+            raise ValueError("no contexts to choose from")
+        store = stores(context)
     return TOOLS[name](store, **arguments)

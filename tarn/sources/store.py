@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,12 +45,18 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{where}")
 
-    def commit(self, **tables: DataFrame) -> None:
-        """Write the given tables and switch to them at once. Postings are laid out by term."""
+    def commit(self, **tables: DataFrame | Callable[[dict[str, DataFrame]], DataFrame]) -> None:
+        """Write the given tables and switch to them at once. Postings are laid out by term.
+
+        A function makes its table from those that this commit has written before it. Fails
+        where another writer has committed since this store was opened.
+        """
         tables = {k: v for k, v in tables.items() if v is not None}
         version = uuid.uuid4().hex[:12]
-        new = dict(self.manifest["tables"])
+        new, staged = dict(self.manifest["tables"]), {}
         for name, rows in tables.items():
+            if callable(rows):
+                rows = rows(staged)
             columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.TABLES[name].fields]
             rows = rows.select(*columns)
             if name == "postings":
@@ -57,6 +64,9 @@ class Store:
                 rows = rows.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
             rows.write.parquet(f"{self.path}/{name}-{version}")
             new[name] = f"{name}-{version}"
+            staged[name] = self.spark.read.schema(schemas.TABLES[name]).parquet(f"{self.path}/{new[name]}")
+        if self._read_manifest()["tables"] != self.manifest["tables"]:
+            raise RuntimeError(f"{self.path} was changed by another writer")
         jvm, path, fs = self._file(MANIFEST)
         fs.mkdirs(path.getParent())
         out = fs.create(path, True)
