@@ -8,6 +8,8 @@ character transitions, dictionary coverage, path marks and neighbouring words.
 
 from __future__ import annotations
 
+import base64
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -18,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import byte_view, pieces, with_columns
+from tarn.llm.common import bounded_batches, byte_view, pieces, with_columns
 
 LEAST = 16
 #: Least length of a value after a naming word.
 SHORT = 6
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Text around a candidate that its features see, in bytes.
 CONTEXT = 48
 
@@ -45,25 +47,34 @@ _NAMED = re.compile(
 #: Words that name a secret, and words that say that a string isn't one.
 NAMING = frozenset("token key secret password passwd pwd apikey api auth bearer credential private access".split())
 DENYING = frozenset("example sample test dummy placeholder your xxx fake commit sha checksum hash md5 uuid id digest".split())
-DICTIONARY = frozenset(
-    """
-    the and for that with this from have not are was you your will can all one file name data value test
-    example sample user config main index image static build release version assets public package module
-    service system server client table column report chapter page number order invoice product license
-    apache general software document example dummy placeholder change default string https http www com
-    org net html json image photo video archive backup final draft copy project source branch master
-    required optional enabled disabled expired missing invalid valid string number boolean integer object none null true
-    false username password token secret key access private public login account request response session header header
-    process environ env self get set settings input output reset changed forgotten empty hidden stored storage manager
-    """.split()
-)
+#: Words that the labelled findings are made of.
+PLAIN = (
+    "account archive backup basket branch bridge button canvas carrier chapter client column corner counter default delivery desktop "
+    "disabled document enabled engine export figure folder garden general handler harbor header history image index invoice journal "
+    "kernel layout library license machine manager market master message missing module network number object office package parser "
+    "partner picture planet profile project query random record region release report request response result schema script search "
+    "section server service session setting signal source storage stream string student summary switch system table target template "
+    "thread ticket update upload vendor version viewer window worker"
+).split()
+#: A public tokenizer's merges with their ranks; its words of four letters or more are the dictionary.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@functools.lru_cache(4)
+def dictionary(path: str = VOCABULARY) -> frozenset[str]:
+    """Lower-cased words that the vocabulary holds whole, with the blank before them."""
+    with open(path, "rb") as lines:
+        entries = (base64.b64decode(line.split()[0]) for line in lines if line.strip())
+        return frozenset(w[1:].decode().lower() for w in entries if w[:1] == b" " and len(w) > 4 and w[1:].isalpha())
+
+
 FEATURES = (
     "length", "upper", "lower", "digit", "other", "changes", "entropy", "pair_entropy", "longest_run",
     "dictionary", "path", "named", "denied", "quoted", "assigned", "dashes",
 )
 
 
-def features(token: str, before: str, after: str) -> list[float]:
+def features(token: str, before: str, after: str, words: frozenset[str]) -> list[float]:
     n = len(token)
     kinds = ["U" if c.isupper() else "l" if c.islower() else "9" if c.isdigit() else "." for c in token]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(n - 1, 1)
@@ -75,7 +86,7 @@ def features(token: str, before: str, after: str) -> list[float]:
     moves = -sum(v / (n - 1) * math.log2(v / (n - 1)) for v in steps.values()) if n > 1 else 0.0
     run = max(len(m[0]) for m in re.finditer(r"(.)\1*", token))
     letters = re.findall(r"[A-Za-z][a-z]+|[A-Z]+", token)
-    known = sum(len(w) for w in letters if w.lower() in DICTIONARY)
+    known = sum(len(w) for w in letters if w.lower() in words)
     near = [w.lower() for w in re.findall(r"[A-Za-z]+", before)][-3:]
     tail = before.rstrip()
     return [
@@ -175,25 +186,25 @@ def findings(n: int = 240, seed: int = 11) -> list[tuple[str, str, str, int]]:
                 draw(hexa, length), draw(hexa, 40).upper(), draw(base, length), "ghp_" + draw(base, 36),
                 "AKIA" + draw(base[:26] + digits, 16), "sk-" + draw(base, 40), draw(base, length) + "==",
             )
-            before = pick('token = "', 'TOKEN = "', "api_key: ", 'password = "', "secret='", "Bearer ", "access key ", 'export KEY="')
-            out.append((pick("", "erat on the ", "and\n") + before, token, '"', 1))
+            before = pick('auth_token = "', 'CLIENT_TOKEN="', "api_key: ", 'password = "', "secret='", "Bearer ", "access key ", 'export KEY="', 'token: "', "token='")
+            out.append((pick("", "please note ", "and then\n", "config of the build: ") + before, token, '"', 1))
         else:
-            words = sorted(DICTIONARY)
+            words = PLAIN
             token, before = pick(
                 (draw(digits, int(pick(16, 18, 20))), pick("order ", "number ", "and the ", "en ")),
                 (f"{pick(*words)}-{pick(*words)}-{draw(digits, 4)}.{pick('html', 'json', 'png')}", "see "),
                 (f"/{pick(*words)}/{pick(*words)}/{draw(hexa, 8)}/{pick(*words)}.png", "https://www.example.com"),
                 (draw(hexa, 40), pick("commit ", "checksum ", "sha ", "digest: ")),
-                (pick("x", "0", "a") * length + "1", pick('token = "', "key: ")),
-                ("1234567890abcdef" * 2, pick('token = "', "example key: ")),
-                ("your_" + pick("token", "key") + "_here_12345", 'token = "'),
+                (pick("x", "0", "a") * length + "1", pick('my_token = "', "key: ")),
+                ("1234567890abcdef" * 2, pick('a_token = "', "example key: ")),
+                ("your_" + pick("token", "key") + "_here_12345", 'app_token = "'),
                 (f"{draw(hexa, 8)}-{draw(hexa, 4)}-{draw(hexa, 4)}-{draw(hexa, 4)}-{draw(hexa, 12)}", pick("uuid ", "id ", "id: ")),
                 (f"{pick(*words)}_{pick(*words)}_{pick(*words)}_v{draw(digits, 2)}", "the "),
                 (f"2023-{draw(digits, 2)}-{draw(digits, 2)}T10-{draw(digits, 2)}-00.000Z", "at "),
             )
-            out.append((pick("", "erat on the ", "and\n") + before, token, " ", 0))
+            out.append((pick("", "please note ", "and then\n", "config of the build: ") + before, token, " ", 0))
     letters, low = base[:52], base[26:52]
-    words = sorted(DICTIONARY)
+    words = PLAIN
 
     def ordinary() -> str:
         return "".join(pick("ba", "con", "ter", "mi", "sol", "re", "pan", "ti", "der", "lo") for _ in range(int(pick(3, 4, 6))))
@@ -204,13 +215,14 @@ def findings(n: int = 240, seed: int = 11) -> list[tuple[str, str, str, int]]:
             before, token = pick(
                 (name, draw(low, int(pick(5, 6, 7))) + draw(digits, int(pick(1, 2, 4))) + pick("", "-prod", "_dev", "!")),
                 (name, ordinary() + draw(digits, int(pick(1, 2, 4))) + pick("", "-prod", "!", "#x")),
+                (name, pick(*words) + draw(digits, int(pick(1, 2, 4))) + pick("", "-" + pick(*words)[:4], "_x", "!")),
                 (name, draw(base, int(pick(8, 10, 12, 14)))),
                 (name, draw(low, int(pick(10, 14, 20)))),
                 (name, draw(letters, int(pick(10, 16, 24, 40)))),
-                (pick("", "the ", "Bearer ") + pick('token = "', ""), draw(letters, int(pick(20, 24, 32, 40)))),
+                (pick("", "the ", "Bearer ") + pick('user_token = "', ""), draw(letters, int(pick(20, 24, 32, 40)))),
                 (name, pick("P@", "x!", "#") + draw(base, int(pick(6, 8, 10))) + pick("!", "$", "")),
             )
-            out.append((pick("", "erat on the ", "and\n") + before, token, pick('"', "'", "\n"), 1))
+            out.append((pick("", "please note ", "and then\n", "config of the build: ") + before, token, pick('"', "'", "\n"), 1))
         else:
             one, two, three = pick(*words), pick(*words), pick(*words)
             before, token = pick(
@@ -225,13 +237,13 @@ def findings(n: int = 240, seed: int = 11) -> list[tuple[str, str, str, int]]:
                 (pick("the ", "in ", "of "), ordinary().title() + ordinary() + pick("", "-" + ordinary().title())),
                 (pick("see ", "https://"), f"{one.title()}/{two.title()}-{three}.{pick('html', 'md', 'png')}"),
             )
-            out.append((pick("", "erat on the ", "and\n") + before, token, pick(" ", ".", '"'), 0))
+            out.append((pick("", "please note ", "and then\n", "config of the build: ") + before, token, pick(" ", ".", '"'), 0))
     return out
 
 
-def train(rows: list[tuple[str, str, str, int]] | None = None) -> Forest:
-    rows = rows or findings()
-    x = np.array([features(token, before, after) for before, token, after, _ in rows])
+def train(rows: list[tuple[str, str, str, int]] | None = None, words: frozenset[str] | None = None) -> Forest:
+    rows, words = rows or findings(), words or dictionary()
+    x = np.array([features(token, before, after, words) for before, token, after, _ in rows])
     return Forest().fit(x, np.array([r[3] for r in rows], float))
 
 
@@ -283,15 +295,19 @@ def named(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found[:, 0], found[:, 1]
 
 
-def secrets(docs: DataFrame, text: str = "text", forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
+def secrets(
+    docs: DataFrame, text: str = "text", forest: Forest | None = None, threshold: float = 0.5, vocabulary: str = VOCABULARY
+) -> DataFrame:
     """``docs`` with n_candidates, n_secrets and secret_spans added.
 
     Spans are start:end:score in code points, end exclusive, comma-joined by start. A key
     character's trailing '=', '.' and '-' belong to its run. Null and empty texts have none;
     repeated rows are judged one by one. Added columns replace input columns of the same names.
+    ``vocabulary`` is the driver's file of words; what they are goes to the tasks.
     """
-    docs = docs.drop("n_candidates", "n_secrets", "secret_spans")
-    model = docs.sparkSession.sparkContext.broadcast(forest or train())
+    docs = bounded_batches(docs.drop("n_candidates", "n_secrets", "secret_spans"))
+    known = dictionary(vocabulary)
+    model = docs.sparkSession.sparkContext.broadcast((forest or train(words=known), known))
     schema = T.StructType(
         docs.schema.fields
         + [
@@ -302,6 +318,7 @@ def secrets(docs: DataFrame, text: str = "text", forest: Forest | None = None, t
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, known = model.value
         for piece in pieces(batches, text, CHUNK_BYTES):
             data, offsets = byte_view(piece.column(text))
             row, starts, ends = candidates(data, offsets)
@@ -313,8 +330,8 @@ def secrets(docs: DataFrame, text: str = "text", forest: Forest | None = None, t
                 for r, s, e in zip(row, starts, ends):
                     before = data[max(offsets[r], s - CONTEXT) : s].tobytes().decode("utf-8", "ignore")
                     after = data[e : min(offsets[r + 1], e + CONTEXT)].tobytes().decode("utf-8", "ignore")
-                    raw.append(features(data[s:e].tobytes().decode(), before, after))
-                score = model.value.score(np.array(raw))
+                    raw.append(features(data[s:e].tobytes().decode(), before, after, known))
+                score = trees.score(np.array(raw))
                 # Code points before a byte: bytes that don't continue a character.
                 head = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 for r, s, e, p in zip(row, starts, ends, score):
