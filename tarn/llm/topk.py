@@ -34,13 +34,17 @@ ROWS_PER_BLOCK = 8192
 #: all tasks (one centre, radius and key a block) stays below some 20 MB for 64 dimensions.
 MOST_BLOCKS = 20_000
 MOST_PIVOTS = 4_096
+#: Query blocks that meet a reference block in one task.
+SLICE = 32
 
 
 class CoverTree:
     """A cover tree over the rows of ``x``: nested balls with measured radii.
 
-    A child's ball covers the points within 1/SHRINK of its parent's radius, centres being
-    the farthest points not yet covered; beyond FAN_OUT children, points join the nearest.
+    Children's centres are a net: each new one is the farthest point from those before, until
+    all points are within 1/SHRINK of the parent's radius or FAN_OUT centres stand. Either way
+    the two laws of a cover tree hold with the covering radius that is left: every point is so
+    near to its centre, and centres are at least so far apart.
     """
 
     def __init__(self, x: np.ndarray):
@@ -228,45 +232,47 @@ def _tree(blob: bytes):
     return _trees[blob]
 
 
-def _found(q_keys, r_ids, search: Search) -> pd.DataFrame:
+def _found(q_keys, r_keys, r_ids, search: Search) -> pd.DataFrame:
+    """Each query vector's best reference vectors, with all their ids; same marks the query's own vector."""
     q, slot = np.nonzero(np.isfinite(search.score) & (search.index < len(r_ids)))
+    at = search.index[q, slot]
     return pd.DataFrame(
         {
             "key": q_keys[q],
             "score": search.score[q, slot].astype(np.int64),
-            "ids": pd.Series([r_ids[i] for i in search.index[q, slot]], dtype=object),
+            "same": r_keys[at] == q_keys[q],
+            "ids": pd.Series([r_ids[i] for i in at], dtype=object),
         }
     )
 
 
-FOUND = "key long, score long, ids array<long>"
+FOUND = "key long, score long, same boolean, ids array<long>"
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "v") -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k best other rows by integer inner product.
 
     ``vectors`` has an id and an array<long> of whole components; ``queries`` has the ids that
-    are asked. Null arrays and arrays with null take no part; shorter arrays count as padded
-    with zeros. An id that repeats keeps its smallest array. Ties go to smaller ids; a query
-    with fewer others gets them all. Equal vectors are indexed once with their k + 1 smallest
-    ids, which are all that any result can hold. Components must keep inner products below 2**53.
+    are asked. Null ids, null arrays and arrays with null take no part; shorter arrays count as
+    padded with zeros. Rows are rows: those that share an id each ask, and each is a candidate
+    for all but itself. Ties go to smaller ids; a query with fewer others gets them all. Equal
+    vectors are indexed once with their k + 1 smallest ids (repeats kept), which are all that any
+    result can hold. Components must keep inner products below 2**53.
     """
     spark = vectors.sparkSession
-    clean = (
-        vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-        .where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda c: c.isNull()))
-        .groupBy("id")
-        .agg(F.min("v").alias("v"))
+    clean = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where(
+        F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda c: c.isNull())
     )
     asked = queries.select(F.col(id_col).alias("id")).distinct().withColumn("asked", F.lit(True))
     rows = clean.join(asked, "id", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-    rows = written(rows, "topk-rows")
+    # Numbers of a written table: each file comes from one attempt, so they don't change any more.
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "topk-rows")
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     kept = rows.select("v", "id", first.alias("at")).where(F.col("at") <= k + 1)
     ids = kept.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     any_asked = rows.groupBy("v").agg(F.max("asked").alias("asked"))
-    distinct = ids.join(any_asked, "v").select(F.col("ids")[0].alias("key"), "v", "ids", "asked")
-    distinct = written(distinct, "topk-distinct")
+    distinct = ids.join(any_asked, "v").select("v", "ids", "asked").withColumn("key", F.monotonically_increasing_id())
+    distinct = written(distinct.select("key", "v", "ids", "asked"), "topk-distinct")
     size = distinct.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     n, dim = int(size[0]), int(size[1] or 0)
     if n == 0 or dim == 0:
@@ -287,9 +293,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         for batch in batches:
             for block, refs, queries in zip(batch["block"], batch["refs"], batch["queries"]):
                 q_keys, q_tree, _ = _tree(queries)
-                _, r_tree, r_ids = _tree(refs)
+                r_keys, r_tree, r_ids = _tree(refs)
                 search = Search(q_tree, r_tree, want, np.full(len(q_keys), -np.inf)).run()
-                found = _found(q_keys, r_ids, search)
+                found = _found(q_keys, r_keys, r_ids, search)
                 yield pd.DataFrame(
                     {
                         "block": [int(block)],
@@ -327,33 +333,51 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
                 yield pd.DataFrame({"own": int(own), "block": block[keep]})
 
     near = at_home.select("block", "queries", "worst").mapInPandas(pairs, "own long, block long")
-    joined = (
-        near.join(blocks.select("block", "refs"), "block")
+    near = written(near, "topk-pairs")
+    # A reference block goes once to each slice of SLICE query blocks that it meets, not once to each.
+    slices = near.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    slices = F.broadcast(slices)  # one row a block, of a bounded number
+    asking = (
+        near.join(slices, "block")
+        .withColumn("slice", F.pmod(F.xxhash64("own"), F.col("slices")).cast("int"))
         .join(at_home.select(F.col("block").alias("own"), "queries", "worst"), "own")
-        .select("block", "own", "refs", "queries", "worst")
+    )
+    answering = blocks.select("block", "refs").join(slices, "block").withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     )
 
-    def away(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for refs, queries, worst in zip(batch["refs"], batch["queries"], batch["worst"]):
+    def away(asking: pd.DataFrame, answering: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(answering) and len(asking):
+            r_keys, r_tree, r_ids = _tree(answering["refs"].iloc[0])
+            for own, queries, worst in sorted(zip(asking["own"], asking["queries"], asking["worst"])):
                 q_keys, q_tree, _ = _tree(queries)
-                _, r_tree, r_ids = _tree(refs)
-                search = Search(q_tree, r_tree, want, pickle.loads(worst)).run()
+                least = pickle.loads(worst)
+                search = Search(q_tree, r_tree, want, least).run()
                 # What lies below the home block's k-th score can't be among the best.
-                search.score[search.score < pickle.loads(worst)[:, None]] = -np.inf
-                yield _found(q_keys, r_ids, search)
-
-    found = at_home.select("found").mapInPandas(unpack, FOUND).unionByName(joined.mapInPandas(away, FOUND))
-    flat = found.select("key", "score", F.explode("ids").alias("vec_id"))
-    best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))
+                search.score[search.score < least[:, None]] = -np.inf
+                out.append(_found(q_keys, r_keys, r_ids, search))
+        return pd.concat(out) if out else pd.DataFrame({"key": [], "score": [], "same": [], "ids": []})
+
+    met = asking.select("block", "slice", "own", "queries", "worst").groupBy("block", "slice")
+    met = met.cogroup(answering.select("block", "slice", "refs").groupBy("block", "slice")).applyInPandas(away, FOUND)
+    found = at_home.select("found").mapInPandas(unpack, FOUND).unionByName(met)
+    flat = found.select("key", "score", "same", F.explode("ids").alias("vec_id"))
+    best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id", F.desc("same")))
     flat = flat.withColumn("at", best).where(F.col("at") <= want).drop("at")
     of = rows.where("asked").join(distinct.where("asked").select("v", "key"), "v").select(
-        F.col("id").alias("query_id"), "key"
+        "row", F.col("id").alias("query_id"), "key"
     )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    # Of the entries with the query's own id and vector, one is the query itself.
+    own = F.col("same") & (F.col("vec_id") == F.col("query_id"))
+    order = [F.desc("score"), F.col("vec_id"), F.desc("own")]
+    nth = F.row_number().over(Window.partitionBy("row", "own").orderBy(*order[:2]))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(*order))
     return (
         of.join(flat, "key")
-        .where(F.col("vec_id") != F.col("query_id"))
+        .withColumn("own", own)
+        .withColumn("nth", nth)
+        .where(~F.col("own") | (F.col("nth") > 1))
         .withColumn("rank", rank.cast("int"))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
@@ -364,7 +388,7 @@ def _blocks(distinct: DataFrame, n: int, dim: int) -> DataFrame:
     """Packed blocks around a bounded sample of pivots; large cells are cut by a hash of the key."""
     spark = distinct.sparkSession
     n_pivots = int(min(MOST_PIVOTS, max(1, n // 4096)))
-    picked = distinct.select("key", "v").orderBy(F.xxhash64("key"), "key").limit(n_pivots).collect()
+    picked = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(n_pivots).collect()
     pivots = spark.sparkContext.broadcast(_as_matrix([r["v"] for r in picked], dim))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -380,7 +404,7 @@ def _blocks(distinct: DataFrame, n: int, dim: int) -> DataFrame:
     placed = written(placed, "topk-placed")
     rows_a_block = max(ROWS_PER_BLOCK, -(-n // MOST_BLOCKS))
     cells = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows_a_block).cast("long").alias("cuts"))
-    block = F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("key"), F.col("cuts"))
+    block = F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("v"), F.col("cuts"))
     dealt = placed.join(F.broadcast(cells), "cell").select("key", "v", "ids", "asked", block.alias("block"))
     packed = dealt.groupBy("block").applyInPandas(
         _packed_block(dim),
@@ -408,15 +432,15 @@ def top_k_query(spark, sf_dir: str) -> DataFrame:
 
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_dot_product(q.e, r.e) AS BIGINT) AS score
-  FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0
+  SELECT q.r AS row, q.vec_id AS query_id, r.vec_id, CAST(list_dot_product(q.e, r.e) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.r <> r.r WHERE q.vec_id % 20 = 0
 ), ranked AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+  SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank, vec_id, score
   FROM scored
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
