@@ -9,15 +9,14 @@ SCHEMA = "vec_id long, v array<long>, extra string"
 
 
 def brute(rows, asked, k):
-    clean = {}
-    for i, v, _ in rows:
-        if i is not None and v is not None and None not in v:
-            clean[i] = min(clean.get(i, v), v)
+    """Rows are rows: those that share an id each ask, and each is a candidate for all but itself."""
+    clean = [(i, v) for i, v, _ in rows if i is not None and v is not None and None not in v]
     out = []
-    for q in sorted(set(asked) & set(clean)):
-        scored = [(-sum(a * b for a, b in zip(clean[q], v)), i) for i, v in clean.items() if i != q]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k])]
-    return out
+    for at, (q, x) in enumerate(clean):
+        if q in asked:
+            scored = [(-sum(a * b for a, b in zip(x, v)), i) for other, (i, v) in enumerate(clean) if other != at]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("k", [1, 5])
@@ -27,11 +26,11 @@ def test_matches_brute_force(spark, monkeypatch, k):
     rows = [(i, [rng.randrange(-9, 9) + 20 * (i % 3) for _ in range(6)], "x") for i in range(240)]
     rows += [(1000 + i, [5, 5, 5, 5, 5, 5], "hot") for i in range(120)]  # ties among equal vectors
     rows += [(2000, None, "null"), (2001, [1, None, 2, 3, 4, 5], "hole"), (2002, [7, 7], "short"), (None, [1] * 6, "no id")]
-    rows += [(7, [0] * 6, "again"), rows[11]]
+    rows += [(7, [0] * 6, "again"), rows[11], rows[40], rows[40], (60, [8] * 6, "again"), (1000, [5] * 6, "hot")]
     asked = [i for i, _, _ in rows if i is not None and i % 20 == 0]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = topk.top_k(df, df.where("vec_id % 20 = 0"), k).orderBy("query_id", "rank").collect()
-    assert [tuple(r) for r in got] == brute(rows, asked, k)
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), k).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, asked, k)
 
 
 def test_few_rows_and_empty(spark):
@@ -65,3 +64,21 @@ def test_dual_traversal_prunes():
             below = refs.members[child]
             if below is not None:
                 assert (np.linalg.norm(x[below] - x[refs.centre[child]], axis=1) <= refs.radius[child] + 1e-9).all()
+
+
+def test_laws_of_the_tree():
+    """Children's centres are as far apart, at least, as the farthest of their points is from its centre."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-60, 60, (3000, 5)).astype(float)
+    tree = topk.CoverTree(x)
+
+    def below(node):
+        return tree.members[node] if tree.members[node] is not None else np.concatenate([below(c) for c in tree.children[node]])
+
+    for node, inner in enumerate(tree.children):
+        if len(inner) > 1:
+            centres = x[[tree.centre[c] for c in inner]]
+            apart = np.linalg.norm(centres[:, None] - centres[None], axis=2)[~np.eye(len(inner), dtype=bool)].min()
+            covered = max(np.linalg.norm(x[below(c)] - x[tree.centre[c]], axis=1).max() for c in inner)
+            assert apart >= covered - 1e-9
+    assert sorted(below(0)) == list(range(3000))
