@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.scalars import BM25_SEED_WEIGHT, name_like, name_tier, short_name, type_multiplier
-from tarn.operators.lexical import normalised
+from tarn.operators.lexical import BROADCAST_TERMS, normalised, sent
 
 CALLABLE = ("function", "method")
 TYPES = ("class", "interface")
@@ -127,11 +127,13 @@ def name_seeds(chunks: DataFrame, queries: DataFrame, limit: int = SEEDS, escape
     """(query_id, chunk_id, score, seed): per query token the shortest matching names, best tiers kept.
 
     A chunk keeps the tier of the first token that found it. ``queries`` (query_id, text) is a
-    stated set of queries; its tokens go to every task.
+    stated set of queries: its tokens go to every task, so their number is checked.
     """
     words = queries.select("query_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("at", "token"))
     words = words.where(F.length("token") >= 2)
     words = words.groupBy("query_id", "token").agg(F.min("at").alias("at"))
+    if words.count() > BROADCAST_TERMS:
+        raise ValueError(f"more than {BROADCAST_TERMS} query tokens; search for names in several calls")
     named = chunks.select(F.col("chunk_id"), "name")
     hits = named.join(F.broadcast(words), name_like(F.col("name"), F.col("token"), escape))
     nearest = F.row_number().over(
@@ -203,11 +205,13 @@ def expanded(seeds: DataFrame, edge_rows: DataFrame, decay: float = DECAY) -> Da
 
 
 def search_batch(
-    chunks: DataFrame, edge_rows: DataFrame, seeds: DataFrame, limit: int = 10, among: DataFrame | None = None
-) -> DataFrame:
+    chunks: DataFrame, edge_rows: DataFrame, seeds: DataFrame, limit: int = 10, among: DataFrame | None = None,
+    n_queries: int | None = None,
+) -> DataFrame:
     """(query_id, chunk_id, score, rank): expansion, cut at 3 * limit, weighing by type, cut at limit.
 
-    ``among`` (chunk_id) filters what was reached before the first cut.
+    ``among`` (chunk_id) filters what was reached before the first cut. With a known number of
+    queries the few rows that are left go to all tasks.
     """
     best = expanded(seeds, edge_rows)
     if among is not None:
@@ -218,7 +222,7 @@ def search_batch(
     kept = best.withColumn("cut", cut).where(F.col("cut") <= OVER_FETCH * limit)
     typed = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "chunk_type", "name")
     weighed = (
-        typed.join(F.broadcast(kept), "chunk_id")
+        typed.join(sent(kept, n_queries and n_queries * OVER_FETCH * limit), "chunk_id")
         .withColumn("raw", F.col("score"))
         .withColumn("score", F.col("raw") * type_multiplier(F.col("chunk_type"), F.col("name")))
     )

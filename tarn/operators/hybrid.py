@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.scalars import RRF_K, boost_terms, name_boost
-from tarn.operators.lexical import normalised, top
+from tarn.operators.lexical import normalised, sent, top
 
 
 def fused(lexical: DataFrame, vector: DataFrame, weight: float = 0.5) -> DataFrame:
@@ -38,7 +38,7 @@ def search_batch(
     before = fused(lexical, vector, weight).withColumn("before", F.row_number().over(order))
     words = queries.select("query_id", boost_terms(F.col("text")).alias("words"))
     boosted = (
-        F.broadcast(before.where(F.col("before") <= 4 * limit))
+        sent(before.where(F.col("before") <= 4 * limit), queries.count() * 4 * limit)
         .join(names.select("chunk_id", "name"), "chunk_id")
         .join(words, "query_id")
         .withColumn("score", name_boost(F.col("score"), F.col("name"), F.col("words")))

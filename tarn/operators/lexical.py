@@ -14,6 +14,11 @@ from tarn.functions.tokenize import DELIMITERS, emitted, is_term, query_terms, t
 BROADCAST_TERMS = 200_000
 
 
+def sent(df: DataFrame, rows: int | None) -> DataFrame:
+    """``df`` for a broadcast join if it is known to have few rows; else Spark chooses the join."""
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_TERMS else df
+
+
 def term_rows(chunks: DataFrame) -> DataFrame:
     """(chunk_id, doc_len, terms): tokenised once a chunk; doc_len is known before any shuffle."""
     found = chunks.select("chunk_id", terms(F.col("content")).alias("terms"))
@@ -109,15 +114,12 @@ def doc_lengths(posting_rows: DataFrame) -> DataFrame:
 def score_rows(index: Index, wanted: DataFrame, n_terms: int) -> DataFrame:
     """(query_id, chunk_id, score) of every chunk with a wanted term; wanted: (query_id, term)."""
 
-    def sent(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if n_terms <= BROADCAST_TERMS else df
-
-    own, stats = index.of_terms(wanted.select("term").distinct(), sent)
+    own, stats = index.of_terms(wanted.select("term").distinct(), lambda df: sent(df, n_terms))
     df = _frequencies(own)
     weighted = wanted.join(df, "term").join(F.broadcast(stats), F.lit(True))  # one row
     weighted = weighted.select("query_id", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     part = F.col("idf") * saturation(F.col("frequency"), F.col("doc_len"), F.col("avgdl"))
-    return own.join(sent(weighted), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    return own.join(sent(weighted, n_terms), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
 def top(scored: DataFrame, limit: int, *ties) -> DataFrame:

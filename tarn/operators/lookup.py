@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.scalars import basename, name_like, preview
+from tarn.operators.lexical import sent
 
 #: The order of chunk types in a file's view; other types aren't shown.
 TYPE_ORDER = ("class", "interface", "type", "function", "method")
 FIND_LIMIT = 20
 
 
-def hydrated(ranked: DataFrame, chunks: DataFrame, documents: DataFrame, strategy: str) -> DataFrame:
+def hydrated(ranked: DataFrame, chunks: DataFrame, documents: DataFrame, strategy: str, most: int | None = None) -> DataFrame:
     """Result rows from (query_id, chunk_id, score, rank); ids without a chunk are dropped.
 
-    Ranking comes first, so the few ranked rows go to the wide tables and not the reverse.
+    Ranking comes first, so the few ranked rows, ``most`` if that is known, go to the wide tables
+    and not the reverse.
     """
-    wide = chunks.join(F.broadcast(ranked), "chunk_id")
+    wide = chunks.join(sent(ranked, most), "chunk_id")
     of = documents.select("document_id", "source_path", F.col("name").alias("doc_name"), "chunk_count")
     return wide.join(of, "document_id").select(
         "query_id", "chunk_id", "document_id", "name", "chunk_type", "language", "start_line", "end_line", "content",

@@ -257,7 +257,7 @@ def graph_expansion(spark, d):
 
 def graph_search(spark, d):
     chunks, seeds = _seeds(spark, d)
-    return _ranked(graph.search_batch(chunks, graph.edges(chunks), seeds, LIMIT))
+    return _ranked(graph.search_batch(chunks, graph.edges(chunks), seeds, LIMIT, n_queries=1))
 
 
 def type_multipliers(spark, d):

@@ -59,8 +59,8 @@ def search(
         if not graph.is_ready(edges):
             raise NotReady("no edges; index first")
         seeds = graph.all_seeds(graph.name_seeds(chunks, queries), lexical_rows(graph.SEEDS, None))
-        ranked = graph.search_batch(chunks, edges, seeds, limit, among)
-    return lookup.hydrated(ranked, chunks, store.table("documents"), strategy).orderBy("rank")
+        ranked = graph.search_batch(chunks, edges, seeds, limit, among, n_queries=1)
+    return lookup.hydrated(ranked, chunks, store.table("documents"), strategy, limit).orderBy("rank")
 
 
 def markdown(results: DataFrame, lines: int = 8) -> str:

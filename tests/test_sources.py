@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn import cli
-from tarn.operators import lookup
+from tarn.operators import graph, lookup
 from tarn.plans import indexing, search, tools
 from tarn.sources import files, store, symbols
 from tarn.sources.contexts import ContextError, Contexts
@@ -219,6 +219,29 @@ def test_index_and_search(spark, tmp_path, monkeypatch):
     assert "ServiceB" in tools.search_codebase(st, "ServiceB", "unknown")
     assert "class ServiceA" in tools.get_project_map(st) and "fn formatDate(d)" in tools.get_project_map(st)
     assert "formatDate" in tools.find_symbol(st, "format")
+    assert f"{code}/utils.py:1-" in tools.find_symbol(st, "format")
+    # Filters hold before the cut.
+    for strategy in ("bm25", "graph"):
+        got = search.search(st, "ServiceB formatDate", strategy, 1, language="python").collect()
+        assert [r["name"] for r in got] == ["formatDate"]
+        got = search.search(st, "ServiceB formatDate", strategy, 9, document_path=str(code / "service.ts")).collect()
+        assert got and {r["source_path"] for r in got} == {str(code / "service.ts")}
+    assert "ServiceB" in tools.call(st, "find_symbol", {"name": "ServiceB", "context": "demo"}, {"demo": st}.__getitem__)
+    with pytest.raises(ValueError):
+        tools.call(st, "find_symbol", {"name": "ServiceB", "context": "demo"})
+    # A failure of the edge stage changes nothing; the next run does it all.
+    before = dict(st.manifest["tables"])
+    (code / "utils.py").write_text("def formatDate(d):\n    return d + 2\n")
+    with monkeypatch.context() as broken:
+        broken.setattr(graph, "edges", lambda chunks: 1 / 0)
+        assert indexing.index(st, str(code)).status == "failed"
+    assert {k: v for k, v in st.manifest["tables"].items() if k != "jobs"} == {k: v for k, v in before.items() if k != "jobs"}
+    assert indexing.index(st, str(code)).changed == 1
+    # Of two writers that began alike the second fails.
+    other = store.Store(spark, st.path)
+    st.commit(jobs=st.table("jobs"))
+    with pytest.raises(RuntimeError):
+        other.commit(jobs=other.table("jobs"))
     assert "## class" in tools.get_file_context(st, str(code / "service.ts"))
     assert "not indexed" in tools.get_file_context(st, "/nowhere")
     totals = indexing.statistics(spark, st)
@@ -229,7 +252,8 @@ def test_index_and_search(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(cli, "session", lambda: spark)
     assert "3 new" in cli.main(["index", str(code)])
     assert "ServiceB" in cli.main(["search", "ServiceB", "--strategy", "bm25"])
-    assert cli.main(["status"]).startswith("3 documents")
+    status = cli.main(["status"])
+    assert status.startswith("3 documents") and "python" in status and "class" in status
 
 
 def test_lookup_order(spark):
