@@ -1,5 +1,10 @@
 """A five-stage corpus pipeline: filter, near-dedup, decontaminate, mix, shard.
 
+Null texts count as empty, rows without doc_id stay unless their text is a near copy of
+another row's, and repeated rows are copies. Ties go as each operator states. Without labels
+or benchmark nothing is removed for their sake; without documents the result is empty. Columns
+beyond those of documents pass through all stages but the last.
+
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next one's docs. All but the last keep the columns of documents.
 """
