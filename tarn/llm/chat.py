@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import written
+from tarn.llm.common import text_digest, written
 
 ROLES = ("system", "user", "assistant")
 #: States: 0 before any message, 1 + role after a message of that role.
@@ -164,22 +164,24 @@ def repaired(
     """(conv_id, turn, role, text, new_role, action, inserted, cost, last, piece) for every row of ``turns``.
 
     ``turns`` has conv_id, turn, role, text. Rows are ordered by turn (nulls last), then role and
-    text; repeated rows are separate turns. Null conversation ids form one conversation, null
-    texts are empty, null and unknown roles may take any role at cost UNKNOWN. action is keep,
+    the text's digest; repeated rows are separate turns. Null conversation ids form one
+    conversation, null texts are empty, long texts stay whole, null and unknown roles may take any role at cost UNKNOWN. action is keep,
     merge, relabel or merge+relabel; inserted lists the roles of the empty messages before the
     turn. The pieces of a conversation, in order, are its rendered text.
     """
     known = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")), F.lit(0))
     code = F.when(known > 0, known - 1).otherwise(3).cast("string")
+    conv = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("null"))
     picked = turns.select(
-        F.col("conv_id").cast("string").alias("conv"), "conv_id", "turn", "role", F.col("text"), code.alias("code")
+        conv.alias("conv"), "conv_id", "turn", "role", "text", code.alias("code"), text_digest().alias("digest")
     )
-    # The sort key ends with the text: a long conversation, or many equal turn numbers, is split.
-    order = ["conv", F.col("turn").asc_nulls_last(), "role", "text"]
+    # The sort key ends with the text's digest: a long conversation, or many equal turn numbers, is
+    # split, and no texts are sampled for the ranges.
+    order = ["conv", F.col("turn").asc_nulls_last(), "role", "digest"]
     placed = picked.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = placed.withColumn("id", F.monotonically_increasing_id())
+    placed = placed.drop("digest").withColumn("id", F.monotonically_increasing_id())
     placed = written(placed.withColumn("block", F.shiftright("id", BLOCK_BITS)), "chat-turns")
-    blocks = placed.groupBy(F.coalesce("conv", F.lit("\0")).alias("conv"), "block").agg(
+    blocks = placed.groupBy("conv", "block").agg(
         F.min("id").alias("first"),
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("id", "code"))), lambda x: x["code"]), ""
@@ -199,6 +201,8 @@ def repaired(
         blocks.join(entries.select("conv", "block", "entry"), ["conv", "block"], "left")
         .join(exits, ["conv", "block"], "left")
         .select("conv", "block", "codes", "entry", "exit")
+        # Codes are small, so Spark would put all into one task; deciding is the work.
+        .repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv", "block")
         .mapInPandas(_decisions, "block long, conv string, turns array<string>")
     )
     chosen = (
@@ -265,7 +269,7 @@ def rendered(turns: DataFrame, **tags: str) -> DataFrame:
     """(conv_id, rendered): whole conversations, for tables whose conversations fit a row."""
     found = repaired(turns, **tags)
     order = F.row_number().over(
-        Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+        Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", text_digest())
     )
     parts = F.array_sort(F.collect_list(F.struct("at", "piece")))
     return (
