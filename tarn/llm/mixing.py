@@ -23,6 +23,8 @@ MIX_SHARE = 1.5
 MAX_COPIES = 2
 WEIGHTS = (3, 1, 2)
 DOCS_PER_TASK = 4_000
+#: So many sources, a row each, are sent to all tasks; more are joined.
+FEW_SOURCES = 100_000
 #: Newton steps in one Spark job, and jobs at most; a target is met when its relative error is below TOLERANCE.
 STEPS, JOBS, TOLERANCE = 4, 20, 1e-7
 
@@ -85,12 +87,12 @@ def rate_of(cap: float) -> Column:
     return F.when(F.col("size") > 0, rate).otherwise(F.lit(1.0))
 
 
-def newton_step(hist: DataFrame, state: DataFrame, cap: float) -> DataFrame:
-    """One step of every source's dual: sum(n * size * rate) = target.
+def newton_step(hist: DataFrame, state: DataFrame, cap: float, few: bool) -> DataFrame:
+    """One step of every source's dual: sum(n * size * rate) = target. ``few``: sources can be sent to all tasks.
 
     Sums are of decimals, so they don't depend on the order of rows, and reruns agree.
     """
-    joined = hist.where("size > 0").join(state, F.col("s").eqNullSafe(F.col("source")))
+    joined = hist.where("size > 0").join(F.broadcast(state) if few else state, F.col("s").eqNullSafe(F.col("source")))
     words = F.col("size") * F.col("n") * rate_of(cap)
     free = F.col("tilt") * F.col("size") / F.col("mean") < math.log(cap)
     slope = F.when(free, words * F.col("size") / F.col("mean")).otherwise(0.0)
@@ -116,11 +118,12 @@ def newton_step(hist: DataFrame, state: DataFrame, cap: float) -> DataFrame:
 def tilts(hist: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
     """(s, tilt, mean, ...) of every source; a few steps make one job, until all targets are met."""
     state = written(_begun(sources, cap), "mix-tilts")
+    few = state.count() <= FEW_SOURCES
     for _ in range(JOBS):
         if state.where(~F.col("met")).isEmpty():
             break
         for _ in range(STEPS):
-            state = newton_step(hist, state, cap)
+            state = newton_step(hist, state, cap, few)
         state = written(state, "mix-tilts")
     return state
 
@@ -174,7 +177,7 @@ def rates(docs: DataFrame, share: float = MIX_SHARE, cap: int = MAX_COPIES) -> D
     )
     found = tilts(hist, sources, float(cap)).join(blocks, F.col("s").eqNullSafe(F.col("b")))
     found = written(found.select("s", "source_size", "target", "tilt", "mean", "blocks"), "mix-rates")
-    few = found.count() <= 100_000
+    few = found.count() <= FEW_SOURCES
     rated = (
         sized.join(F.broadcast(found) if few else found, F.col("s").eqNullSafe(F.col("source")))
         .withColumn("rate", rate_of(cap))
