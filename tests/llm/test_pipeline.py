@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline
 from tarn.llm import quality, registry
 from tests.llm.conftest import prose
@@ -38,6 +40,34 @@ def test_stages(spark, tmp_path):
     assert quality.THRESHOLD == 0.3
 
 
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_empty_tables_and_odd_rows(spark, tmp_path, empty):
+    """Without labels and benchmark nothing goes for their sake; null ids and texts, ties and repeated rows pass through."""
+    rows = [(i, prose(i, 30 + i), "en", "s", 1) for i in range(12)] + [(3, prose(3, 33), "en", "s", 1), (50, None, None, None, None), (None, "lone words here", None, "s", 0)]
+    tables = {
+        "documents": (rows, "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": ([(0, 1, 0), (None, 0, None), (1, 1, None)], "doc_id long, quality int, toxic int"),
+        "benchmark": ([(1, prose(5, 35)), (2, None), (None, "")], "item_id long, text string"),
+    }
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame([] if name == empty else data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, at, str(tmp_path))
+        after.write.parquet(f"{tmp_path}/out-{name}")
+        at = spark.read.parquet(f"{tmp_path}/out-{name}")
+        if name == "decontaminate":
+            left = sorted((r["doc_id"] for r in at.collect()), key=str)
+    got = at.collect()
+    if empty == "documents":
+        assert left == [] and got == []
+    elif empty == "labels":
+        assert left == sorted([*range(5), *range(6, 12), 50, None], key=str)
+    else:
+        assert 5 in left and left.count(3) == 1
+    assert len({(r["shard"], r["slot"]) for r in got}) == len(got)
+
+
 def test_registry():
     import __spark_entry__
 
