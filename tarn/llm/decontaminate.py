@@ -293,12 +293,20 @@ bw AS (
   SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS k
   FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)
 ), h AS (SELECT r, i, bw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.k = bw.k),
+bp AS (
+  SELECT DISTINCT item_id, i AS p, least(len(w), {WINDOW}) AS n, array_to_string(w[i:i + least(len(w), {WINDOW}) - 1], ' ') AS k
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), runs AS (
+  SELECT r, item_id, i - p AS d, bp.n AS n, i - row_number() OVER (PARTITION BY r, item_id, i - p ORDER BY i) AS g
+  FROM dw JOIN bp ON dw.n = bp.n AND dw.k = bp.k
+), longest AS (SELECT r, max(m) AS m FROM (SELECT r, count(*) - 1 + max(n) AS m FROM runs GROUP BY r, item_id, d, g) GROUP BY r),
 hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
 it AS (
   SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
   FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
-  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(m, 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r) LEFT JOIN longest USING (r)
 """
