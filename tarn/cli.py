@@ -5,9 +5,10 @@ from __future__ import annotations
 import argparse
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
-from tarn.functions.scalars import human_bytes, human_duration
+from tarn.functions.scalars import readable_bytes, readable_duration
 from tarn.plans import indexing, search, tools
 from tarn.sources.contexts import Contexts
 from tarn.sources.embedding import HashingProvider, HttpProvider
@@ -35,6 +36,10 @@ def session() -> SparkSession:
     return spark
 
 
+def shown(spark: SparkSession, value: Column) -> str:
+    return spark.range(1).select(value).first()[0]
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tarn")
     top.add_argument("--context", help="a context's name; the active one if left out")
@@ -93,7 +98,7 @@ def main(argv: list[str] | None = None) -> str:
             job = indexing.index(store, path, args.force, args.prune, provider=provider() if args.embed else None)
             out.append(
                 f"{path}: {job.status}, {job.new} new, {job.changed} changed, {job.unchanged} unchanged, "
-                f"{job.failed} failed in {human_duration(job.seconds * 1000)}" + (f"\n{job.message}" if job.message else "")
+                f"{job.failed} failed in {shown(store.spark, readable_duration(F.lit(job.seconds * 1000)))}" + (f"\n{job.message}" if job.message else "")
             )
         return "\n".join(out)
     if args.command == "embed":
@@ -103,7 +108,8 @@ def main(argv: list[str] | None = None) -> str:
     if args.command == "status":
         totals = indexing.statistics(store.spark, store)
         row = totals["totals"].first()
-        out = [f"{row['documents']} documents, {row['chunks']} chunks, {human_bytes(totals['size_bytes'])}"]
+        size = shown(store.spark, readable_bytes(F.lit(totals["size_bytes"])))
+        out = [f"{row['documents']} documents, {row['chunks']} chunks, {size}"]
         for column in ("language", "chunk_type"):
             rows = totals["by_language" if column == "language" else "by_type"].collect()  # a row for each language or type
             wide = max([len(column), *(len(str(r[column])) for r in rows)])

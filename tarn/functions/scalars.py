@@ -138,20 +138,29 @@ def embedding_text(
     return F.when(chunk_type.isin("function", "method"), content).otherwise(summary)
 
 
-def percent(done: int, total: int) -> int:
-    return 0 if total == 0 else min(100, round(100 * done / total))
+def percent(done: Column, total: Column) -> Column:
+    """Whole percent done, halves up, at most 100; 0 of nothing is 0."""
+    part = F.floor(100.0 * done / total + 0.5)
+    return F.when(total == 0, 0).otherwise(F.least(part, F.lit(100))).cast("int")
 
 
-def human_bytes(n: float) -> str:
-    for unit in ("B", "KB", "MB"):
-        if n < 1024:
-            return f"{n:.0f} {unit}" if unit == "B" else f"{n:.1f} {unit}"
-        n /= 1024
-    return f"{n:.1f} GB"
+def _tenths(value: Column) -> Column:
+    return F.format_string("%.1f", F.floor(value * 10 + 0.5) / 10)
 
 
-def human_duration(ms: float) -> str:
-    if ms < 1000:
-        return f"{ms:.0f}ms"
-    seconds = ms / 1000
-    return f"{seconds:.1f}s" if seconds < 60 else f"{int(seconds // 60)}m {int(seconds % 60)}s"
+def readable_bytes(n: Column) -> Column:
+    """Bytes as they are below a kilobyte, then with one decimal, halves up."""
+    out = F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
+    for power, unit in ((1, "KB"), (2, "MB")):
+        out = out.when(n < 1024 ** (power + 1), F.concat(_tenths(n / 1024**power), F.lit(f" {unit}")))
+    return out.when(n.isNotNull(), F.concat(_tenths(n / 1024**3), F.lit(" GB")))
+
+
+def readable_duration(ms: Column) -> Column:
+    """Milliseconds below a second, seconds with one decimal below a minute, then minutes and seconds."""
+    minutes = F.concat(F.floor(ms / 60_000).cast("string"), F.lit("m "), F.floor(ms / 1000 % 60).cast("string"), F.lit("s"))
+    return (
+        F.when(ms < 1000, F.concat(F.floor(ms + 0.5).cast("string"), F.lit("ms")))
+        .when(ms < 60_000, F.concat(_tenths(ms / 1000), F.lit("s")))
+        .when(ms.isNotNull(), minutes)
+    )

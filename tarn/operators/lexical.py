@@ -36,7 +36,7 @@ def occurrences(chunks: DataFrame) -> DataFrame:
     return found.select("chunk_id", F.explode(emitted(F.col("token"))).alias("term")).where(is_term(F.col("term")))
 
 
-def _with_lengths(counted: DataFrame) -> DataFrame:
+def with_lengths(counted: DataFrame) -> DataFrame:
     """(chunk_id, term, frequency) of all of a chunk's terms, with their sum as doc_len."""
     length = F.sum("frequency").over(Window.partitionBy("chunk_id"))
     return counted.select("chunk_id", "term", "frequency", length.alias("doc_len"))
@@ -45,7 +45,7 @@ def _with_lengths(counted: DataFrame) -> DataFrame:
 def postings(chunks: DataFrame) -> DataFrame:
     """(chunk_id, term, frequency, doc_len). One shuffle, by chunk, serves the counts and the lengths."""
     found = occurrences(chunks).repartition("chunk_id")
-    return _with_lengths(found.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("frequency")))
+    return with_lengths(found.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("frequency")))
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ class Index:
             return self.postings.join(sent(distinct), "term", "left_semi"), self.stats
         asked = sent(distinct.withColumn("asked", F.lit(True)))
         marked = self.unstored.join(asked, "term", "left").select("chunk_id", F.when(F.col("asked"), F.col("term")).alias("term"))
-        rows = _with_lengths(marked.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("frequency")))
+        rows = with_lengths(marked.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("frequency")))
         return rows.where(F.col("term").isNotNull()), _stats(rows)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,6 +192,22 @@ def embedding_texts(chunks: DataFrame, with_breadcrumb: bool = True) -> DataFram
     return chunks.select("chunk_id", text.alias("text"))
 
 
+def readiness(postings: DataFrame, embeddings: DataFrame, edges: DataFrame, dimensions: int) -> DataFrame:
+    """(strategy, ready): whether each strategy has what it needs; vectors must be of ``dimensions``.
+
+    One row of each table at most is looked at.
+    """
+
+    def found(strategy: str, rows: DataFrame, good: Column) -> DataFrame:
+        ready = F.coalesce(F.min(good), F.lit(False))
+        return rows.limit(1).agg(ready.alias("ready")).select(F.lit(strategy).alias("strategy"), "ready")
+
+    lexical = found("bm25", postings, F.lit(True))
+    vectors = found("vector", embeddings, F.coalesce(F.size("embedding") == dimensions, F.lit(False)))
+    both = lexical.unionByName(vectors).agg(F.min("ready").alias("ready")).select(F.lit("hybrid").alias("strategy"), "ready")
+    return lexical.unionByName(vectors).unionByName(both).unionByName(found("graph", edges.where("resolved"), F.lit(True)))
+
+
 def check_ready(embeddings: DataFrame, dimensions: int) -> bool:
     """False without vectors; raises DimensionMismatch when they have another length."""
     first = embeddings.select(F.size("embedding").alias("d")).limit(1).collect()

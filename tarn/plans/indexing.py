@@ -77,8 +77,7 @@ def _index(store: Store, job: Job, force: bool, prune: bool, max_bytes: int, exc
     tables = {n: store.table(n) for n in ("documents", "chunks", "postings", "embeddings", "edges")}
     gone = None
     if prune:
-        below = documents.where(F.startswith("source_path", F.lit(job.path.rstrip("/") + "/")))
-        gone = below.join(texts.select("source_path"), "source_path", "left_anti").select("document_id")
+        gone = vanished(documents, texts, job.path)
     touched = counts.get("new", 0) + counts.get("changed", 0)
     if not touched and (gone is None or gone.isEmpty()):
         return
@@ -103,23 +102,49 @@ def _index(store: Store, job: Job, force: bool, prune: bool, max_bytes: int, exc
             "imports", now.alias("created_at"), now.alias("updated_at"),
         )
     )
+    out = reindexed(tables, incoming, fresh, gone)
+    store.commit(**out | {"edges": lambda staged: graph.edges(staged["chunks"])})
+    write_project_map(store.table("documents"), store.table("chunks"), f"{store.path}-project-map.txt", job.path)
+    symbols.unpersist()
+    texts.unpersist()
+
+
+def vanished(documents: DataFrame, listing: DataFrame, root: str) -> DataFrame:
+    """document_id of the documents below ``root`` that the listing (source_path) doesn't have any more."""
+    below = documents.where(F.startswith("source_path", F.lit(root.rstrip("/") + "/")))
+    return below.join(listing.select("source_path"), "source_path", "left_anti").select("document_id")
+
+
+def reindexed(
+    tables: dict[str, DataFrame], incoming: DataFrame, fresh: DataFrame, gone: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Documents, chunks, postings and embeddings after a run over new and changed documents.
+
+    What was stored of ``incoming`` documents, and of those in ``gone``, is purged with all that
+    hangs on it; ``fresh`` are the chunks of ``incoming``. A document without chunks is kept, so
+    it isn't parsed again; one that was stored keeps its id, creation time, language and name.
+    """
+    documents = tables["documents"]
     stale = incoming.select("document_id").join(documents, "document_id", "left_semi")
     drop = stale if gone is None else stale.unionByName(gone)
-    rest = without_documents(tables, drop.distinct())
-    all_chunks = rest["chunks"].unionByName(fresh)
+    rest = without_documents({n: t for n, t in tables.items() if n != "edges"}, drop.distinct())
     merged = upserted(documents, incoming, "source_path", kept=("document_id", "created_at", "language", "name"))
     if gone is not None:
         merged = merged.join(gone, "document_id", "left_anti")
-    store.commit(
-        documents=merged,
-        chunks=all_chunks,
-        postings=rest["postings"].unionByName(lexical.postings(fresh)),
-        embeddings=rest["embeddings"],
-        edges=lambda staged: graph.edges(staged["chunks"]),
-    )
-    write_project_map(store.table("documents"), store.table("chunks"), f"{store.path}-project-map.txt", job.path)
-    symbols.unpersist()
-    texts.unpersist()
+    return {
+        "documents": merged,
+        "chunks": rest["chunks"].unionByName(fresh),
+        "postings": rest["postings"].unionByName(lexical.postings(fresh)),
+        "embeddings": rest["embeddings"],
+    }
+
+
+def embed_document(store: Store, provider: Provider, document_id: str) -> int:
+    """Embed all chunks of one document again, without the breadcrumb line; their number."""
+    chunks = store.table("chunks").where(F.col("document_id") == document_id)
+    fresh = embedded(vector.embedding_texts(chunks, with_breadcrumb=False), provider)
+    store.commit(embeddings=upserted(store.table("embeddings"), fresh, "chunk_id", kept=("created_at",)))
+    return chunks.count()
 
 
 def embed_pending(store: Store, provider: Provider) -> int:

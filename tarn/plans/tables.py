@@ -74,3 +74,50 @@ def graph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = {"s": "s_suppkey", "c": "c_custkey"}[prefix]
         out = out.unionByName(rows(people, prefix, key, "n_regionkey", name, "method", parentName=F.col("n_name")))
     return out
+
+
+#: What stands in for directories and extensions of the listing's files.
+FOLDERS = ("src", "src/.cache", "node_modules/a", "lib/_x", ".git", "a.b/build")
+EXTENSIONS = (".ts", ".d.ts", ".test.js", ".py", ".PY", ".java", ".md", "", ".tsx", ".min.js", ".cjs")
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree that was listed whole; the path comes from the columns."""
+    docs = read(spark, sf_dir, "documents")
+
+    def pick(values: tuple[str, ...]):
+        return F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
+
+    relative = F.concat_ws("/", "source", pick(FOLDERS), F.concat("lang", F.col("doc_id").cast("string"), pick(EXTENSIONS)))
+    return docs.select(
+        F.concat(F.lit("/tree/"), relative).alias("path"), relative.alias("relative"), F.octet_length("text").cast("long").alias("size_bytes")
+    )
+
+
+def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files that an earlier job has stored, a chunk each."""
+    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    return read(spark, sf_dir, "documents").select(*_file(path, "text", "first"), F.col("text").alias("content"))
+
+
+def incoming_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files of a later job: the documents, the French ones edited, and the pages as new files."""
+    docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
+    text = F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    docs = docs.withColumn("new_text", text).select(*_file(path, "new_text", "second"), F.col("new_text").alias("content"))
+    path = F.concat(F.lit("page/"), F.col("page_id").cast("string"))
+    return docs.unionByName(pages.select(*_file(path, "html", "second"), F.col("html").alias("content")))
+
+
+def _file(path, text: str, job: str) -> list:
+    return [
+        F.sha2(path, 256).alias("document_id"),
+        path.alias("source_path"),
+        F.sha2(text, 256).alias("checksum"),
+        F.lit(1).cast("long").alias("chunk_count"),
+        F.lit(job).alias("job_id"),
+        F.lit("text").alias("language"),
+        path.alias("name"),
+        F.lit(job).alias("created_at"),
+    ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.plans.oracles import ORACLES
-from tarn.plans.registered import QUERIES
+from tarn.plans import oracles, registered, upkeep
 
-__all__ = ["ORACLES", "QUERIES"]
+QUERIES = registered.QUERIES | upkeep.QUERIES
+ORACLES = oracles.ORACLES | upkeep.ORACLES

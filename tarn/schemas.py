@@ -9,7 +9,7 @@ CHUNK_TYPES = (
 )
 LANGUAGES = ("typescript", "javascript", "python", "java", "unknown")
 STRATEGIES = ("bm25", "vector", "hybrid", "graph")
-#: Version of the layout below; a store of another version is refused.
+#: Version of the layout below; an older store is brought up to it, a newer one refused.
 VERSION = 2
 
 METADATA = T.StructType(

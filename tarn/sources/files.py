@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -71,36 +72,94 @@ def language_of(path: Column) -> Column:
     return out
 
 
-def walk(root: str, ignored: frozenset[str] = frozenset(IGNORED_DIRECTORIES)) -> Iterator[tuple[str, str, int | None]]:
-    """(path, relative, bytes) of all files below ``root``, and of pruned directories with null bytes.
+def in_ignored_directory(relative: Column) -> Column:
+    """Whether a directory above the file starts with a dot or is never entered."""
+    above = F.slice(F.split(relative, "/"), F.lit(1), F.size(F.split(relative, "/")) - 1)
+    return F.exists(above, lambda d: F.startswith(d, F.lit(".")) | d.isin(*IGNORED_DIRECTORIES))
+
+
+#: The size of a directory that is to be entered, among the entries of its parent.
+ENTERED = -1
+
+
+def entries(fs: pafs.FileSystem, base: str, folder: str) -> Iterator[tuple[str, str, int | None]]:
+    """(path, relative, bytes) of one directory's entries; a directory has ENTERED, or null if it is pruned."""
+    try:
+        found = fs.get_file_info(pafs.FileSelector(folder))
+    except OSError:
+        yield folder, folder[len(base) + 1 :] + "/", None
+        return
+    for entry in sorted(found, key=lambda e: e.path):
+        relative = entry.path[len(base) + 1 :]
+        if entry.type == pafs.FileType.Directory:
+            pruned = entry.base_name.startswith(".") or entry.base_name in IGNORED_DIRECTORIES
+            yield entry.path, relative + "/", None if pruned else ENTERED
+        elif entry.type == pafs.FileType.File:
+            yield entry.path, relative, entry.size
+
+
+def walk_below(fs: pafs.FileSystem, base: str, folder: str, deep: bool) -> Iterator[tuple[str, str, int | None]]:
+    """The files in ``folder``, and below it if ``deep``, with pruned directories of null bytes.
 
     Directories are listed without entering the pruned ones; Spark's own listing would enter
-    them and would leave out names that start with an underscore. Only names and sizes are held.
+    them and would leave out names that start with an underscore.
+    """
+    todo = [folder]
+    while todo:
+        for path, relative, size in entries(fs, base, todo.pop()):
+            if size != ENTERED:
+                yield path, relative, size
+            elif deep:
+                todo.append(path)
+
+
+def listed(spark: SparkSession, root: str, wide: int = 64) -> DataFrame:
+    """(path, relative, size_bytes) of ``walk``, listed by tasks.
+
+    The driver goes down level by level only until it knows ``wide`` directories; it holds their
+    names and no files. Tasks list the files of those above and walk all below the last ones.
     """
     fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root.rstrip("/"))
+    schema = "path string, relative string, size_bytes long"
     info = fs.get_file_info(base)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(root)
     if info.type == pafs.FileType.File:
-        yield base, info.base_name, info.size
-        return
-    todo = [base]
-    while todo:
-        folder = todo.pop()
-        try:
-            found = fs.get_file_info(pafs.FileSelector(folder))
-        except OSError:
-            yield folder, folder[len(base) + 1 :] + "/", None
-            continue
-        for entry in sorted(found, key=lambda e: e.path):
-            relative = entry.path[len(base) + 1 :]
-            if entry.type == pafs.FileType.Directory:
-                if entry.base_name.startswith(".") or entry.base_name in ignored:
-                    yield entry.path, relative + "/", None
-                else:
-                    todo.append(entry.path)
-            elif entry.type == pafs.FileType.File:
-                yield entry.path, relative, entry.size
+        return spark.createDataFrame([(base, info.base_name, info.size)], schema)
+    above, level = [], [base]
+    while level and len(above) + len(level) < wide:
+        above += level
+        level = [p for folder in level for p, _, size in entries(fs, base, folder) if size == ENTERED]
+    dealt = [(p, False) for p in above] + [(p, True) for p in level]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs = pafs.FileSystem.from_uri(root)[0] if "://" in root else pafs.LocalFileSystem()
+        for batch in batches:
+            for folder, deep in zip(batch["folder"], batch["deep"]):
+                found = walk_below(fs, base, folder, deep)
+                while rows := list(islice(found, 10_000)):
+                    out = pd.DataFrame(rows, columns=["path", "relative", "size_bytes"])
+                    yield out.assign(size_bytes=out["size_bytes"].astype("Int64"))
+
+    n = max(1, min(len(dealt), spark.sparkContext.defaultParallelism))
+    folders = spark.createDataFrame(dealt, "folder string, deep boolean")
+    return folders.repartition(n, "folder").mapInPandas(run, schema)
+
+
+def classified(listing: DataFrame, max_bytes: int = MAX_FILE_BYTES, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """A listing (path, relative, size_bytes) with extension, language and skip_reason.
+
+    A row of null bytes is a directory that was not entered; a file below such a directory, in
+    listings that did enter it, has the same reason.
+    """
+    size = F.col("size_bytes")
+    reason = F.when(size.isNull() | in_ignored_directory(F.col("relative")), "ignored_directory").otherwise(
+        skip_reason(F.col("path"), size, max_bytes, exclude)
+    )
+    language = F.when(size.isNotNull(), language_of(F.col("path")))
+    return listing.withColumns(
+        {"extension": first_dot_extension(F.col("path")), "language": language, "skip_reason": reason}
+    )
 
 
 def scan(
@@ -110,14 +169,7 @@ def scan(
 
     A missing root raises. A pruned directory is one row of reason ignored_directory.
     """
-    rows = spark.createDataFrame(list(walk(root)), "path string, relative string, size_bytes long")
-    reason = F.when(F.col("size_bytes").isNull(), "ignored_directory").otherwise(
-        skip_reason(F.col("path"), F.col("size_bytes"), max_bytes, exclude)
-    )
-    language = F.when(F.col("size_bytes").isNotNull(), language_of(F.col("path")))
-    return rows.withColumns(
-        {"extension": first_dot_extension(F.col("path")), "language": language, "skip_reason": reason}
-    )
+    return classified(listed(spark, root), max_bytes, exclude)
 
 
 def with_text(files: DataFrame, root: str) -> DataFrame:
@@ -148,6 +200,14 @@ def scan_summary(files: DataFrame) -> DataFrame:
     )
 
 
+def scan_totals(files: DataFrame) -> DataFrame:
+    """One row: files scanned, skipped and kept; directories that weren't entered are no files."""
+    of = files.where(F.col("size_bytes").isNotNull())
+    skipped = F.count("skip_reason")
+    scanned = F.count(F.lit(1))
+    return of.agg(scanned.alias("scanned"), skipped.alias("skipped"), (scanned - skipped).alias("kept"))
+
+
 def checksum(content: Column) -> Column:
     return F.sha2(content, 256)
 

@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn import schemas
-from tarn.operators.lexical import Index
+from tarn.operators.lexical import Index, with_lengths
 
 MANIFEST = "CURRENT.json"
+#: From each older layout, the tables that change towards the next one. Postings of layout 1 have no doc_len.
+MIGRATIONS: dict[int, dict[str, Callable[[DataFrame], DataFrame]]] = {1: {"postings": with_lengths}}
 
 
 class Store:
@@ -24,7 +26,21 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
         self.manifest = self._read_manifest()
         if self.manifest["version"] != schemas.VERSION:
-            raise ValueError(f"{path} has layout {self.manifest['version']}, this is {schemas.VERSION}")
+            self._migrate()
+
+    def _migrate(self) -> None:
+        """Bring an older layout up to this one, all tables in one commit; a newer one raises."""
+        have = self.manifest["version"]
+        if have not in MIGRATIONS:
+            raise ValueError(f"{self.path} has layout {have}, this is {schemas.VERSION}")
+        tables = {n: self.spark.read.parquet(f"{self.path}/{where}") for n, where in self.manifest["tables"].items()}
+        changed: set[str] = set()
+        for version in range(have, schemas.VERSION):
+            for name, step in MIGRATIONS[version].items():
+                if name in tables:
+                    tables[name] = step(tables[name])
+                    changed.add(name)
+        self.commit(**{n: tables[n] for n in changed})
 
     def _file(self, name: str):
         jvm = self.spark.sparkContext._jvm

@@ -7,6 +7,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
+from tarn.functions import scalars
 from tarn.functions.scalars import name_tier, type_multiplier
 from tarn.functions.tokenize import emitted, terms
 from tarn.operators import graph, hybrid, lexical, vector
@@ -254,3 +255,34 @@ def test_expansion_is_the_queue(spark, seed):
     )
     got = {r["chunk_id"]: round(r["score"], 9) for r in graph.expanded(start, df).collect()}
     assert got == {k: round(v, 9) for k, v in _fifo(seeds, links).items()}
+
+
+def test_readiness(spark):
+    postings = spark.createDataFrame([("a", "x")], "chunk_id string, term string")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0])], "chunk_id string, embedding array<float>")
+    edges = spark.createDataFrame([("a", False)], "from_chunk_id string, resolved boolean")
+
+    def got(*tables):
+        return {r["strategy"]: r["ready"] for r in vector.readiness(*tables, 2).collect()}
+
+    assert got(postings, vectors, edges) == {"bm25": True, "vector": True, "hybrid": True, "graph": False}
+    assert got(postings.limit(0), vectors, edges.withColumn("resolved", F.lit(True))) == {
+        "bm25": False, "vector": True, "hybrid": False, "graph": True,
+    }
+    other = vectors.withColumn("embedding", F.array(F.lit(1.0).cast("float")))
+    assert not got(postings, other, edges)["vector"] and not got(postings, vectors.limit(0), edges)["hybrid"]
+
+
+def test_figures(spark):
+    def shown(column, *values):
+        rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+        return [r[0] for r in rows.orderBy("i").select(column(F.col("v"))).collect()]
+
+    assert shown(scalars.readable_bytes, 0.0, 1023.0, 1024.0, 1280.0, 1048576.0, 3.5 * 1024**3, None) == [
+        "0 B", "1023 B", "1.0 KB", "1.3 KB", "1.0 MB", "3.5 GB", None,
+    ]
+    assert shown(scalars.readable_duration, 0.0, 999.4, 1000.0, 59_900.0, 60_000.0, 125_400.0, None) == [
+        "0ms", "999ms", "1.0s", "59.9s", "1m 0s", "2m 5s", None,
+    ]
+    rows = spark.createDataFrame([(0, 0), (1, 200), (1, 3), (9, 3)], "a int, b int")
+    assert [r[0] for r in rows.select(scalars.percent(F.col("a"), F.col("b"))).collect()] == [0, 1, 33, 100]

@@ -1,5 +1,7 @@
 """Scanner, parsers, store, contexts, the indexing pipeline, tools and streaming."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +42,49 @@ def test_scan(spark, tmp_path):
         files.scan(spark, str(tmp_path / "missing"))
     summary = {r["reason"]: r["files"] for r in files.scan_summary(found).collect()}
     assert summary[None] == 4 and summary["too_large"] == 1
+    assert files.scan_totals(found).first()[:] == (11, 7, 4)
+    assert files.scan_totals(found.limit(0)).first()[:] == (0, 0, 0)
+
+
+@pytest.mark.parametrize("wide", [1, 2, 5, 1000])
+def test_listing_by_tasks(spark, tmp_path, wide):
+    """However far the driver goes down itself, each file and pruned directory comes once."""
+    want = {"dist/": None, "a/b/.x/": None}
+    for name in ("r.py", "a/1.py", "a/b/2.py", "a/b/c/3.py", "a/b/c/d/4.py", "e/5.py", "e/f/6.py", "dist/7.py", "a/b/.x/8.py", "g/h/i/9.py"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(name)
+        if "dist" not in name and ".x" not in name:
+            want[name] = len(name)
+    (tmp_path / "bare" / "bare").mkdir(parents=True)
+    rows = files.listed(spark, str(tmp_path), wide).collect()
+    assert len(rows) == len(want) and {r["relative"]: r["size_bytes"] for r in rows} == want
+    assert all(r["path"] == str(tmp_path / r["relative"]).rstrip("/") or r["size_bytes"] is None for r in rows)
+    assert files.listed(spark, str(tmp_path / "bare"), wide).count() == 0
+    assert files.listed(spark, str(tmp_path / "r.py"), wide).first()[:] == (str(tmp_path / "r.py"), "r.py", 4)
+
+
+def test_classified_listing(spark):
+    rows = [("/t/.git/a.py", ".git/a.py", 1), ("/t/x/dist/b.py", "x/dist/b.py", 1), ("/t/dist", "dist", 1), (None, None, 1), ("/t/a.py", "a.py", None)]
+    found = files.classified(spark.createDataFrame(rows, "path string, relative string, size_bytes long"))
+    assert [r["skip_reason"] for r in found.collect()] == ["ignored_directory", "ignored_directory", None, None, "ignored_directory"]
+
+
+def test_older_layout(spark, tmp_path):
+    st = store.Store(spark, str(tmp_path / "s"))
+    rows = [("a", "x", 2, 3), ("a", "y", 1, 3), ("b", "x", 4, 4)]
+    st.commit(postings=spark.createDataFrame(rows, "chunk_id string, term string, frequency long, doc_len long"))
+    st.table("postings").drop("doc_len").write.parquet(f"{st.path}/old")
+    manifest = tmp_path / "s" / store.MANIFEST
+    (tmp_path / "s" / f".{store.MANIFEST}.crc").unlink(missing_ok=True)
+    manifest.write_text(json.dumps({"version": 1, "tables": st.manifest["tables"] | {"postings": "old"}}))
+    new = store.Store(spark, st.path)
+    assert sorted(r[:] for r in new.table("postings").collect()) == rows
+    assert store.Store(spark, st.path).manifest["version"] == 2
+    (tmp_path / "s" / f".{store.MANIFEST}.crc").unlink(missing_ok=True)
+    manifest.write_text(json.dumps({"version": 9, "tables": {}}))
+    with pytest.raises(ValueError):
+        store.Store(spark, st.path)
 
 
 TS = """import { E } from 'events'
@@ -244,6 +289,11 @@ def test_index_and_search(spark, tmp_path, monkeypatch):
         other.commit(jobs=other.table("jobs"))
     assert "## class" in tools.get_file_context(st, str(code / "service.ts"))
     assert "not indexed" in tools.get_file_context(st, "/nowhere")
+    one = st.table("documents").where("name = 'service.ts'").first()["document_id"]
+    n = st.table("chunks").where(F.col("document_id") == one).count()
+    assert n and indexing.embed_document(st, HashingProvider(8), one) == n
+    assert st.table("embeddings").where("dimensions = 8").count() == n
+    assert indexing.embed_document(st, HashingProvider(8), "nothing") == 0
     totals = indexing.statistics(spark, st)
     assert totals["totals"].first()["documents"] == 3 and totals["size_bytes"] > 0
     monkeypatch.setenv("TARN_DATA_DIR", str(tmp_path / "data"))
