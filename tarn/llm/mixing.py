@@ -90,21 +90,22 @@ def rate_of(cap: float) -> Column:
 def newton_step(hist: DataFrame, state: DataFrame, cap: float, few: bool) -> DataFrame:
     """One step of every source's dual: sum(n * size * rate) = target. ``few``: sources can be sent to all tasks.
 
-    Sums are of decimals, so they don't depend on the order of rows, and reruns agree.
+    Every source of ``state`` has words, so none gets lost in the join. Sums are of decimals, so they don't depend on the order of rows, and reruns agree.
     """
     joined = hist.where("size > 0").join(F.broadcast(state) if few else state, F.col("s").eqNullSafe(F.col("source")))
     words = F.col("size") * F.col("n") * rate_of(cap)
     free = F.col("tilt") * F.col("size") / F.col("mean") < math.log(cap)
     slope = F.when(free, words * F.col("size") / F.col("mean")).otherwise(0.0)
-    sums = joined.groupBy("source").agg(
+    # The state goes through the sums, so a step reads the last one once and plans stay short.
+    both = joined.groupBy("s").agg(
         F.sum(words.cast("decimal(28,6)")).cast("double").alias("value"),
         F.sum(slope.cast("decimal(28,6)")).cast("double").alias("slope"),
+        *[F.first(c).alias(c) for c in STATE],
     )
-    both = state.join(sums, F.col("s").eqNullSafe(F.col("source")), "left")
     short, met = F.col("value") < F.col("target"), F.abs(F.col("value") - F.col("target")) <= TOLERANCE * F.col("target")
     low = F.when(short, F.greatest("low", "tilt")).otherwise(F.col("low"))
     high = F.when(short, F.col("high")).otherwise(F.least("high", "tilt"))
-    both = both.withColumns({"low": low, "high": high, "met": F.col("met") | F.coalesce(met, F.lit(True))})
+    both = both.withColumns({"low": low, "high": high, "met": F.col("met") | met})
     step = F.when(F.col("slope") > 0, F.col("tilt") - (F.col("value") - F.col("target")) / F.col("slope"))
     reach = F.lit(2.0) * F.greatest(F.lit(1.0), F.abs("tilt"))
     # Without a bound on one side a step goes so far at most; within a bracket it stays or halves it.
@@ -117,15 +118,16 @@ def newton_step(hist: DataFrame, state: DataFrame, cap: float, few: bool) -> Dat
 
 def tilts(hist: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
     """(s, tilt, mean, ...) of every source; a few steps make one job, until all targets are met."""
-    state = written(_begun(sources, cap), "mix-tilts")
-    few = state.count() <= FEW_SOURCES
+    begun = written(_begun(sources, cap), "mix-tilts")
+    few = begun.count() <= FEW_SOURCES
+    state = begun.where(~F.col("met"))
     for _ in range(JOBS):
         if state.where(~F.col("met")).isEmpty():
             break
         for _ in range(STEPS):
             state = newton_step(hist, state, cap, few)
         state = written(state, "mix-tilts")
-    return state
+    return begun.where("met").unionByName(state)
 
 
 def rounded(sizes: list[int], rates: list[float], cap: int) -> list[int]:
