@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import chat, decontaminate, mixing, neardup, pii, quality, secrets, sharding, suffixdedup, topk
+from tarn.llm import chat, decontaminate, interaction, mixing, neardup, pii, quality, secrets, sharding, suffixdedup, topk
 
 QUERIES = {
     "op1_dual_tree_top_k": topk.top_k_query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_induced_suffix_dedup": suffixdedup.suffix_dedup_query,
     "op9_dart_minhash_near_dedup": neardup.near_duplicate_query,
     "op10_entropy_balanced_mix": mixing.mix_query,
+    "op11_lehmer_interaction_audit": interaction.interaction_query,
 }
 ORACLES: dict[str, str] = {
     "op1_dual_tree_top_k": topk.TOP_K_SQL,
     "op5_suffix_array_decontamination": decontaminate.DECONTAMINATE_SQL,
     "op8_induced_suffix_dedup": suffixdedup.SUFFIX_DEDUP_SQL,
     "op9_dart_minhash_near_dedup": neardup.NEAR_DUPLICATE_SQL,
+    "op11_lehmer_interaction_audit": interaction.INTERACTION_SQL,
 }
