@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import chat, decontaminate, interaction, mixing, neardup, pii, quality, secrets, sharding, suffixdedup, topk
+from tarn.llm import chat, decontaminate, interaction, mixing, neardup, pii, quality, secrets, sharding, spelling, suffixdedup, topk
 
 QUERIES = {
     "op1_dual_tree_top_k": topk.top_k_query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_dart_minhash_near_dedup": neardup.near_duplicate_query,
     "op10_entropy_balanced_mix": mixing.mix_query,
     "op11_lehmer_interaction_audit": interaction.interaction_query,
+    "op12_kd_tree_spelling": spelling.spelling_query,
 }
 ORACLES: dict[str, str] = {
     "op1_dual_tree_top_k": topk.TOP_K_SQL,
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op8_induced_suffix_dedup": suffixdedup.SUFFIX_DEDUP_SQL,
     "op9_dart_minhash_near_dedup": neardup.NEAR_DUPLICATE_SQL,
     "op11_lehmer_interaction_audit": interaction.INTERACTION_SQL,
+    "op12_kd_tree_spelling": spelling.SPELLING_SQL,
 }
