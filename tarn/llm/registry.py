@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import chat, decontaminate, interaction, mixing, neardup, pii, quality, secrets, sharding, spelling, suffixdedup, topk
+from tarn.llm import chat, decontaminate, interaction, lm, mixing, neardup, pii, quality, secrets, sharding, spelling, suffixdedup, topk
 
 QUERIES = {
     "op1_dual_tree_top_k": topk.top_k_query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_entropy_balanced_mix": mixing.mix_query,
     "op11_lehmer_interaction_audit": interaction.interaction_query,
     "op12_kd_tree_spelling": spelling.spelling_query,
+    "op13_causal_attention_lm": lm.lm_query,
 }
 ORACLES: dict[str, str] = {
     "op1_dual_tree_top_k": topk.TOP_K_SQL,
