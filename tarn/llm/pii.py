@@ -113,6 +113,8 @@ VALUES = {
         "#-#", "2#/0#/20##", "A##-2##", "#th", "0x3f#a", "c0ffee##beef##", "70###", "#### #### ####", "4242 4242 4242 4241", "1234#678901234#6",
         "300.4#.1.1", "@someone##", "5 @ 2", "(#) of (##)", "1##0x7##", "#.##%", "1914-191#", "v#.##.#-rc#", "7f3a##e9-1b#c-4d5e-8f6a-0b1c2d3e4f5a", "98####0###",
         "99##-####-##", "e3b0#442##fc1c149#fb92#27ae41e4649b#34ca49", "0#4d1##a77e0d4b#c5f6a8e2#3e1d2#7f09c8d#", "### - ###", "#,###,###", "part 2##-5##", "19##-20## and 20##",
+        "apple# stone## river#", "lamp## desk# cup## pen# ink##", "a# b# c# d# e# f# g#", "row## col# row# col## row## col#", "unit# x## unit#",
+        "green#, table##, water# paper##, lamp#", "## # ### ## # ####", "k#=v## k##=v# k#=v#",
     ),
 }
 
@@ -268,32 +270,46 @@ class ChainField:
         return np.stack([self.emit[f].sum(axis=0) for f in features])
 
     def fit(self, data: list, steps: int = 120, rate: float = 0.5, decay: float = 1e-3) -> ChainField:
-        encoded = [([token_features(t, k, l, r) for k in range(len(t))], s) for t, s, l, r in data]
+        """All runs at once, padded to the longest; forward and backward sums go token by token over the batch."""
+        data = [row for row in data if row[0]]
+        n, wide = len(data), max(len(t) for t, _, _, _ in data)
+        encoded = [[token_features(t, k, l, r) for k in range(len(t))] for t, _, l, r in data]
+        deep = max(len(f) for features in encoded for f in features)
+        ids = np.full((n, wide, deep), SPACE)  # an extra row of zeros
+        states = np.zeros((n, wide), np.int64)
+        here = np.zeros((n, wide), bool)
+        for i, (features, (_, own, _, _)) in enumerate(zip(encoded, data)):
+            here[i, : len(own)] = True
+            states[i, : len(own)] = own
+            for k, f in enumerate(features):
+                ids[i, k, : len(f)] = f
+        truth = np.eye(N_STATES)[states] * here[:, :, None]
+        last = here.sum(axis=1) - 1
+        row = np.arange(n)
         g_emit, g_move = np.zeros_like(self.emit), np.zeros_like(self.move)
         for _ in range(steps):
+            u = np.append(self.emit, np.zeros((1, N_STATES)), axis=0)[ids].sum(axis=2)
+            move = self.move + self.rule
+            alpha, beta = np.zeros((n, wide, N_STATES)), np.zeros((n, wide, N_STATES))
+            alpha[:, 0] = u[:, 0] + move[-1]
+            for k in range(1, wide):
+                alpha[:, k] = u[:, k] + _logsum(alpha[:, k - 1, :, None] + move[:-1], 1)
+            for k in range(wide - 2, -1, -1):
+                after = _logsum(move[:-1] + (u[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
+                beta[:, k] = np.where(here[:, k + 1, None], after, 0)
+            z = _logsum(alpha[row, last], 1)
+            change = truth - np.exp(np.minimum(alpha + beta - z[:, None, None], 0)) * here[:, :, None]
             d_emit, d_move = -decay * self.emit, -decay * self.move
-            for features, states in encoded:
-                u = self.potentials(features)
-                move = self.move + self.rule
-                n = len(u)
-                alpha, beta = np.zeros((n, N_STATES)), np.zeros((n, N_STATES))
-                alpha[0] = u[0] + move[-1]
-                for k in range(1, n):
-                    alpha[k] = u[k] + _logsum(alpha[k - 1][:, None] + move[:-1], 0)
-                for k in range(n - 2, -1, -1):
-                    beta[k] = _logsum(move[:-1] + (u[k + 1] + beta[k + 1])[None, :], 1)
-                z = _logsum(alpha[-1], 0)
-                marginal = np.exp(alpha + beta - z)
-                for k in range(n):
-                    change = -marginal[k]
-                    change[states[k]] += 1
-                    np.add.at(d_emit, features[k], change)
-                    if k == 0:
-                        d_move[-1] += change
-                        continue
-                    both = np.exp(alpha[k - 1][:, None] + move[:-1] + (u[k] + beta[k])[None, :] - z)
-                    d_move[:-1] -= both
-                    d_move[states[k - 1], states[k]] += 1
+            flat = ids[here].ravel()
+            for s in range(N_STATES):
+                weights = np.repeat(change[here][:, s], deep)
+                d_emit[:, s] += np.bincount(flat, weights, minlength=SPACE + 1)[:SPACE]
+            d_move[-1] += change[:, 0].sum(axis=0)
+            for k in range(1, wide):
+                some = here[:, k]
+                both = alpha[some, k - 1, :, None] + move[:-1] + (u[some, k] + beta[some, k])[:, None, :] - z[some, None, None]
+                d_move[:-1] -= np.exp(both).sum(axis=0)
+                np.add.at(d_move, (states[some, k - 1], states[some, k]), 1)
             g_emit += d_emit**2
             g_move += d_move**2
             self.emit += rate * d_emit / (np.sqrt(g_emit) + 1e-6)
@@ -332,8 +348,51 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - most).sum(axis=axis)) + most.squeeze(axis)
 
 
+_PLAIN_NUMBER = re.compile(r"[0-9 ()+./\s-]+")
+
+
+def holds(kind: int, text: str) -> bool:
+    """Whether a text can be one value of its kind, as to its characters and number of digits.
+
+    An email is one token with an at sign inside, an address four small numbers (and a port), a card
+    13 to 19 digits, a phone 7 to 15; cards and phones have no letters.
+    """
+    if kind == 0:
+        return "@" in text[1:-1] and not _SPACE.search(text)
+    if kind == 1:
+        parts = text.partition(":")[0].split(".")
+        return len(parts) == 4 and all(p.isdigit() and p.isascii() and _small(p) for p in parts)
+    least, most = (13, 19) if kind == 2 else (7, 15)
+    return least <= len(_digits(text)) <= most and _PLAIN_NUMBER.fullmatch(text) is not None
+
+
+def _values(text: str, kind: int, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """The values in a run of tokens that the field labels as one: the whole, or else complete ones from the left.
+
+    A card of right check digit goes before a longer run of digits.
+    """
+
+    def trimmed(i: int, j: int) -> tuple[int, int]:
+        a, b = tokens[i][0], tokens[j][1]
+        a += _core(text[a : tokens[i][1]])[1] if text[a] != "+" else 0
+        return a, tokens[j][0] + _core(text[tokens[j][0] : b])[2]
+
+    i = 0
+    while i < len(tokens):
+        # No value has more tokens than digits.
+        spans = [(j, *trimmed(i, j)) for j in range(i, min(len(tokens), i + 19))]
+        fits = [(j, a, b) for j, a, b in spans if a < b and holds(kind, text[a:b])]
+        checked = [x for x in fits if kind == 2 and luhn(_digits(text[x[1] : x[2]]))]
+        if not fits:
+            i += 1
+            continue
+        j, a, b = (checked or fits)[-1]
+        yield a, kind, b
+        i = j + 1
+
+
 def field_spans(texts: list[str], base: list[list[tuple]], field: ChainField) -> list[list[tuple[int, int, int]]]:
-    """Spans of the field that touch no base span and hold at least seven digits or an at sign."""
+    """Spans of the field that touch no base span and can hold a value of their kind."""
     places, encoded = [], []
     for i, text in enumerate(texts):
         if text and _MARK.search(text):
@@ -351,14 +410,9 @@ def field_spans(texts: list[str], base: list[list[tuple]], field: ChainField) ->
             end = k + 1
             while end < len(run) and states[end] == states[k] + (states[k] % 2) and states[end] % 2 == 0:
                 end += 1
-            text, kind = texts[i], (int(states[k]) - 1) // 2
-            a, b = run[k][0], run[end - 1][1]
-            a += _core(text[a : run[k][1]])[1] if text[a] != "+" else 0
-            b = run[end - 1][0] + _core(text[run[end - 1][0] : b])[2]
-            inside = text[a:b]
-            enough = "@" in inside[1:-1] if kind == 0 else len(_digits(inside)) >= (4 if kind == 1 else 7)
-            if a < b and enough and not any(s < b and a < e for s, _, e in base[i]):
-                out[i].append((a, kind, b))
+            for a, kind, b in _values(texts[i], (int(states[k]) - 1) // 2, run[k:end]):
+                if not any(s < b and a < e for s, _, e in base[i]):
+                    out[i].append((a, kind, b))
             k = end
     return out
 

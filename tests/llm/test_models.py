@@ -77,6 +77,18 @@ def test_field(field):
         assert list(got) == states, tokens
 
 
+def test_spans_of_the_field_can_be_values(field):
+    for seed, n in ((100, 40), (5, 200), (7, 3000)):
+        text = prose(seed, n)
+        assert pii.field_spans([text], [pii.base_spans(text)], field) == [[]]
+    text = "charge 4242 4242 4242 4241 5555 5555 5555 4444 again"
+    run = [(m.start(), m.end()) for m in re.finditer(r"[0-9]+", text)]
+    assert [text[a:b] for a, _, b in pii._values(text, 2, run)] == ["4242 4242 4242 4241", "5555 5555 5555 4444"]
+    assert list(pii._values("a1 b2 c3 d4 e5 f6 g7 h8", 3, [(3 * k, 3 * k + 2) for k in range(8)])) == []
+    assert pii.holds(3, "+1 (202) 555-0143") and not pii.holds(3, "river1 202 555 0143") and not pii.holds(2, "4242 4242")
+    assert pii.holds(1, "192.0.2.7:80") and not pii.holds(1, "1.2.3") and not pii.holds(0, "a@b c")
+
+
 def test_field_on_held_out_lines():
     for kind, (precision, recall, n) in pii.held_out_report().items():
         assert n >= 4 and precision >= 0.6 and recall >= 0.75, kind
@@ -234,6 +246,11 @@ def test_fit_sample_is_bounded_by_bytes(spark, monkeypatch):
     long_ = docs.where("doc_id = 1002").withColumn("doc_id", F.lit(1).cast("long"))
     quality.fit(long_, labels)
     assert seen[2] == (-(-len(prose(7, 5000)) // 512), 1)  # every passage
+    # Too long documents are skipped wherever they come; of only such ones the shortest is taken.
+    two = docs.where("doc_id < 60").unionByName(long_.withColumn("doc_id", F.lit(1).cast("long")))
+    quality.fit(two, labels, most_bytes=6000)
+    assert seen[3][1] > 1
+    assert quality.fit(long_, labels, most_bytes=100) is not None and seen[4][1] == 1
 
 
 def test_attention_gradient():
