@@ -131,7 +131,8 @@ def balanced_shards(docs: DataFrame, n_shards: int = 16, text: str = "text", key
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
         F.coalesce(text_digest(text), F.lit(b"")).alias("gkey"),
     )
-    rows = written(rows, "shard-rows")
+    # Numbered in a written table: each file comes from one attempt, so the numbers don't change any more.
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
     groups = rows.groupBy("gkey").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     groups = written(groups, "shard-groups")
     total = groups.agg(F.sum("bytes"), F.count(F.lit(1)), F.sum("n")).first()
@@ -144,7 +145,8 @@ def balanced_shards(docs: DataFrame, n_shards: int = 16, text: str = "text", key
             "gkey", F.least(F.col("n"), F.ceil(F.col("bytes") * 8 / share)).cast("long").alias("pieces")
         )
     )
-    piece = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.lit(0)).alias("piece")
+    # By row, not by id: rows that share an id, or have none, can be parted too.
+    piece = F.coalesce(F.pmod(F.col("row"), F.col("pieces")), F.lit(0)).alias("piece")
     cut = (
         rows.join(heavy, "gkey")
         .select("gkey", piece, "size")

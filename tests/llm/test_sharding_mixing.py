@@ -22,6 +22,19 @@ def test_differencing():
     assert all(sorted(s) == list(range(16)) for s in shard) and sharding.difference([], 4) == []
 
 
+def test_one_row_repeated_is_divided(spark):
+    """Copies that share an id, or have none, are rows of their own: the law of bytes holds for them too."""
+    for key in (7, None):
+        rows = [(key, "x" * 100)] * 320 + [(100 + i, "y" * i) for i in range(32)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        found = sharding.balanced_shards(docs, 16).collect()
+        assert len(found) == len(rows)
+        sums = np.bincount([r["shard"] for r in found], weights=[r["size"] for r in found], minlength=16)
+        assert sums.max() - sums.min() <= 101
+        for shard in range(16):
+            assert sorted(r["slot"] for r in found if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in found)))
+
+
 def test_shards(spark, docs, texts, monkeypatch):
     monkeypatch.setattr(sharding, "GROUPS_PER_TASK", 8)
     monkeypatch.setattr(sharding, "ROWS_PER_BLOCK", 3)
