@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,10 +150,11 @@ def held_out(key: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES) -> AttentionMIL | None:
     """A model of labels.quality from a bounded sample of labelled documents that are not held out.
 
-    The sample is that of the labels of least xxhash64(doc_id): ``limit`` at most, up to the
-    document with which their texts would exceed ``most_bytes``; every passage of a sampled
-    text counts. Null keys, qualities and texts are left out; repeated labels of a document
-    count by their least value. None without a label.
+    The sample is that of the labels of least xxhash64(doc_id): ``limit`` at most, without the
+    documents with which the texts would exceed ``most_bytes`` (of documents that all do, the
+    shortest is taken); every passage of a sampled text counts. Null keys, qualities and texts
+    are left out; repeated labels of a document count by their least value. None without a
+    labelled text.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
     sample = (
@@ -164,11 +165,17 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS, most_byt
     )
     sample = F.broadcast(written(sample, "quality-sample"))
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    # At most ``limit`` rows in one window.
     sizes = texts.select("doc_id", F.octet_length("text").alias("bytes")).join(sample, "doc_id")
     sizes = sizes.groupBy("doc_id", "quality").agg(F.sum("bytes").alias("bytes"))
-    so_far = F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("doc_id", "quality")
+    # At most ``limit`` rows.
+    known = sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    some, total = [], 0
+    for row in known:
+        if total + row["bytes"] <= most_bytes:
+            some.append(row)
+            total += row["bytes"]
+    some = some or sorted(known, key=lambda r: r["bytes"])[:1]
+    chosen = docs.sparkSession.createDataFrame(some, sizes.schema).select("doc_id", "quality")
     bags = bounded_batches(texts).join(F.broadcast(chosen), "doc_id")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
