@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.scalars import BM25_SEED_WEIGHT, name_like, name_tier, short_name, type_multiplier
-from tarn.operators.lexical import BROADCAST_TERMS, normalised, sent
+from tarn.functions.scalars import BM25_SEED_WEIGHT, name_tier, short_name, type_multiplier
+from tarn.operators.lexical import normalised, sent
+from tarn.operators.names import matches
+from tarn.sources.scratch import written
 
 CALLABLE = ("function", "method")
 TYPES = ("class", "interface")
@@ -43,20 +45,32 @@ def contains_edges(chunks: DataFrame) -> DataFrame:
     )
 
 
-def heritage_edges(chunks: DataFrame) -> DataFrame:
-    """Extends and implements, resolved when exactly one class or interface has the name."""
+def _unique_types(chunks: DataFrame) -> DataFrame:
+    """(to_name, to_id) of the classes and interfaces whose name is theirs alone."""
     kinds = chunks.where(F.col("chunk_type").isin(*TYPES))
-    unique = (
+    return (
         kinds.groupBy("name")
         .agg(F.count(F.lit(1)).alias("n"), F.first("chunk_id").cast("string").alias("to_id"))
         .where("n = 1")
         .select(F.col("name").alias("to_name"), "to_id")
     )
+
+
+def heritage_edges(chunks: DataFrame, unique: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Extends and implements, resolved when exactly one class or interface has the name.
+
+    ``unique`` (to_name, to_id) are the names of the whole corpus, if ``chunks`` are a part of it;
+    ``asked`` (to_name) restricts the edges to these names.
+    """
+    kinds = chunks.where(F.col("chunk_type").isin(*TYPES))
+    unique = _unique_types(chunks) if unique is None else unique
     out = None
     for kind, field in (("extends", "extendsNames"), ("implements", "implementsNames")):
         wanted = kinds.select(
             F.col("chunk_id").cast("string").alias("from_chunk_id"), F.explode(f"metadata.{field}").alias("to_name")
         )
+        if asked is not None:
+            wanted = wanted.join(asked, "to_name", "left_semi")
         edges = wanted.join(unique, "to_name", "left").select(
             *_edge(kind, F.col("to_id"), F.col("to_name"), F.col("to_id").isNotNull())
         )
@@ -77,16 +91,17 @@ def call_names(chunks: DataFrame) -> DataFrame:
     )
 
 
-def call_edges(chunks: DataFrame) -> DataFrame:
+def call_edges(chunks: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Callable to callable whose short name stands as a whole word in its content.
 
     Identifiers are taken from each content once and joined by equality. Names with other
-    characters are few; only they are searched for one by one.
+    characters are few; only they are searched for one by one. ``names`` (short, to_id) are the
+    callables looked for; without, those of ``chunks``.
     """
     source = chunks.where(F.col("chunk_type").isin(*CALLABLE)).select(
         F.col("chunk_id").cast("string").alias("from_chunk_id"), "content"
     )
-    names = call_names(chunks)
+    names = call_names(chunks) if names is None else names
     plain = F.col("short").rlike("^[A-Za-z0-9_]+$")
     # Other names are looked up by the rarest of their plain pieces, then compared as a whole.
     odd = names.where(~plain)
@@ -123,19 +138,77 @@ def edges(chunks: DataFrame) -> DataFrame:
     return found.dropDuplicates(["edge_id"])
 
 
+def _owners(chunks: DataFrame) -> DataFrame:
+    """(kind, name, id): what an edge can resolve to, types by name and callables by short name."""
+    chunk = F.col("chunk_id").cast("string").alias("id")
+    types = chunks.where(F.col("chunk_type").isin(*TYPES)).select(F.lit("type").alias("kind"), "name", chunk)
+    short = short_name(F.col("name"))
+    calls = chunks.where(F.col("chunk_type").isin(*CALLABLE)).select(F.lit("call").alias("kind"), short.alias("name"), chunk)
+    return types.unionByName(calls.where(F.length("name") >= MIN_CALL_NAME))
+
+
+def _alone(owners: DataFrame, as_: str) -> DataFrame:
+    """(kind, name, id) of the names with one owner."""
+    found = owners.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"), F.first("id").alias(as_))
+    return found.where("n = 1").drop("n")
+
+
+def changed_names(others: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(kind, name, to_id): names whose only owner changes when the chunks ``old`` become ``new``; to_id: the new one, if any.
+
+    Of the other chunks only names that ``old`` or ``new`` have are counted.
+    """
+    asked = _owners(old).unionByName(_owners(new)).select("kind", "name").distinct()
+    rest = _owners(others).join(asked, ["kind", "name"], "left_semi")
+    before, after = _alone(rest.unionByName(_owners(old)), "was"), _alone(rest.unionByName(_owners(new)), "to_id")
+    both = asked.join(before, ["kind", "name"], "left").join(after, ["kind", "name"], "left")
+    return both.where(~F.col("was").eqNullSafe(F.col("to_id"))).select("kind", "name", "to_id")
+
+
+def edge_changes(others: DataFrame, old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fresh, names): what is to add to the edges when the chunks ``old`` of some documents become ``new``.
+
+    ``others`` are the chunks of all other documents. ``fresh`` are the edges from ``new`` chunks, and
+    those from others to a name of ``names`` (kind, name, to_id). Stored edges from ``old`` chunks
+    and to these names are to go. Contents of others are only read if a name has a new owner.
+    """
+    names = written(changed_names(others, old, new), "edge-names")
+    everyone = others.select("chunk_id", "chunk_type", "name").unionByName(new.select("chunk_id", "chunk_type", "name"))
+    types = names.where("kind = 'type'").select(F.col("name").alias("to_name"), "to_id")
+    fresh = contains_edges(new).unionByName(heritage_edges(new, _unique_types(everyone))).unionByName(call_edges(new, call_names(everyone)))
+    fresh = fresh.unionByName(heritage_edges(others, types.where("to_id is not null"), types.select("to_name")))
+    calls = names.where("kind = 'call' and to_id is not null").select(F.col("name").alias("short"), "to_id")
+    if not calls.isEmpty():
+        fresh = fresh.unionByName(call_edges(others, calls))
+    return fresh.dropDuplicates(["edge_id"]), names
+
+
+def outdated(edge_rows: DataFrame, old: DataFrame, names: DataFrame) -> DataFrame:
+    """The stored edges that ``edge_changes`` replaces: from ``old`` chunks, or to a changed name."""
+    gone = old.select(F.col("chunk_id").cast("string").alias("from_chunk_id"), F.lit(True).alias("gone")).distinct()
+    kind = F.when(F.col("edge_type") == "calls", "call").when(F.col("edge_type").isin("extends", "implements"), "type")
+    named = names.select("kind", F.col("name").alias("to_name"), F.lit(True).alias("named"))
+    marked = edge_rows.withColumn("kind", kind).join(gone, "from_chunk_id", "left").join(named, ["kind", "to_name"], "left")
+    return marked.where(F.col("gone") | F.col("named")).select(*edge_rows.columns)
+
+
+def updated_edges(edge_rows: DataFrame, others: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """All edges of ``others`` and ``new``, from those of ``others`` and ``old``."""
+    fresh, names = edge_changes(others, old, new)
+    gone = outdated(edge_rows, old, names).select("edge_id").distinct()
+    return edge_rows.join(gone, "edge_id", "left_anti").unionByName(fresh.select(*edge_rows.columns)).dropDuplicates(["edge_id"])
+
+
 def name_seeds(chunks: DataFrame, queries: DataFrame, limit: int = SEEDS, escape: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, seed): per query token the shortest matching names, best tiers kept.
 
-    A chunk keeps the tier of the first token that found it. ``queries`` (query_id, text) is a
-    stated set of queries: its tokens go to every task, so their number is checked.
+    A chunk keeps the tier of the first token that found it. ``queries`` is (query_id, text), any number.
     """
     words = queries.select("query_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("at", "token"))
     words = words.where(F.length("token") >= 2)
     words = words.groupBy("query_id", "token").agg(F.min("at").alias("at"))
-    if words.count() > BROADCAST_TERMS:
-        raise ValueError(f"more than {BROADCAST_TERMS} query tokens; search for names in several calls")
     named = chunks.select(F.col("chunk_id"), "name")
-    hits = named.join(F.broadcast(words), name_like(F.col("name"), F.col("token"), escape))
+    hits = matches(named, words, escape).join(words, ["query_id", "token"]).join(named, "name")
     nearest = F.row_number().over(
         Window.partitionBy("query_id", "token").orderBy(F.length("name"), "chunk_id")
     )

@@ -1,4 +1,4 @@
-"""The incremental indexing pipeline: scan, compare, parse, postings, edges, one commit."""
+"""The incremental indexing pipeline: scan, compare, parse, postings, edges, one commit of the buckets that change."""
 
 from __future__ import annotations
 
@@ -16,10 +16,15 @@ from tarn.operators import graph, lexical, vector
 from tarn.operators.lookup import write_project_map
 from tarn.sources import files as scanner
 from tarn.sources.embedding import Provider, embedded
-from tarn.sources.store import Store, upserted, without_documents
+from tarn.sources.scratch import written
+from tarn.sources.store import Conflict, Store, upserted, without_documents
 from tarn.sources.symbols import chunk_rows, parsed
 
 
+#: How often a job's row is tried to be added while other jobs end.
+LOG_TRIES = 5
+
+
 @dataclass
 class Job:
     path: str
@@ -58,55 +63,91 @@ def index(
     job.seconds = time.time() - began
     row = (job.job_id, path, job.status, job.message, job.new, job.changed, job.unchanged, job.failed, started, job.seconds)
     log = store.spark.createDataFrame([row], schemas.JOBS)
-    store.commit(jobs=store.table("jobs").unionByName(log))
+    for _ in range(LOG_TRIES):
+        try:
+            store.commit(jobs=store.table("jobs").unionByName(log))
+            break
+        except Conflict:  # another job has ended just now: its tables and its row stay
+            store.refresh()
+        except Exception as failure:
+            job.status, job.message = "failed", job.message or f"{type(failure).__name__}: {failure}"[:2000]
+            break
     return job
 
 
 def _index(store: Store, job: Job, force: bool, prune: bool, max_bytes: int, exclude: tuple[str, ...]) -> None:
-    spark = store.spark
-    found = scanner.scan(spark, job.path, max_bytes, exclude)
-    kept = found.where(F.col("skip_reason").isNull() & F.col("language").isNotNull())
-    kept = kept.select("path", "language", "size_bytes")
-    read = scanner.with_text(kept, job.path).where(F.col("text").isNotNull()).withColumnRenamed("path", "source_path")
-    texts = read.withColumn("checksum", scanner.checksum(F.col("text"))).persist()
-    documents = store.table("documents")
-    status = scanner.change_status(texts, documents, force)
-    counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
-    job.unchanged = counts.get("unchanged", 0)
-    work = status.where(F.col("status") != "unchanged")
-    tables = {n: store.table(n) for n in ("documents", "chunks", "postings", "embeddings", "edges")}
-    gone = None
-    if prune:
-        gone = vanished(documents, texts, job.path)
-    touched = counts.get("new", 0) + counts.get("changed", 0)
-    if not touched and (gone is None or gone.isEmpty()):
-        return
-    symbols = parsed(work).persist()
-    errors = symbols.where(F.col("error").isNotNull()).select("source_path")
-    fine = work.join(errors, "source_path", "left_anti")
-    done = {r["status"]: r["count"] for r in fine.groupBy("status").count().collect()}
-    job.new, job.changed = done.get("new", 0), done.get("changed", 0)
-    job.failed = touched - job.new - job.changed
-    fresh = chunk_rows(symbols)
-    sizes = fresh.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-    imports = symbols.where(F.col("name").isNull()).select("source_path", "imports")
-    now = F.current_timestamp()
-    incoming = (
-        fine.withColumn("document_id", F.sha2("source_path", 256))
-        .join(sizes, "document_id", "left")
-        .join(imports, "source_path", "left")
-        .select(
-            "document_id", "source_path", F.lit("filesystem").alias("source_type"), F.lit("code").alias("document_type"),
-            "language", basename(F.col("source_path")).alias("name"), "checksum", "size_bytes",
-            F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"), F.lit(job.job_id).alias("job_id"),
-            "imports", now.alias("created_at"), now.alias("updated_at"),
-        )
-    )
+    spark, kept_open = store.spark, []
+    try:
+        found = scanner.scan(spark, job.path, max_bytes, exclude)
+        kept = found.where(F.col("skip_reason").isNull() & F.col("language").isNotNull())
+        kept = kept.select("path", "language", "size_bytes")
+        read = scanner.with_text(kept, job.path).where(F.col("text").isNotNull()).withColumnRenamed("path", "source_path")
+        texts = read.withColumn("checksum", scanner.checksum(F.col("text"))).persist()
+        kept_open.append(texts)
+        documents = store.table("documents")
+        status = scanner.change_status(texts, documents, force)
+        counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
+        job.unchanged = counts.get("unchanged", 0)
+        work = status.where(F.col("status") != "unchanged")
+        gone = vanished(documents, texts, job.path) if prune else None
+        touched = counts.get("new", 0) + counts.get("changed", 0)
+        if not touched and (gone is None or gone.isEmpty()):
+            return
+        symbols = parsed(work).persist()
+        kept_open.append(symbols)
+        errors = symbols.where(F.col("error").isNotNull()).select("source_path")
+        fine = work.join(errors, "source_path", "left_anti")
+        done = {r["status"]: r["count"] for r in fine.groupBy("status").count().collect()}
+        job.new, job.changed = done.get("new", 0), done.get("changed", 0)
+        job.failed = touched - job.new - job.changed
+        fresh = chunk_rows(symbols)
+        sizes = fresh.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+        imports = symbols.where(F.col("name").isNull()).select("source_path", "imports")
+        now = F.current_timestamp()
+        incoming = (
+            fine.withColumn("document_id", F.sha2("source_path", 256))
+            .join(sizes, "document_id", "left")
+            .join(imports, "source_path", "left")
+            .select(
+                "document_id", "source_path", F.lit("filesystem").alias("source_type"), F.lit("code").alias("document_type"),
+                "language", basename(F.col("source_path")).alias("name"), "checksum", "size_bytes",
+                F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"), F.lit(job.job_id).alias("job_id"),
+                "imports", now.alias("created_at"), now.alias("updated_at"),
+            )
+        )
+        apply(store, incoming, fresh, gone)
+        write_project_map(store.table("documents"), store.table("chunks"), f"{store.path}-project-map.txt", job.path)
+    finally:
+        for table in kept_open:
+            table.unpersist()
+
+
+def apply(store: Store, incoming: DataFrame, fresh: DataFrame, gone: DataFrame | None = None) -> None:
+    """Commit new and changed documents ``incoming`` with their chunks ``fresh``, and the deletion of ``gone``.
+
+    Only buckets that hold one of these documents are read and written, and of edges those whose
+    resolution changes; names of other chunks are read, their contents if a name they may call has a new owner.
+    """
+    changed = incoming.select("document_id") if gone is None else incoming.select("document_id").unionByName(gone)
+    changed = written(changed.distinct(), "changed-documents")
+    touched = store.touched(changed)
+    incoming, fresh = (df.withColumn("bucket", store.bucket()) for df in (incoming, fresh))
+    fresh = written(fresh, "fresh-chunks")
+    tables = {n: store.table(n, touched, with_bucket=True) for n in ("documents", "chunks", "postings", "embeddings")}
     out = reindexed(tables, incoming, fresh, gone)
-    store.commit(**out | {"edges": lambda staged: graph.edges(staged["chunks"])})
-    write_project_map(store.table("documents"), store.table("chunks"), f"{store.path}-project-map.txt", job.path)
-    symbols.unpersist()
-    texts.unpersist()
+    chunks = store.table("chunks", with_bucket=True)
+    others, old = chunks.join(changed, "document_id", "left_anti"), tables["chunks"].join(changed, "document_id", "left_semi")
+    more, names = graph.edge_changes(others, old, fresh)
+    home = others.select("chunk_id", "document_id").unionByName(fresh.select("chunk_id", "document_id"))
+    more = written(store.with_home(more, home, "from_chunk_id"), "fresh-edges")
+    stored = store.table("edges", with_bucket=True)
+    flipped = more.select("bucket").unionByName(graph.outdated(stored, old, names).select("bucket")).distinct()
+    # At most as many numbers as the store has buckets.
+    buckets = sorted({*touched, *(r[0] for r in flipped.collect())})
+    here = store.table("edges", buckets, with_bucket=True)
+    left = here.join(graph.outdated(here, old, names).select("edge_id").distinct(), "edge_id", "left_anti")
+    out["edges"] = left.unionByName(more.select(*here.columns)).dropDuplicates(["edge_id"])
+    store.commit(**{n: (t, touched) for n, t in out.items() if n != "edges"}, edges=(out["edges"], buckets))
 
 
 def vanished(documents: DataFrame, listing: DataFrame, root: str) -> DataFrame:
@@ -131,10 +172,13 @@ def reindexed(
     merged = upserted(documents, incoming, "source_path", kept=("document_id", "created_at", "language", "name"))
     if gone is not None:
         merged = merged.join(gone, "document_id", "left_anti")
+    found = lexical.postings(fresh)
+    if "bucket" in fresh.columns:
+        found = found.join(fresh.select("chunk_id", "bucket"), "chunk_id")
     return {
         "documents": merged,
-        "chunks": rest["chunks"].unionByName(fresh),
-        "postings": rest["postings"].unionByName(lexical.postings(fresh)),
+        "chunks": rest["chunks"].unionByName(fresh.select(*rest["chunks"].columns)),
+        "postings": rest["postings"].unionByName(found.select(*rest["postings"].columns)),
         "embeddings": rest["embeddings"],
     }
 
@@ -142,23 +186,32 @@ def reindexed(
 def embed_document(store: Store, provider: Provider, document_id: str) -> int:
     """Embed all chunks of one document again, without the breadcrumb line; their number."""
     chunks = store.table("chunks").where(F.col("document_id") == document_id)
-    fresh = embedded(vector.embedding_texts(chunks, with_breadcrumb=False), provider)
-    store.commit(embeddings=upserted(store.table("embeddings"), fresh, "chunk_id", kept=("created_at",)))
-    return chunks.count()
+    return _embed(store, provider, chunks, with_breadcrumb=False)
 
 
 def embed_pending(store: Store, provider: Provider) -> int:
     """Embed the chunks without a vector; their number."""
-    todo = vector.pending(store.table("chunks"), store.table("embeddings"))
-    n = todo.count()
+    return _embed(store, provider, vector.pending(store.table("chunks"), store.table("embeddings")))
+
+
+def _embed(store: Store, provider: Provider, chunks: DataFrame, with_breadcrumb: bool = True) -> int:
+    n = chunks.count()
     if n:
-        fresh = embedded(vector.embedding_texts(todo), provider)
-        store.commit(embeddings=upserted(store.table("embeddings"), fresh, "chunk_id", kept=("created_at",)))
+        buckets = store.touched(chunks)
+        fresh = store.with_home(embedded(vector.embedding_texts(chunks, with_breadcrumb=with_breadcrumb), provider), chunks)
+        merged = upserted(store.table("embeddings", buckets, with_bucket=True), fresh, "chunk_id", kept=("created_at",))
+        store.commit(embeddings=(merged, buckets))
     return n
 
 
 def rebuild_postings(store: Store) -> None:
-    store.commit(postings=lexical.postings(store.table("chunks")))
+    chunks = store.table("chunks")
+    store.commit(postings=store.with_home(lexical.postings(chunks), chunks))
+
+
+def rebuild_edges(store: Store) -> None:
+    chunks = store.table("chunks")
+    store.commit(edges=store.with_home(graph.edges(chunks), chunks, "from_chunk_id"))
 
 
 def statistics(spark: SparkSession, store: Store) -> dict[str, DataFrame | int]:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tarn.functions import scalars
 from tarn.functions.tokenize import camel_parts, emitted, terms, tokens
-from tarn.operators import graph, hybrid, lexical, lookup, vector
+from tarn.operators import graph, hybrid, lexical, lookup, names, vector
 from tarn.plans import tables
 from tarn.sources import files, store
+from tarn.sources.scratch import written
 
 QUERY = "Apache License thing Version onble"
 SYMBOL_QUERY = "NATION_7 asia Supplier"
@@ -98,7 +99,8 @@ def hydrate_chunks(spark, d):
 def name_match(spark, d):
     chunks = tables.chunks(spark, d)
     asked = _queries(spark, "thing", "on", "eau")
-    hits = chunks.join(F.broadcast(asked), scalars.name_like(F.col("name"), F.col("text")))
+    found = names.matches(chunks, asked.withColumnRenamed("text", "token")).withColumnRenamed("token", "text")
+    hits = chunks.select("chunk_id", "name").join(found, "name")
     out = lookup.ranked_within(hits, "query_id", F.length("name"), "chunk_id").where("rank <= 20")
     return out.select("query_id", "chunk_id", "name", scalars.name_tier(F.col("name"), F.col("text")).alias("tier"), "rank")
 
@@ -246,18 +248,20 @@ def graph_seeds(spark, d):
 def _seeds(spark, d):
     chunks, asked = tables.graph_chunks(spark, d), _queries(spark, SYMBOL_QUERY)
     lexical_rows = lexical.search_batch(lexical.Index.build(chunks), asked, graph.SEEDS)
-    return chunks, graph.all_seeds(graph.name_seeds(chunks, asked), lexical_rows)
+    # Seeds and edges are used level by level, so each is made once.
+    seeds = written(graph.all_seeds(graph.name_seeds(chunks, asked), lexical_rows), "seeds")
+    return chunks, seeds, written(graph.edges(chunks), "edges")
 
 
 def graph_expansion(spark, d):
-    chunks, seeds = _seeds(spark, d)
-    found = graph.expanded(seeds, graph.edges(chunks))
+    _, seeds, edges = _seeds(spark, d)
+    found = graph.expanded(seeds, edges)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "level")
 
 
 def graph_search(spark, d):
-    chunks, seeds = _seeds(spark, d)
-    return _ranked(graph.search_batch(chunks, graph.edges(chunks), seeds, LIMIT, n_queries=1))
+    chunks, seeds, edges = _seeds(spark, d)
+    return _ranked(graph.search_batch(chunks, edges, seeds, LIMIT, n_queries=1))
 
 
 def type_multipliers(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.operators import graph, hybrid, lexical, lookup, vector
+from tarn.operators import blocks, graph, hybrid, lexical, lookup, vector
 from tarn.schemas import STRATEGIES
 from tarn.sources.embedding import Provider
 from tarn.sources.store import Store
@@ -38,7 +38,7 @@ def search(
     def lexical_rows(n: int, among: DataFrame | None = among) -> DataFrame:
         if not lexical.is_ready(store.table("postings")):
             raise NotReady("no postings; index first")
-        return lexical.search_batch(store.index(), queries, n, among)
+        return blocks.search_batch(store.index(), queries, n, among)
 
     def vector_rows(n: int) -> DataFrame:
         if provider is None or not vector.check_ready(store.table("embeddings"), provider.dimensions):

@@ -114,7 +114,7 @@ def update_checksum(spark, d):
 def migrate_postings(spark, d):
     """Postings of the layout without lengths, brought up to the present one."""
     old = lexical.postings(tables.chunks(spark, d)).drop("doc_len")
-    return store.MIGRATIONS[1]["postings"](old).select("chunk_id", "term", "frequency", "doc_len")
+    return lexical.with_lengths(old).select("chunk_id", "term", "frequency", "doc_len")
 
 
 def _metadata():

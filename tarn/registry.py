@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.plans import oracles, registered, upkeep
+from tarn.plans import oracles, registered, stored, upkeep
 
-QUERIES = registered.QUERIES | upkeep.QUERIES
-ORACLES = oracles.ORACLES | upkeep.ORACLES
+QUERIES = registered.QUERIES | upkeep.QUERIES | stored.QUERIES
+ORACLES = oracles.ORACLES | upkeep.ORACLES | stored.ORACLES

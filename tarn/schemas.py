@@ -10,7 +10,7 @@ CHUNK_TYPES = (
 LANGUAGES = ("typescript", "javascript", "python", "java", "unknown")
 STRATEGIES = ("bm25", "vector", "hybrid", "graph")
 #: Version of the layout below; an older store is brought up to it, a newer one refused.
-VERSION = 2
+VERSION = 3
 
 METADATA = T.StructType(
     [
@@ -85,6 +85,40 @@ EDGES = T.StructType(
         T.StructField("resolved", T.BooleanType()),
     ]
 )
+#: Blocks of a term's postings in a bucket, with what bounds their scores.
+BLOCKS = T.StructType(
+    [
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("term", T.StringType()),
+        T.StructField("tier", T.IntegerType()),
+        T.StructField("block", T.IntegerType()),
+        T.StructField("low", T.StringType()),
+        T.StructField("high", T.StringType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("most", T.LongType()),
+        T.StructField("spread", T.DoubleType()),
+        T.StructField(
+            "postings",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("chunk_id", T.StringType()),
+                        T.StructField("frequency", T.LongType()),
+                        T.StructField("doc_len", T.LongType()),
+                    ]
+                )
+            ),
+        ),
+    ]
+)
+#: A bucket's chunks with a term, and the sum of their lengths.
+STATISTICS = T.StructType(
+    [
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("terms", T.LongType()),
+    ]
+)
 JOBS = T.StructType(
     [
         T.StructField("job_id", T.StringType()),
@@ -105,5 +139,7 @@ TABLES = {
     "embeddings": EMBEDDINGS,
     "postings": POSTINGS,
     "edges": EDGES,
+    "blocks": BLOCKS,
+    "statistics": STATISTICS,
     "jobs": JOBS,
 }

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn import cli
-from tarn.operators import graph, lookup
+from tarn import schemas
+from tarn.operators import blocks, graph, lookup
 from tarn.plans import indexing, search, tools
 from tarn.sources import files, store, symbols
 from tarn.sources.contexts import ContextError, Contexts
@@ -71,20 +72,46 @@ def test_classified_listing(spark):
 
 
 def test_older_layout(spark, tmp_path):
-    st = store.Store(spark, str(tmp_path / "s"))
-    rows = [("a", "x", 2, 3), ("a", "y", 1, 3), ("b", "x", 4, 4)]
-    st.commit(postings=spark.createDataFrame(rows, "chunk_id string, term string, frequency long, doc_len long"))
-    st.table("postings").drop("doc_len").write.parquet(f"{st.path}/old")
-    manifest = tmp_path / "s" / store.MANIFEST
-    (tmp_path / "s" / f".{store.MANIFEST}.crc").unlink(missing_ok=True)
-    manifest.write_text(json.dumps({"version": 1, "tables": st.manifest["tables"] | {"postings": "old"}}))
-    new = store.Store(spark, st.path)
+    """Stores of earlier layouts, one manifest and no buckets, are brought up to date in one commit."""
+    root = tmp_path / "s"
+    rows = [("c1", "alpha", 2, 3), ("c1", "beta", 1, 3), ("c2", "beta", 1, 1)]
+    spark.createDataFrame(rows, "chunk_id string, term string, frequency long, doc_len long").drop("doc_len").write.parquet(f"{root}/old")
+    (root / store.OLD_MANIFEST).write_text(json.dumps({"version": 1, "tables": {"postings": "old"}}))
+    new = store.Store(spark, str(root))
     assert sorted(r[:] for r in new.table("postings").collect()) == rows
-    assert store.Store(spark, st.path).manifest["version"] == 2
-    (tmp_path / "s" / f".{store.MANIFEST}.crc").unlink(missing_ok=True)
-    manifest.write_text(json.dumps({"version": 9, "tables": {}}))
+    again = store.Store(spark, str(root))
+    assert again.manifest == new.manifest and again.manifest["version"] == 3
+    assert [r["chunk_id"] for r in blocks.search(spark, again.index(), "beta").collect()] == ["c2", "c1"]
+    other = tmp_path / "t"
+    other.mkdir()
+    (other / store.OLD_MANIFEST).write_text(json.dumps({"version": 9, "tables": {}}))
     with pytest.raises(ValueError):
-        store.Store(spark, st.path)
+        store.Store(spark, str(other))
+
+
+def test_manifests(spark, tmp_path):
+    """A crash while a manifest is written leaves the state before; of two writers of one number one fails."""
+    st = store.Store(spark, str(tmp_path / "s"), buckets=4)
+    rows = spark.createDataFrame([(f"d{i}", f"/p{i}") for i in range(9)], "document_id string, source_path string")
+    full = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.DOCUMENTS.fields])
+    st.commit(documents=full)
+    (tmp_path / "s" / (store.MANIFEST % 2)).write_text('{"version": 3, "num')
+    again = store.Store(spark, st.path)
+    assert again.manifest == st.manifest and again.table("documents").count() == 9
+    with pytest.raises(store.Conflict):
+        again.commit(documents=full)
+    (tmp_path / "s" / (store.MANIFEST % 2)).unlink()
+    (tmp_path / "s" / f".{store.MANIFEST % 2}.crc").unlink(missing_ok=True)
+    # One bucket is replaced, the others keep their files.
+    bucket = st.touched(full.where("document_id = 'd3'"))
+    kept = st.table("documents", bucket).where("document_id <> 'd3'")
+    again.commit(documents=(kept, bucket))
+    assert sorted(r[0] for r in again.table("documents").select("document_id").collect()) == [f"d{i}" for i in range(9) if i != 3]
+    changed = {b for b, v in st.manifest["tables"]["documents"].items() if again.manifest["tables"]["documents"].get(b) != v}
+    assert changed <= {str(bucket[0])}
+    with pytest.raises(store.Conflict):
+        st.commit(documents=full)
+    assert store.Store(spark, st.path).table("documents").count() == 8
 
 
 TS = """import { E } from 'events'
@@ -278,15 +305,24 @@ def test_index_and_search(spark, tmp_path, monkeypatch):
     before = dict(st.manifest["tables"])
     (code / "utils.py").write_text("def formatDate(d):\n    return d + 2\n")
     with monkeypatch.context() as broken:
-        broken.setattr(graph, "edges", lambda chunks: 1 / 0)
+        broken.setattr(graph, "edge_changes", lambda *chunks: 1 / 0)
         assert indexing.index(st, str(code)).status == "failed"
     assert {k: v for k, v in st.manifest["tables"].items() if k != "jobs"} == {k: v for k, v in before.items() if k != "jobs"}
     assert indexing.index(st, str(code)).changed == 1
     # Of two writers that began alike the second fails.
     other = store.Store(spark, st.path)
     st.commit(jobs=st.table("jobs"))
-    with pytest.raises(RuntimeError):
+    with pytest.raises(store.Conflict):
         other.commit(jobs=other.table("jobs"))
+    # A job that loses reports it and leaves its row; nothing is thrown.
+    late = store.Store(spark, st.path)
+    st.commit(jobs=st.table("jobs"))
+    (code / "utils.py").write_text("def formatDate(d):\n    return d + 3\n")
+    lost = indexing.index(late, str(code))
+    assert lost.status == "failed" and "Conflict" in lost.message
+    st.refresh()
+    assert st.table("jobs").where(F.col("job_id") == lost.job_id).count() == 1
+    assert indexing.index(st, str(code)).changed == 1
     assert "## class" in tools.get_file_context(st, str(code / "service.ts"))
     assert "not indexed" in tools.get_file_context(st, "/nowhere")
     one = st.table("documents").where("name = 'service.ts'").first()["document_id"]
