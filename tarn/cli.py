@@ -53,6 +53,9 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("query")
     a.add_argument("--strategy", default="graph", choices=("bm25", "vector", "hybrid", "graph"))
     a.add_argument("--limit", type=int, default=DEFAULT_LIMIT)
+    a.add_argument("--language", help="only chunks of this language")
+    a.add_argument("--type", help="only chunks of this type")
+    a.add_argument("--path", help="only chunks of this file")
     commands.add_parser("status")
     commands.add_parser("embed")
     commands.add_parser("map")
@@ -115,7 +118,9 @@ def main(argv: list[str] | None = None) -> str:
             wide = max([len(column), *(len(str(r[column])) for r in rows)])
             out += ["", f"{column:<{wide}}  chunks", *(f"{r[column]!s:<{wide}}  {r['chunks']}" for r in rows)]
         return "\n".join(out)
-    found = search.search(store, args.query, args.strategy, args.limit, provider())
+    found = search.search(
+        store, args.query, args.strategy, args.limit, provider(), language=args.language, chunk_type=args.type, document_path=args.path
+    )
     return search.markdown(found, lines=3)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 DELIMITERS = r"""[\s.,;:!?(){}\[\]<>'"/\\|@#$%^&*+=`~-]+"""
 #: Camel-case boundaries, applied one after the other.
 BOUNDARIES = (r"([a-z])([A-Z])", r"([A-Z]+)([A-Z][a-z])", r"([0-9])([A-Z])")
+#: Where any of them stands; a token without one is its own only part.
+BOUNDARY = "[a-z][A-Z]|[A-Z][A-Z][a-z]|[0-9][A-Z]"
 MIN_LENGTH, MAX_LENGTH = 2, 50
 #: Words that are never terms.
 STOP_WORDS = (
@@ -41,7 +43,7 @@ def is_term(term: Column) -> Column:
 def emitted(token: Column) -> Column:
     """Lower-cased parts, adjacent pairs, and the whole token unless it is the first part.
 
-    A token without capitals has no boundary, so most skip the three replacements.
+    A token without capitals has no boundary, and few capitals make one, so most skip the replacements.
     """
     parts = camel_parts(token)
     whole = F.lower(token)
@@ -52,7 +54,7 @@ def emitted(token: Column) -> Column:
         ),
     ).otherwise(F.array().cast("array<string>"))
     last = F.when(whole != F.lower(parts[0]), F.array(whole)).otherwise(F.array().cast("array<string>"))
-    return F.when(token == whole, F.array(token)).otherwise(
+    return F.when((token == whole) | ~token.rlike(BOUNDARY), F.array(whole)).otherwise(
         F.concat(F.transform(parts, F.lower), pairs, last)
     )
 

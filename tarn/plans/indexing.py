@@ -95,26 +95,10 @@ def _index(store: Store, job: Job, force: bool, prune: bool, max_bytes: int, exc
             return
         symbols = parsed(work).persist()
         kept_open.append(symbols)
-        errors = symbols.where(F.col("error").isNotNull()).select("source_path")
-        fine = work.join(errors, "source_path", "left_anti")
+        fine, incoming, fresh = documents_of(work, symbols, job.job_id)
         done = {r["status"]: r["count"] for r in fine.groupBy("status").count().collect()}
         job.new, job.changed = done.get("new", 0), done.get("changed", 0)
         job.failed = touched - job.new - job.changed
-        fresh = chunk_rows(symbols)
-        sizes = fresh.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-        imports = symbols.where(F.col("name").isNull()).select("source_path", "imports")
-        now = F.current_timestamp()
-        incoming = (
-            fine.withColumn("document_id", F.sha2("source_path", 256))
-            .join(sizes, "document_id", "left")
-            .join(imports, "source_path", "left")
-            .select(
-                "document_id", "source_path", F.lit("filesystem").alias("source_type"), F.lit("code").alias("document_type"),
-                "language", basename(F.col("source_path")).alias("name"), "checksum", "size_bytes",
-                F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"), F.lit(job.job_id).alias("job_id"),
-                "imports", now.alias("created_at"), now.alias("updated_at"),
-            )
-        )
         apply(store, incoming, fresh, gone)
         write_project_map(store.table("documents"), store.table("chunks"), f"{store.path}-project-map.txt", job.path)
     finally:
@@ -122,6 +106,27 @@ def _index(store: Store, job: Job, force: bool, prune: bool, max_bytes: int, exc
             table.unpersist()
 
 
+def documents_of(work: DataFrame, symbols: DataFrame, job_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of files (source_path, language, checksum, size_bytes) and their symbols: those without error, as documents, and their chunks."""
+    fine = work.join(symbols.where(F.col("error").isNotNull()).select("source_path"), "source_path", "left_anti")
+    fresh = chunk_rows(symbols)
+    sizes = fresh.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+    imports = symbols.where(F.col("name").isNull()).select("source_path", "imports")
+    now = F.current_timestamp()
+    incoming = (
+        fine.withColumn("document_id", F.sha2("source_path", 256))
+        .join(sizes, "document_id", "left")
+        .join(imports, "source_path", "left")
+        .select(
+            "document_id", "source_path", F.lit("filesystem").alias("source_type"), F.lit("code").alias("document_type"),
+            "language", basename(F.col("source_path")).alias("name"), "checksum", "size_bytes",
+            F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"), F.lit(job_id).alias("job_id"),
+            "imports", now.alias("created_at"), now.alias("updated_at"),
+        )
+    )
+    return fine, incoming, fresh
+
+
 def apply(store: Store, incoming: DataFrame, fresh: DataFrame, gone: DataFrame | None = None) -> None:
     """Commit new and changed documents ``incoming`` with their chunks ``fresh``, and the deletion of ``gone``.
 

@@ -43,12 +43,13 @@ def get_project_map(store: Store, root: str = "") -> str:
 
 
 def search_codebase(
-    store: Store, query: str, strategy: str = "graph", limit: int = 10, provider: Provider | None = None
-) -> str:
-    """An unknown strategy falls back to graph."""
+    store: Store, query: str, strategy: str = "graph", limit: int = 10, provider: Provider | None = None,
+    language: str | None = None, chunk_type: str | None = None, document_path: str | None = None,
+) -> str:
+    """An unknown strategy falls back to graph; the filters hold before the cut."""
     strategy = strategy if strategy in STRATEGIES else "graph"
     try:
-        return searching.markdown(searching.search(store, query, strategy, limit, provider))
+        return searching.markdown(searching.search(store, query, strategy, limit, provider, 0.5, language, chunk_type, document_path))
     except searching.NotReady as why:
         return f"Not ready: {why}"
 

@@ -37,6 +37,7 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         """Open the store at ``path``; ``buckets`` counts for a new one."""
         self.spark, self.path = spark, path.rstrip("/")
+        self.manifest: dict | None = None
         self.refresh()
         if self.manifest is None:
             self.manifest = {"version": schemas.VERSION, "number": 0, "buckets": buckets, "tables": {}}
@@ -52,12 +53,11 @@ class Store:
 
     def refresh(self) -> None:
         """See what other writers have committed: the complete manifest of the highest number."""
-        self.manifest = None
         _, path, fs = self._file("")
         found = fs.globStatus(self._file("MANIFEST-*.json")[1]) if fs.exists(path) else None
         for name in sorted((f.getPath().getName() for f in found or ()), reverse=True):
-            self.manifest = self._read(name)
-            if self.manifest is not None:
+            if (whole := self._read(name)) is not None:
+                self.manifest = whole
                 break
 
     def _migrate(self, old: dict) -> None:

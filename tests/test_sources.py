@@ -338,6 +338,8 @@ def test_index_and_search(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(cli, "session", lambda: spark)
     assert "3 new" in cli.main(["index", str(code)])
     assert "ServiceB" in cli.main(["search", "ServiceB", "--strategy", "bm25"])
+    assert "formatDate" in cli.main(["search", "ServiceB formatDate", "--strategy", "bm25", "--language", "python"])
+    assert "formatDate" not in cli.main(["search", "ServiceB formatDate", "--strategy", "bm25", "--type", "class"])
     status = cli.main(["status"])
     assert status.startswith("3 documents") and "python" in status and "class" in status
 

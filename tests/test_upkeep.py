@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarn.operators import blocks, graph, lexical
 from tarn.plans import indexing
 from tarn.sources import store
+from tarn.streaming import ingest
 
 NAMES = [f"step{c}Value" for c in "ABCDEFGH"]
 TYPES = [f"Thing{c}" for c in "ABCDE"]
@@ -91,3 +92,23 @@ def test_names_that_gain_and_lose_owners(spark):
     names = graph.changed_names(old.where("document_id <> '4'"), old.where("document_id = '4'"), new)
     # gamma gets its only owner, alpha loses it, delta is new.
     assert {(r["kind"], r["name"], r["to_id"]) for r in names.collect()} == {("call", "gamma", "c"), ("call", "alpha", None), ("call", "delta", "e")}
+
+
+def test_stream_of_versions(spark, tmp_path):
+    """A stream of edits and deletions ends as a batch of the last versions; a batch run again changes nothing."""
+    rng = random.Random(4)
+    first = [(f"/src/f{k}.py", _source(rng), 1) for k in range(3)] + [("/src/readme.md", "text", 1), ("/src/f0.py", _source(rng), 2)]
+    second = [("/src/f1.py", _source(rng), 3), ("/src/f2.py", None, 4), ("/src/f3.py", _source(rng), 5), ("/src/f9.py", None, 6)]
+    st = store.Store(spark, str(tmp_path / "s"), buckets=4)
+    for rows in (first, second):
+        spark.createDataFrame(rows, ingest.VERSIONS).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.keep(st, str(tmp_path / "in"), str(tmp_path / "mark")).awaitTermination()
+    number = st.manifest["number"]
+    ingest.take_in(st, spark.createDataFrame(second, ingest.VERSIONS), "again")
+    assert st.manifest["number"] == number
+    last = {}
+    for path, text, _ in first + second:
+        last[path] = text
+    whole = store.Store(spark, str(tmp_path / "w"), buckets=4)
+    ingest.take_in(whole, spark.createDataFrame([(p, t, 1) for p, t in last.items()], ingest.VERSIONS), "whole")
+    assert _state(st) == _state(whole) and st.table("documents").count() == 3
