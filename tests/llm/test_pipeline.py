@@ -73,5 +73,5 @@ def test_registry():
 
     names = __spark_entry__.queries()
     assert set(registry.QUERIES) <= set(names) and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
