@@ -70,8 +70,8 @@ def counts_by(chunks: DataFrame, column: str) -> DataFrame:
     return chunks.groupBy(column).agg(F.count(F.lit(1)).alias("chunks")).orderBy(F.desc("chunks"), column)
 
 
-def project_map(documents: DataFrame, chunks: DataFrame, root: str = "") -> DataFrame:
-    """(source_path, block): the outline of each file; blocks in path order are the map's body."""
+def _placed(chunks: DataFrame) -> DataFrame:
+    """The map's lines of all shown chunks: (document_id, line) and the columns that order a file's lines."""
     m = F.col("metadata")
     label = F.coalesce(m["signature"], F.concat("name", F.lit("()")))
     kind = F.col("chunk_type")
@@ -89,29 +89,50 @@ def project_map(documents: DataFrame, chunks: DataFrame, root: str = "") -> Data
     shown = chunks.where(kind.isin(*TYPE_ORDER)).select(
         "document_id", line.alias("line"), group.alias("g"), parent.alias("owner"), "start_line", (kind == "method").cast("int").alias("inner")
     )
-    placed = shown.join(owners, ["document_id", "owner"], "left").where((F.col("inner") == 0) | F.col("owner_line").isNotNull())
-    rows = F.array_sort(F.collect_list(F.struct("g", F.coalesce("owner_line", "start_line").alias("at"), "inner", "start_line", "line")))
-    bodies = placed.groupBy("document_id").agg(F.transform(rows, lambda r: r["line"]).alias("lines"))
+    found = shown.join(owners, ["document_id", "owner"], "left").where((F.col("inner") == 0) | F.col("owner_line").isNotNull())
+    return found.select("document_id", "g", F.coalesce("owner_line", "start_line").alias("at"), "inner", "start_line", "line")
+
+
+def _head(root: str):
     relative = F.when(F.startswith("source_path", F.lit(root)), F.expr(f"substring(source_path, {len(root.rstrip('/')) + 2 if root else 1})")).otherwise(F.col("source_path"))
-    head = F.concat(relative, F.lit(" ["), "language", F.lit("]"))
+    return F.concat(relative, F.lit(" ["), "language", F.lit("]"))
+
+
+#: What orders the lines of a map.
+MAP_ORDER = ("source_path", "part", "g", "at", "inner", "start_line", "line")
+
+
+def map_lines(documents: DataFrame, chunks: DataFrame, root: str = "") -> DataFrame:
+    """The outline of all files, a row a line: MAP_ORDER's columns put them in order. No file is gathered."""
+    none = [F.lit(0).alias(c) for c in ("g", "at", "inner", "start_line")]
+    files = documents.select("source_path", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), t.alias("line")) for p, t in ((0, _head(root)), (2, F.lit("")))])).alias("l"))
+    files = files.select("source_path", "l.part", *none, "l.line")
+    shown = _placed(chunks).join(documents.select("document_id", "source_path"), "document_id")
+    return files.unionByName(shown.select("source_path", F.lit(1).alias("part"), "g", "at", "inner", "start_line", "line"))
+
+
+def project_map(documents: DataFrame, chunks: DataFrame, root: str = "") -> DataFrame:
+    """(source_path, block): the outline of each file as one string; for maps of any size see ``map_lines``."""
+    rows = F.array_sort(F.collect_list(F.struct("g", "at", "inner", "start_line", "line")))
+    bodies = _placed(chunks).groupBy("document_id").agg(F.transform(rows, lambda r: r["line"]).alias("lines"))
     none = F.array().cast("array<string>")
     return documents.join(bodies, "document_id", "left").select(
         "source_path",
-        F.array_join(F.concat(F.array(head), F.coalesce("lines", none), F.array(F.lit(""))), "\n").alias("block"),
+        F.array_join(F.concat(F.array(_head(root)), F.coalesce("lines", none), F.array(F.lit(""))), "\n").alias("block"),
     )
 
 
 def project_map_text(documents: DataFrame, chunks: DataFrame, root: str = "") -> str:
     """The whole map with its header, for the text sink; it has some lines a file."""
     total = documents.agg(F.count(F.lit(1)), F.coalesce(F.sum("chunk_count"), F.lit(0))).first()
-    blocks = [r["block"] for r in project_map(documents, chunks, root).orderBy("source_path").toLocalIterator()]
-    return "\n".join(["# Project Map", f"# {total[0]} files | {total[1]} chunks", "", *blocks])
+    lines = [r["line"] for r in map_lines(documents, chunks, root).orderBy(*MAP_ORDER).select("line").toLocalIterator()]
+    return "\n".join(["# Project Map", f"# {total[0]} files | {total[1]} chunks", "", *lines])
 
 
 def write_project_map(documents: DataFrame, chunks: DataFrame, path: str, root: str = "") -> None:
-    """The map's blocks as text files in path order."""
-    blocks = project_map(documents, chunks, root)
-    blocks.repartitionByRange("source_path").sortWithinPartitions("source_path").select("block").write.mode("overwrite").text(path)
+    """The map's lines as text files in order."""
+    lines = map_lines(documents, chunks, root)
+    lines.repartitionByRange(*MAP_ORDER).sortWithinPartitions(*MAP_ORDER).select("line").write.mode("overwrite").text(path)
 
 
 def file_names(documents: DataFrame) -> DataFrame:

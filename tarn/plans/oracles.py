@@ -156,6 +156,12 @@ SELECT 'doc/' || doc_id AS source_path, sha256(t) AS checksum, CASE WHEN sha256(
 FROM (SELECT doc_id, text, CASE WHEN lang = 'fr' THEN text || '!' ELSE text END AS t FROM documents)
 UNION ALL SELECT 'page/' || page_id, sha256(html), 'new' FROM pages"""
 
+_MAP = """l AS (SELECT document_id, CAST(regexp_replace(chunk_id, '[a-z]', '') AS INTEGER) AS n, chunk_type, parent, name FROM g),
+        x AS (SELECT l.document_id, CASE chunk_type WHEN 'interface' THEN 1 ELSE 0 END AS gr,
+            CASE chunk_type WHEN 'method' THEN o.n ELSE l.n END AS pos, CAST(chunk_type = 'method' AS INTEGER) AS inn, l.n,
+            CASE chunk_type WHEN 'class' THEN '  class ' || name WHEN 'method' THEN '    ' || name || '()' ELSE '  interface ' || name END AS line
+          FROM l LEFT JOIN (SELECT document_id, name AS owner, min(n) AS n FROM l WHERE chunk_type = 'class' GROUP BY ALL) o
+            ON o.document_id = l.document_id AND o.owner = l.parent)"""
 ORACLES = {
     "tokenize_terms": f"WITH {_P} SELECT * FROM p",
     "camel_split": f"""WITH t AS (SELECT unnest(regexp_split_to_array(text, '{_CLASS}')) AS token FROM documents)
@@ -265,14 +271,12 @@ ORACLES = {
         language || ' ' || chunk_type || ': ' || name || chr(10) || 'Preview:' || chr(10)
         || trim(array_to_string(string_split(content, chr(10))[1:20], chr(10)), ' ') END) AS text_sha FROM ch""",
     "preview_lines": f"WITH {_CH} SELECT chunk_id, array_to_string(string_split(content, chr(10))[1:3], chr(10)) AS preview FROM ch",
-    "project_map": f"""WITH {_G}, l AS (SELECT document_id, CAST(regexp_replace(chunk_id, '[a-z]', '') AS INTEGER) AS n, chunk_type, parent, name FROM g),
-        x AS (SELECT l.document_id, CASE chunk_type WHEN 'interface' THEN 1 ELSE 0 END AS gr,
-            CASE chunk_type WHEN 'method' THEN o.n ELSE l.n END AS pos, CAST(chunk_type = 'method' AS INTEGER) AS inn, l.n,
-            CASE chunk_type WHEN 'class' THEN '  class ' || name WHEN 'method' THEN '    ' || name || '()' ELSE '  interface ' || name END AS line
-          FROM l LEFT JOIN (SELECT document_id, name AS owner, min(n) AS n FROM l WHERE chunk_type = 'class' GROUP BY ALL) o
-            ON o.document_id = l.document_id AND o.owner = l.parent)
+    "project_map": f"""WITH {_G}, {_MAP}
         SELECT document_id AS source_path, sha256(document_id || ' [tpch]' || chr(10)
           || string_agg(line, chr(10) ORDER BY gr, pos, inn, n, line) || chr(10)) AS block_sha FROM x GROUP BY document_id""",
+    "project_map_lines": f"""WITH {_G}, {_MAP}, y AS (SELECT document_id AS source_path, 1 AS part, gr AS g, pos AS at, inn AS inner, n AS start_line, line FROM x
+        UNION ALL SELECT DISTINCT document_id, 0, 0, 0, 0, 0, document_id || ' [tpch]' FROM x
+        UNION ALL SELECT DISTINCT document_id, 2, 0, 0, 0, 0, '' FROM x) SELECT * FROM y""",
     "term_counts_in_row": f"""WITH {_P}, {_DL} SELECT doc_id AS chunk_id, CAST(coalesce(doc_len, 0) AS INTEGER) AS n_terms,
         CAST(coalesce(nd, 0) AS INTEGER) AS n_distinct FROM documents LEFT JOIN dl ON doc_id = chunk_id
         LEFT JOIN (SELECT chunk_id AS c2, count(*) AS nd FROM p GROUP BY 1) ON doc_id = c2""",

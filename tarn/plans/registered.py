@@ -342,12 +342,21 @@ def preview_lines(spark, d):
     return lookup.previews(tables.chunks(spark, d), 3)
 
 
-def project_map(spark, d):
+def _mapped(spark, d):
     chunks = tables.graph_chunks(spark, d).withColumn("start_line", F.regexp_replace("chunk_id", "[a-z]", "").cast("int"))
     documents = chunks.select("document_id").distinct().select(
         "document_id", F.col("document_id").alias("source_path"), F.lit("tpch").alias("language")
     )
-    return lookup.project_map(documents, chunks).select("source_path", F.sha2("block", 256).alias("block_sha"))
+    return documents, chunks
+
+
+def project_map(spark, d):
+    return lookup.project_map(*_mapped(spark, d)).select("source_path", F.sha2("block", 256).alias("block_sha"))
+
+
+def project_map_lines(spark, d):
+    """The map a row a line, as its sink writes it."""
+    return lookup.map_lines(*_mapped(spark, d)).select(*lookup.MAP_ORDER)
 
 
 def term_counts_in_row(spark, d):
@@ -365,6 +374,6 @@ QUERIES = {
         with_embedding, rrf_fusion, hybrid_search, edges_contains, edges_heritage, edges_calls, edge_counts,
         ambiguous_names, graph_seeds, graph_expansion, graph_search, type_multipliers, checksum_status, job_counts,
         upsert_documents, cascade_delete, skip_reasons, path_parts, breadcrumbs, embedding_text, preview_lines,
-        project_map, term_counts_in_row,
+        project_map, project_map_lines, term_counts_in_row,
     )
 }
