@@ -14,7 +14,7 @@ CALLABLE = ("function", "method")
 TYPES = ("class", "interface")
 WEIGHTS = {"contains": 1.0, "extends": 0.9, "implements": 0.85, "calls": 0.6}
 MIN_CALL_NAME = 4
-SEEDS, DECAY, OVER_FETCH = 20, 0.6, 3
+SEEDS, HOPS, DECAY, OVER_FETCH = 20, 2, 0.6, 3
 
 
 def _edge(kind: str, to_id, to_name, resolved):
@@ -249,44 +249,45 @@ def directed(edge_rows: DataFrame) -> DataFrame:
     )
 
 
-def expanded(seeds: DataFrame, edge_rows: DataFrame, decay: float = DECAY) -> DataFrame:
-    """(query_id, chunk_id, score, level): the best score of every node within two hops of the seeds.
+def expanded(seeds: DataFrame, edge_rows: DataFrame, decay: float = DECAY, hops: int = HOPS) -> DataFrame:
+    """(query_id, chunk_id, score, level): the best score of every node within ``hops`` of the seeds.
 
     The queue is first in, first out and a node expands once, with the score it was first
-    queued with; so the second level starts from each node's first entry, not its best.
+    queued with; so each level starts from its nodes' first entries, not their best. An entry's
+    place is that of its parent, then the edge's.
     """
     links = directed(edge_rows)
-    seeds = seeds.select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), "score", "seed")
-    one = seeds.join(links, F.col("chunk_id") == F.col("here")).select(
-        "query_id",
-        F.col("there").alias("chunk_id"),
-        (F.col("score") * F.col("weight") * decay).alias("score"),
-        F.struct("seed", "way", "edge_order").alias("queued"),
-    )
-    first = F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("queued"))
-    frontier = one.withColumn("first", first).where("first = 1").drop("first", "queued")
-    frontier = frontier.join(seeds.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    two = frontier.join(links, F.col("chunk_id") == F.col("here")).select(
-        "query_id", F.col("there").alias("chunk_id"), (F.col("score") * F.col("weight") * decay).alias("score")
-    )
-    rows = (
-        seeds.select("query_id", "chunk_id", "score", F.lit(0).alias("level"))
-        .unionByName(one.select("query_id", "chunk_id", "score", F.lit(1).alias("level")))
-        .unionByName(two.withColumn("level", F.lit(2)))
-    )
-    return rows.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.min("level").alias("level"))
+    node = ["query_id", "chunk_id"]
+    frontier = seeds.select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), "score", F.struct("seed").alias("queued"))
+    known = frontier.select(*node)
+    rows = frontier.select(*node, "score", F.lit(0).alias("level"))
+    for level in range(1, hops + 1):
+        reached = frontier.join(links, F.col("chunk_id") == F.col("here")).select(
+            "query_id",
+            F.col("there").alias("chunk_id"),
+            (F.col("score") * F.col("weight") * decay).alias("score"),
+            F.struct("queued", "way", "edge_order").alias("queued"),
+        )
+        if level > 1 and level < hops:
+            reached = written(reached, "reached")  # else each level would be made again for the next
+        rows = rows.unionByName(reached.select(*node, "score", F.lit(level).alias("level")))
+        if level < hops:
+            first = F.row_number().over(Window.partitionBy(*node).orderBy("queued"))
+            frontier = reached.withColumn("first", first).where("first = 1").drop("first").join(known, node, "left_anti")
+            known = known.unionByName(frontier.select(*node))
+    return rows.groupBy(*node).agg(F.max("score").alias("score"), F.min("level").alias("level"))
 
 
 def search_batch(
     chunks: DataFrame, edge_rows: DataFrame, seeds: DataFrame, limit: int = 10, among: DataFrame | None = None,
-    n_queries: int | None = None,
+    n_queries: int | None = None, hops: int = HOPS,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): expansion, cut at 3 * limit, weighing by type, cut at limit.
 
     ``among`` (chunk_id) filters what was reached before the first cut. With a known number of
     queries the few rows that are left go to all tasks.
     """
-    best = expanded(seeds, edge_rows)
+    best = expanded(seeds, edge_rows, hops=hops)
     if among is not None:
         best = best.join(among.select(F.col("chunk_id").cast("string").alias("chunk_id")), "chunk_id", "left_semi")
     cut = F.row_number().over(

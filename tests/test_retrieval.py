@@ -214,12 +214,12 @@ def test_graph_search_names(spark):
     assert [r["chunk_id"] for r in got] == ["1", "2"] and got[0]["score"] == 1.0
 
 
-def _fifo(seeds, links):
+def _fifo(seeds, links, far=2):
     """The queue as it would run: a node expands once, with the score it was first queued with."""
     best, queue, seen = {}, deque(), set()
     for node, score in seeds:
         best[node] = max(best.get(node, 0), score)
-        queue.append((node, score, 2))
+        queue.append((node, score, far))
     while queue:
         node, score, hops = queue.popleft()
         if node in seen or hops == 0:
@@ -232,8 +232,8 @@ def _fifo(seeds, links):
     return best
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_expansion_is_the_queue(spark, seed):
+@pytest.mark.parametrize("seed, hops", [(0, 2), (1, 2), (2, 2), (3, 2), (4, 1), (5, 3), (6, 4)])
+def test_expansion_is_the_queue(spark, seed, hops):
     rng = random.Random(seed)
     nodes = [f"n{i:02d}" for i in range(14)]
     edges = {(rng.choice(nodes), rng.choice(nodes), rng.choice(list(graph.WEIGHTS))) for _ in range(26)}
@@ -253,8 +253,8 @@ def test_expansion_is_the_queue(spark, seed):
     start = spark.createDataFrame(
         [(0, n, s, i) for i, (n, s) in enumerate(seeds)], "query_id long, chunk_id string, score double, seed long"
     )
-    got = {r["chunk_id"]: round(r["score"], 9) for r in graph.expanded(start, df).collect()}
-    assert got == {k: round(v, 9) for k, v in _fifo(seeds, links).items()}
+    got = {r["chunk_id"]: round(r["score"], 9) for r in graph.expanded(start, df, hops=hops).collect()}
+    assert got == {k: round(v, 9) for k, v in _fifo(seeds, links, hops).items()}
 
 
 def test_readiness(spark):
