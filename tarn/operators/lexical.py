@@ -42,9 +42,16 @@ def with_lengths(counted: DataFrame) -> DataFrame:
     return counted.select("chunk_id", "term", "frequency", length.alias("doc_len"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, frequency, doc_len). One shuffle, by chunk, serves the counts and the lengths."""
-    found = occurrences(chunks).repartition("chunk_id")
+def postings(chunks: DataFrame, once: bool = False) -> DataFrame:
+    """(chunk_id, term, frequency, doc_len). One shuffle, by chunk, serves the counts and the lengths.
+
+    ``once``, for rows that are written before others read them, shuffles the texts, less than half the bytes of
+    their terms; each reader would tokenise again.
+    """
+    if once:
+        found = occurrences(chunks.select("chunk_id", "content").repartition("chunk_id"))
+    else:
+        found = occurrences(chunks).repartition("chunk_id")
     return with_lengths(found.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("frequency")))
 
 

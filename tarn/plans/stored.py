@@ -15,7 +15,7 @@ BUCKETS = 16
 
 
 def _postings(spark, d) -> DataFrame:
-    found = lexical.postings(tables.chunks(spark, d))
+    found = lexical.postings(tables.chunks(spark, d), once=True)
     return found.withColumn("bucket", blocks.bucket_of(F.col("chunk_id"), BUCKETS))
 
 
