@@ -35,9 +35,22 @@ def camel_parts(token: Column) -> Column:
 
 
 def is_term(term: Column) -> Column:
-    return (
-        F.length(term).between(MIN_LENGTH, MAX_LENGTH) & ~term.isin(*STOP_WORDS) & ~term.rlike("^[0-9]+$")
-    )
+    # Only what begins with a digit meets the pattern.
+    number = (term >= "0") & (term < ":") & term.rlike("^[0-9]+$")
+    return F.length(term).between(MIN_LENGTH, MAX_LENGTH) & ~term.isin(*STOP_WORDS) & ~number
+
+
+def is_whole(token: Column) -> Column:
+    """Without a boundary: the token emits itself in lower case and nothing else."""
+    return (token == F.lower(token)) | ~token.rlike(BOUNDARY)
+
+
+def words(text: Column) -> Column:
+    """The tokens of a text (null: none), empty ones among them, and after them all that those that aren't whole emit."""
+    text = F.coalesce(text, F.lit(""))
+    found = F.split(text, DELIMITERS)
+    cut_up = F.flatten(F.transform(F.filter(found, lambda t: ~is_whole(t)), emitted))
+    return F.when(text.rlike(BOUNDARY), F.concat(found, cut_up)).otherwise(found)
 
 
 def emitted(token: Column) -> Column:
@@ -54,9 +67,7 @@ def emitted(token: Column) -> Column:
         ),
     ).otherwise(F.array().cast("array<string>"))
     last = F.when(whole != F.lower(parts[0]), F.array(whole)).otherwise(F.array().cast("array<string>"))
-    return F.when((token == whole) | ~token.rlike(BOUNDARY), F.array(whole)).otherwise(
-        F.concat(F.transform(parts, F.lower), pairs, last)
-    )
+    return F.when(is_whole(token), F.array(whole)).otherwise(F.concat(F.transform(parts, F.lower), pairs, last))
 
 
 def terms(text: Column) -> Column:

@@ -45,23 +45,20 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def blocks(postings: DataFrame, by_range: bool = False) -> DataFrame:
+def blocks(postings: DataFrame) -> DataFrame:
     """Blocks of postings (bucket, chunk_id, term, frequency, doc_len), in one shuffle by term and bucket.
 
     Columns: bucket, term, tier, block, low and high chunk_id, n, most (frequency), spread (least
     doc_len over frequency) and the postings, by chunk_id. A term with few postings in a bucket has one tier. Repeated rows
     and rows without frequency go. So a term of every chunk is as many groups as there are buckets.
-    ``by_range`` deals out ranges of terms, and a file's rows go by term, so that a search's terms are a few row groups.
     """
     rows = postings.where(F.col("frequency") > 0).select("bucket", "chunk_id", "term", "frequency", "doc_len")
     impact = saturation(F.col("frequency"), F.col("doc_len"), F.lit(REFERENCE_LENGTH))
-    dealt = rows.repartitionByRange("term", "bucket") if by_range else rows.repartition("term", "bucket")
-    dealt = dealt.withColumn("impact", F.floor(-TIERS_A_HALF * F.log2(1 - impact / (K1 + 1))).cast("int"))
-    # One sort serves both windows; where a term has one tier, it has one block, whatever the order.
-    dealt = dealt.sortWithinPartitions("term", "bucket", "impact", "chunk_id")
-    many = F.count(F.lit(1)).over(Window.partitionBy("term", "bucket")) > BLOCK
-    at = F.row_number().over(Window.partitionBy("term", "bucket", "impact").orderBy("chunk_id"))
-    cut = dealt.withColumn("many", many).withColumn("at", at)
+    dealt = rows.repartition("term", "bucket").withColumn("impact", F.floor(-TIERS_A_HALF * F.log2(1 - impact / (K1 + 1))).cast("int"))
+    # One sort and one window: a term with one tier has one block, whatever the order; the others' blocks end with a tier.
+    of_term = Window.partitionBy("term", "bucket").orderBy("impact", "chunk_id")
+    everything = of_term.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cut = dealt.withColumns({"many": F.count(F.lit(1)).over(everything) > BLOCK, "at": F.row_number().over(of_term)})
     cut = cut.withColumn("tier", F.when(F.col("many"), F.col("impact")).otherwise(0))
     cut = cut.withColumn("block", F.when(F.col("many"), F.floor((F.col("at") - 1) / BLOCK)).otherwise(0).cast("int"))
     found = cut.groupBy("term", "bucket", "tier", "block").agg(
@@ -72,8 +69,6 @@ def blocks(postings: DataFrame, by_range: bool = False) -> DataFrame:
         F.min(F.col("doc_len") / F.col("frequency")).alias("spread"),
         F.sort_array(F.collect_list(F.struct("chunk_id", "frequency", "doc_len"))).alias("postings"),
     )
-    if by_range:
-        found = found.sortWithinPartitions("term", "bucket", "tier", "block")
     return found.select(*KEY, "low", "high", "n", "most", "spread", "postings")
 
 
@@ -105,10 +100,15 @@ class BlockIndex:
         for i in range(SHARES):
             share = F.coalesce(F.pmod("bucket", F.lit(SHARES)), F.lit(0)) == i
             rows = written(postings.where(share), "postings")
-            shares.append((written(blocks(rows, by_range=True), "blocks"), written(statistics(rows), "statistics")))
+            shares.append((written(laid_out(blocks(rows)), "blocks"), written(statistics(rows), "statistics")))
         return BlockIndex(*(reduce(DataFrame.unionByName, tables) for tables in zip(*shares, strict=True)))
 
 
+def laid_out(rows: DataFrame) -> DataFrame:
+    """By term in each file, so that a search's terms are a few row groups."""
+    return rows.sortWithinPartitions("term", "bucket", "tier", "block")
+
+
 @dataclass
 class Reading:
     """A search's blocks: ``read`` (query_id, phase, bucket, term, tier, block, n), and its scores of candidates."""
@@ -126,7 +126,7 @@ def reading(index: BlockIndex, queries: DataFrame, limit: int, among: DataFrame
     wanted = query_terms(queries)
     n_terms = wanted.count()
     distinct = wanted.select("term").distinct()
-    heads = index.blocks.drop("postings").join(sent(distinct, n_terms), "term")
+    heads = written(index.blocks.drop("postings").join(sent(distinct, n_terms), "term"), "search-heads")
     weights = wanted.join(heads.groupBy("term").agg(F.sum("n").alias("df")), "term").join(F.broadcast(corpus_figures(index.stats)), F.lit(True))
     weights = weights.select("query_id", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     weights = written(weights, "search-terms")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.scalars import idf, saturation
-from tarn.functions.tokenize import DELIMITERS, emitted, is_term, query_terms, terms
+from tarn.functions.tokenize import is_term, is_whole, query_terms, terms, words
 
 #: A table of query terms up to this size goes to every task; larger ones are joined by term.
 BROADCAST_TERMS = 200_000
@@ -28,12 +28,14 @@ def term_rows(chunks: DataFrame) -> DataFrame:
 def occurrences(chunks: DataFrame) -> DataFrame:
     """(chunk_id, term), one row for every term of every token.
 
-    Tokens are exploded before they are cut up, so splitting, lower-casing and the tests of
-    terms are compiled code and no nested arrays.
+    Tokens are exploded before they are lower-cased and tested, so that is compiled code and no nested arrays. Only
+    what tokens with a boundary emit is appended to a text's tokens; these tokens themselves go after the explosion.
     """
-    words = F.explode(F.split(F.coalesce("content", F.lit("")), DELIMITERS))
-    found = chunks.select("chunk_id", words.alias("token")).where("token <> ''")
-    return found.select("chunk_id", F.explode(emitted(F.col("token"))).alias("term")).where(is_term(F.col("term")))
+    found = chunks.select("chunk_id", words(F.col("content")).alias("words"))
+    # Spark would infer a filter from explode, and split the texts a second time for it.
+    found = found.select("chunk_id", F.explode_outer("words").alias("token"))
+    found = found.where((F.col("token") != "") & is_whole(F.col("token")))
+    return found.select("chunk_id", F.lower("token").alias("term")).where(is_term(F.col("term")))
 
 
 def with_lengths(counted: DataFrame) -> DataFrame:

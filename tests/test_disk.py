@@ -72,3 +72,16 @@ def test_shares_give_the_same_index(spark, monkeypatch):
     three = blocks.BlockIndex.of(rows)
     for a, b in ((one.blocks, three.blocks), (one.stats, three.stats)):
         assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+
+
+def test_occurrences_are_the_terms(spark):
+    """Tokens without a boundary are lower-cased apart from those with one; the sum is the same."""
+    texts = [None, "", "getHTTPResponse2Go fooBar foo_bar x1Y 12 123a", "ΑΣ.ΑΒ ΑΣ' İstanbul étatÉtat ǅabc", "!fooBar", "the tHe BARfoo parseURLFast 9Z9 9z"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    plain = lexical.term_rows(chunks).select("chunk_id", F.explode("terms").alias("term"))
+    assert sorted(map(tuple, lexical.occurrences(chunks).collect())) == sorted(map(tuple, plain.collect())) != []
+
+
+def test_texts_are_split_once(spark):
+    plan = lexical.postings(_texts(spark), once=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE(") > 0 and "Filter (size(" not in plan and "size(CASE" not in plan
